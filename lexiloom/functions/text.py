@@ -20,7 +20,7 @@ def sentences(text: Column) -> Column:
 
 # The named character references that are resolved, in this order.
 ENTITIES = (
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
@@ -35,12 +35,11 @@ def html_to_text(html: Column) -> Column:
 
     Comments and the doctype are not text. Script and style bodies are left out.
     """
-    body = F.regexp_replace(html, r"(?s)<!--.*?-->", "\n")
-    body = F.regexp_replace(body, r"(?is)<script[^>]*>.*?</script>", "\n")
-    body = F.regexp_replace(body, r"(?is)<style[^>]*>.*?</style>", "\n")
+    body = F.regexp_replace(html, r"(?s)<!--.*?-->", _BOUNDARY)
+    body = F.regexp_replace(body, r"(?is)<script[^>]*>.*?</script>", _BOUNDARY)
+    body = F.regexp_replace(body, r"(?is)<style[^>]*>.*?</style>", _BOUNDARY)
     # A tag boundary becomes \x01, so that a line break inside a text node survives.
     body = F.regexp_replace(body, r"<[^>]*>", _BOUNDARY)
-    body = F.regexp_replace(body, "\n", "\n")
     for name, character in ENTITIES:
         body = F.replace(body, F.lit(name), F.lit(character))
     nodes = F.transform(F.split(body, _BOUNDARY), strip)

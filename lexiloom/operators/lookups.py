@@ -83,12 +83,17 @@ def default_lookup(rows: DataFrame, dictionary: DataFrame, key: str, default: st
     return rows.join(entries, key, "left").withColumn(name, F.coalesce("__found", F.lit(default))).drop("__found")
 
 
+def percent_decoded(text: Column) -> Column:
+    """Percent-decoding that leaves a plus sign alone; NULL for a malformed escape."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def status_lookup(asked: DataFrame, statuses: DataFrame, asked_id: str = "document_id", valid: tuple[str, ...] = ()) -> DataFrame:
     """Status of a document by its raw id, else by its URL-decoded id; unknown states are not found."""
     raw = statuses.select(F.col("document_id").alias("__raw"), F.struct("status", "protected").alias("__by_raw"))
     decoded = statuses.select(F.col("document_id").alias("__dec"), F.struct("status", "protected").alias("__by_dec"))
     joined = asked.join(raw, asked[asked_id] == F.col("__raw"), "left").join(
-        decoded, F.try_url_decode(asked[asked_id]) == F.col("__dec"), "left"
+        decoded, percent_decoded(asked[asked_id]) == F.col("__dec"), "left"
     )
     hit = F.coalesce("__by_raw", "__by_dec")
     result = joined.withColumn("__hit", hit).withColumn("found_id", F.coalesce("__raw", "__dec"))

@@ -1,9 +1,9 @@
 """Substring joins: which terms of a list occur in which texts.
 
 A list of checked size becomes one array literal and is tested inside the text's row.
-A longer list is joined by equality: a term can only occur in a text that holds one
+A longer list is joined by equality: a term can only occur in a text that holds any
 given run of its characters, so texts are exploded into their distinct runs and joined
-with each term's rarest-looking run; the containment test then runs on the matches.
+with each term's rarest run; the containment test then runs on the matches.
 """
 
 from __future__ import annotations
@@ -29,30 +29,41 @@ def any_term_in(text: Column, terms: list[str]) -> Column:
 
 
 def _grams(text: Column, size: int) -> Column:
-    n = F.length(text)
-    return F.when(
-        n >= size,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substr(text, i, F.lit(size)))),
-    ).otherwise(F.slice(F.array(F.lit("")), 1, 0))
+    """Distinct runs of ``size`` characters; none for a shorter text."""
+    last = F.length(text) - size + 1
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))
+    return F.array_distinct(F.filter(runs, lambda g: F.length(g) == size))
 
 
 def containments(
     texts: DataFrame, text_id: str, text: str, terms: DataFrame, term_id: str, term: str, gram: int = GRAM
 ) -> DataFrame:
-    """Distinct ``(text_id, term_id)`` with the term inside the text, case-insensitive.
+    """Distinct ``(text_id, term_id)`` with the (non-empty) term inside the text, whatever the case.
 
-    Terms shorter than ``gram`` are keyed by runs of their own length, one join per
-    length, so no term is left out. The empty term occurs in every text.
+    A term is keyed by the one of its runs that the fewest texts hold, so runs that are
+    everywhere (``https:``) lead to no candidates of their own. Terms shorter than
+    ``gram`` are keyed by runs of their own length, one join per length. Only ids travel
+    with the runs; the texts come back for the test on the candidates.
     """
     haystacks = texts.select(F.col(text_id).alias("text_id"), F.lower(text).alias("haystack"))
     needles = terms.select(F.col(term_id).alias("term_id"), F.lower(term).alias("needle"))
-    result = None
-    for size in range(gram, 0, -1):
+    lengths = needles.select(F.least(F.length("needle"), F.lit(gram)).alias("size")).where("size > 0").distinct()
+    sizes = [r[0] for r in lengths.collect()]  # at most ``gram`` values
+    candidates = None
+    for size in sizes or [gram]:
         exact = F.length("needle") >= size if size == gram else F.length("needle") == size
-        keyed = needles.where(exact).withColumn(
-            "gram", F.array_min(F.transform(_grams(F.col("needle"), size), lambda g: F.struct(F.xxhash64(g), g)))["col2"]
+        options = needles.where(exact).select("term_id", F.explode(_grams(F.col("needle"), size)).alias("gram"))
+        runs = haystacks.select("text_id", F.explode(_grams(F.col("haystack"), size)).alias("gram"))
+        held = runs.join(options.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
+            F.count(F.lit(1)).alias("n_texts")
         )
-        runs = haystacks.select("text_id", "haystack", F.explode(_grams(F.col("haystack"), size)).alias("gram"))
-        found = runs.join(keyed, "gram").where(F.contains("haystack", F.col("needle"))).select("text_id", "term_id")
-        result = found if result is None else result.unionByName(found)
-    return result.distinct().select(F.col("text_id").alias(text_id), F.col("term_id").alias(term_id))
+        # A run that no text holds rules its term out, so unmatched runs count as the rarest.
+        keyed = options.join(held, "gram", "left").groupBy("term_id").agg(
+            F.min_by("gram", F.struct(F.coalesce("n_texts", F.lit(0)), "gram")).alias("gram")
+        )
+        found = runs.join(keyed, "gram").select("text_id", "term_id")
+        candidates = found if candidates is None else candidates.unionByName(found)
+    checked = candidates.join(haystacks, "text_id").join(needles, "term_id").where(
+        F.contains("haystack", F.col("needle"))
+    )
+    return checked.select(F.col("text_id").alias(text_id), F.col("term_id").alias(term_id)).distinct()
