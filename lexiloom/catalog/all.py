@@ -1 +1,3 @@
-from lexiloom.catalog import corpus, urls
+"""Importing this module registers every query."""
+
+from lexiloom.catalog import corpus, replies, traffic, urls  # noqa: F401

@@ -292,6 +292,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                  WHEN 8 THEN 'They said "' || t || '" and "too short" and "answers"'
                  ELSE '```' || chr(10) || '{"answers": ["503 UNAVAILABLE", "' || t || '"]}' || chr(10) || '``` done' END AS raw
         FROM (SELECT *, regexp_replace(text, '["\\\x00-\x1f]', ' ', 'g') AS t FROM conversations)"""),
+    "three_raw": (("raw_answers",), "SELECT * REPLACE (least(n_questions, 3) AS n_questions) FROM raw_answers"),
     "unfenced": (("raw_answers",), r"""
         SELECT id, conv_id, turn, n_questions, form, raw, CASE WHEN starts_with(r, '```') AND last_fence > 1 THEN
                  trim(CASE WHEN starts_with(r, '```json') THEN substr(r, 8, last_fence - 8)

@@ -236,9 +236,9 @@ def extension_families(spark, sf):
     "typed_urls", "page_ratios"))
 def parse_route(spark, sf):
     heavy = P.image_heavy(doc_pages(spark, sf), P.page_stats(doc_pages(spark, sf))).select("doc", "is_image_heavy")
-    urls = file_urls(spark, sf).withColumn("doc", F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
+    urls = T.with_file_type(file_urls(spark, sf)).withColumn("doc", F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
     return urls.join(heavy, "doc", "left").select(
-        "id", T.parse_route(F.col("url"), F.col("is_image_heavy")).alias("parse_route")
+        "id", T.parse_route(F.col("url"), F.col("ext"), F.col("category"), F.col("is_image_heavy")).alias("parse_route")
     )
 
 

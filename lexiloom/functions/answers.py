@@ -60,7 +60,7 @@ def parse_strict(raw: Column, n: Column) -> Column:
             F.when(_is_object(boxed) & _has(boxed, ".answers"), _field(boxed, ".answers", "array<string>"))
             .when(_is_object(boxed) & _has(boxed, ".answer"), F.array(_field(boxed, ".answer", "string")))
             .when(_is_object(boxed), whole)
-            .otherwise(F.coalesce(_field(boxed, "", "array<string>"), whole))
+            .when(boxed.isNotNull(), F.coalesce(_field(boxed, "", "array<string>"), whole))
         )
         return F.coalesce(pad_to(answers, n, D.MSG_NO_ANSWER), repeat_message(D.MSG_JSON_FAILED, n))
 

@@ -1,7 +1,7 @@
 """File category, processing strategy and parse route of a URL or path.
 
-The extension families are fixed and small, so a category is a ``CASE`` over hashed
-``IN`` lists: no join, no broadcast, no shuffle.
+The extension families are fixed and small, so a category is a look-up in a map literal:
+no join, no broadcast, no shuffle, and the URL is taken apart once per use.
 """
 
 from __future__ import annotations
@@ -14,10 +14,8 @@ from lexiloom.functions.urls import file_extension, is_pdf_path, is_pdf_url
 
 def extension_category(ext: Column) -> Column:
     """Category of an extension; unknown and empty ones are ``unsupported``."""
-    branches = F
-    for category, extensions in D.EXTENSIONS.items():
-        branches = branches.when(ext.isin(*extensions), F.lit(category))
-    return branches.otherwise(F.lit(D.UNSUPPORTED))
+    pairs = [F.lit(x) for category, exts in D.EXTENSIONS.items() for e in exts for x in (e, category)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), ext), F.lit(D.UNSUPPORTED))
 
 
 def file_category(url: Column) -> Column:
@@ -25,8 +23,8 @@ def file_category(url: Column) -> Column:
 
 
 def is_supported(category: Column) -> Column:
-    """Explicitly rejected categories and unknown extensions fail."""
-    return ~category.isin(*D.REJECTED_CATEGORIES) & category.isin(*D.SUPPORTED_CATEGORIES)
+    """Rejected categories and unknown extensions fail (the families are disjoint)."""
+    return category.isin(*D.SUPPORTED_CATEGORIES)
 
 
 def is_forced_retrieval(category: Column) -> Column:
@@ -35,7 +33,8 @@ def is_forced_retrieval(category: Column) -> Column:
 
 
 def can_be_cached(category: Column, cache_enabled: Column) -> Column:
-    return cache_enabled & ~is_forced_retrieval(category) & category.isin(*D.CACHEABLE_CATEGORIES)
+    """Forced-retrieval kinds are not among the cacheable ones, so one test is enough."""
+    return cache_enabled & category.isin(*D.CACHEABLE_CATEGORIES)
 
 
 def is_word_document(ext: Column) -> Column:
@@ -107,13 +106,11 @@ def file_kind(url: Column, is_local: Column) -> Column:
     )
 
 
-def parse_route(url: Column, image_heavy: Column) -> Column:
+def parse_route(url: Column, ext: Column, category: Column, image_heavy: Column) -> Column:
     """How a document is turned into cacheable content; the first test that holds wins.
 
     A PDF without page statistics counts as image-heavy.
     """
-    ext = file_extension(url)
-    category = extension_category(ext)
     heavy = F.coalesce(image_heavy, F.lit(True))
     return (
         F.when(needs_retrieval(category, F.lit(True)), "forced_retrieval")

@@ -55,7 +55,7 @@ def fuzzy_lookup(
     found = wanted.join(exact, "asked", "left").join(partial.drop("ord"), "asked", "left").select(
         "asked", F.coalesce("exact", "partial").alias(name)
     )
-    return rows.join(found, rows[key] == found["asked"], "left").drop("asked")
+    return rows.join(found.withColumnRenamed("asked", "__asked"), F.col(key) == F.col("__asked"), "left").drop("__asked")
 
 
 def first_term(

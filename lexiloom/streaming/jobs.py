@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from lexiloom.functions.answers import has_error
 from lexiloom.functions.urls import doc_hash
+from lexiloom.operators.status import current_state
 from lexiloom.plans.ingest import ingest_new
 
 CHANGES = "batch"
@@ -86,13 +87,12 @@ def finished_stats(counts: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def status_updates(events: DataFrame, key: str = "document_id") -> DataFrame:
-    """Last written status and protection per document, kept in the state store.
+    """Latest status and latest stated protection per document, kept in the state store.
 
     ``max_by`` combines before the shuffle, so a document with most of the events sends
     one row per input partition.
     """
-    newest = F.max_by(F.struct("status", "protected"), F.struct("ts", "seq")).alias("s")
-    return events.groupBy(key).agg(newest).select(key, "s.status", "s.protected")
+    return current_state(events, key)
 
 
 def first_submissions(requests: DataFrame, url: str = "url", delay: str = "1 day") -> DataFrame:
