@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import dimensions as D
 from lexiloom.catalog.fixtures import (
-    chunks, documents, neighbours_sql, sentence_chunks, spread, sql, table, terms_sql, user_questions,
+    chunk_table, chunks, documents, neighbours_sql, sentence_chunks, spread, sql, table, terms_sql, user_questions,
 )
 from lexiloom.catalog.registry import query
 from lexiloom.functions.text import html_to_text, sentences
@@ -83,8 +83,8 @@ _UPSERTED = """
 def _upserted(spark, sf, mode="replace"):
     docs = documents(spark, sf)
     path = scratch_path(spark, "chunks")
-    save_chunks(spark, path, sentence_chunks(docs))
-    save_chunks(spark, path, sentence_chunks(docs.where(F.col("doc_id") % 3 == 0), drop_last=True), mode)
+    save_chunks(spark, path, sentence_chunks(docs), digits=1)
+    save_chunks(spark, path, sentence_chunks(docs.where(F.col("doc_id") % 3 == 0), drop_last=True), mode, digits=1)
     return open_chunks(spark, path)
 
 
@@ -104,7 +104,7 @@ def index_count(spark, sf):
 @query("chunk_by_id", sql("SELECT chunk_id, text FROM chunk_texts WHERE ordinal = 0", "chunk_texts"))
 def chunk_by_id(spark, sf):
     path = scratch_path(spark, "chunks")
-    save_chunks(spark, path, chunks(spark, sf))
+    save_chunks(spark, path, chunks(spark, sf), digits=1)
     first = documents(spark, sf).select(F.concat(F.substring(F.md5("url"), 1, 8), F.lit("_0")).alias("chunk_id"))
     return get_chunks_of(open_chunks(spark, path), first, ["text"])
 
@@ -171,7 +171,7 @@ def knn_chunks(spark, sf):
     FROM near JOIN chunk_texts USING (chunk_id) GROUP BY query_id""", "user_questions", "chunk_texts", "chunk_terms",
     **_QUESTION_VIEWS, near=_CHUNK_KNN))
 def context_by_query(spark, sf):
-    return R.retrieve(_questions(spark, sf), chunks(spark, sf))
+    return R.retrieve(_questions(spark, sf), chunk_table(spark, sf))
 
 
 _COMBINED = {
@@ -198,7 +198,7 @@ _LIMIT = 0.35
                                      WHERE distance <= {_LIMIT}) f ON f.query_id = u.query_id""",
     "user_questions", "chunk_texts", "chunk_terms", **_QUESTION_VIEWS, near=_NEAREST))
 def retrieval_guard(spark, sf):
-    asked, corpus = _questions(spark, sf), chunks(spark, sf)
+    asked, corpus = _questions(spark, sf), chunk_table(spark, sf)
     found = R.contexts(within(knn(asked, corpus, k=1), _LIMIT), corpus)
     guarded = R.guarded_answers(asked.select("query_id", F.lit(1).alias("n_questions")), found, index_size=1)
     return guarded.select(
@@ -258,7 +258,7 @@ _TEMPLATE_SQL = R.PROMPT_TEMPLATE.replace("'", "''")
 def prompts(spark, sf):
     asked = user_questions(spark, sf)
     combined = R.combined_queries(_questions(spark, sf)).withColumnRenamed("request_id", "query_id")
-    found = R.retrieve(combined, chunks(spark, sf)).withColumnRenamed("query_id", "request_id")
+    found = R.retrieve(combined, chunk_table(spark, sf)).withColumnRenamed("query_id", "request_id")
     batches = R.question_batches(asked, "request_id", ["turn"], "question")
     return batches.join(found, "request_id").select(
         "request_id", "batch_no", R.prompt(F.col("questions"), F.col("context")).alias("prompt")

@@ -14,6 +14,7 @@ from lexiloom.functions.text import sentences
 from lexiloom.functions.urls import chunk_id, chunk_prefix
 from lexiloom.functions.vectors import term_vector
 from lexiloom.operators.chunking import semantic_chunks
+from lexiloom.session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +43,11 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return semantic_chunks(documents(spark, sf))
 
 
+def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks as a written table, for queries that read them more than once."""
+    return cut_lineage(chunks(spark, sf).drop("metadata"))
+
+
 def sentence_chunks(docs: DataFrame, drop_last: bool = False) -> DataFrame:
     """Every sentence as a chunk of its own; optionally without the document's last one."""
     found = sentences(F.col("text"))
@@ -168,7 +174,7 @@ def raw_answers(spark: SparkSession, sf: str) -> DataFrame:
         .when(form == 8, put('They said "', '" and "too short" and "answers"'))
         .otherwise(put('```\n{"answers": ["503 UNAVAILABLE", "', '"]}\n``` done'))
     )
-    return table(spark, sf, "conversations").select(
+    return spread(table(spark, sf, "conversations")).select(
         F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         "conv_id", "turn", (F.col("turn") % 4 + 1).cast("int").alias("n_questions"), raw.alias("raw"),
     )

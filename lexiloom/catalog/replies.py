@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom import dimensions as D
-from lexiloom.catalog.fixtures import cache_answers, doc_pages, lookup_dim, raw_answers, sql, table, user_questions
+from lexiloom.catalog.fixtures import cache_answers, doc_pages, lookup_dim, raw_answers, spread, sql, table, user_questions
 from lexiloom.catalog.registry import query
 from lexiloom.functions import answers as A
 from lexiloom.functions.scalars import pad_to, repeat_message
@@ -254,7 +254,7 @@ def fuzzy_lookup_joined(spark, sf):
 def term_scan(spark, sf):
     terms = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("ord"), F.lit(None).cast("string").alias("key"), F.col("text").alias("value"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return L.first_term(docs, terms, "text", "doc_id").drop("text")
 
 

@@ -385,5 +385,5 @@ def stream_ingest(spark, sf):
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "text",
         F.create_map(F.lit("source"), F.col("source")).alias("metadata"),
     )
-    J.run_to_end(J.ingest_writer(arriving, path), scratch_path(spark, "progress"))
+    J.run_to_end(J.ingest_writer(arriving, path, digits=1), scratch_path(spark, "progress"))
     return open_chunks(spark, path).select("chunk_id", "chunk_prefix", "ordinal", "text")

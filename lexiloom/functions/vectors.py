@@ -15,7 +15,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from lexiloom.dimensions import EMBEDDING_DIM
@@ -91,6 +93,54 @@ def model_vector(embed_batch: Callable[[list[str]], Any]) -> Callable[[Column],
     return run
 
 
+_SENTENCES_AT_ONCE = 50_000
+
+
+def _code_counts(codes: pa.Array, dim: int) -> np.ndarray:
+    """Term counts of encoded texts, one row per text."""
+    lengths = np.fromiter((len(c) for c in codes.to_pylist()), dtype=np.int64, count=len(codes))
+    characters = np.frombuffer("".join(codes.to_pylist()).encode("ascii"), dtype=np.uint8).astype(np.int64)
+    cells = np.repeat(np.arange(len(codes)), lengths) * dim + characters - _FIRST_CODE
+    return np.bincount(cells, minlength=len(codes) * dim).reshape(len(codes), dim).astype(np.float64)
+
+
+def neighbour_distances(buffer: int, dim: int = EMBEDDING_DIM) -> Callable[[Column], Column]:
+    """Distances between consecutive neighbourhoods of a document's encoded sentences.
+
+    Works on Arrow batches in blocks of sentences, so that neither a batch of many
+    documents nor one very long document needs more than a block's vectors at a time.
+    Counts are integers, so the distances equal those of any other order of summation.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def distances(documents: pa.Array) -> pa.Array:
+        sizes = documents.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = documents.flatten()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        result = np.zeros(len(codes))
+        for start in range(0, len(codes), _SENTENCES_AT_ONCE):
+            end = min(start + _SENTENCES_AT_ONCE, len(codes))
+            low, high = max(start - buffer, 0), min(end + buffer + 1, len(codes))
+            single, own = _code_counts(codes.slice(low, high - low), dim), owner[low:high]
+            group = single.copy()
+            for by in range(1, min(buffer, len(own) - 1) + 1):
+                together = (own[by:] == own[:-by])[:, None]
+                group[by:] += single[:-by] * together
+                group[:-by] += single[by:] * together
+            square = np.einsum("ij,ij->i", group, group)
+            norm = square[:-1] * square[1:]
+            cosine = np.divide(
+                np.einsum("ij,ij->i", group[:-1], group[1:]), np.sqrt(norm), out=np.zeros(len(norm)), where=norm > 0
+            )
+            block = np.append(1.0 - cosine, 0.0)
+            result[start:end] = block[start - low:end - low]
+        same = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
+        offsets = np.concatenate(([0], np.cumsum(np.maximum(sizes - 1, 0)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(result[same]))
+
+    return distances
+
+
 def complete_vectors(vector: Column, text: Column) -> Column:
     """Recompute the vector from the text where it is missing or empty."""
     return F.when(F.coalesce(F.size(vector), F.lit(0)) > 0, vector).otherwise(term_vector(text))

@@ -8,11 +8,14 @@ from lexiloom.functions.vectors import let
 from lexiloom.operators.substring import MAX_LITERAL_TERMS, bounded_terms, containments
 
 
-def _entries(rows: list) -> Column:
-    """Dictionary rows ``ord, key, value`` as an array literal in dictionary order."""
+def _entries(rows: list, lowered: int) -> Column:
+    """Dictionary rows ``ord, key, value`` in dictionary order as an array literal.
+
+    ``probe`` is the column to search by (1 key, 2 value), in lower case beforehand.
+    """
     return F.array(*[
-        F.struct(F.lit(r[0]).alias("ord"), F.lit(r[1]).alias("key"), F.lit(r[2]).alias("value"))
-        for r in sorted(rows, key=lambda r: r[0])
+        F.struct(F.lit(r[lowered].lower()).alias("probe"), F.lit(r[2]).alias("value"))
+        for r in sorted(rows, key=lambda r: r[0]) if r[lowered] is not None
     ])
 
 
@@ -34,13 +37,11 @@ def fuzzy_lookup(
         asked = F.lower(F.col(key))
 
         def find(entries: Column) -> Column:
-            exact = _first(entries, lambda e: F.lower(e.key) == asked)
-            partial = _first(
-                entries, lambda e: F.contains(F.lower(e.key), asked) | F.contains(asked, F.lower(e.key))
-            )
+            exact = _first(entries, lambda e: e.probe == asked)
+            partial = _first(entries, lambda e: F.contains(e.probe, asked) | F.contains(asked, e.probe))
             return F.coalesce(exact, partial)
 
-        return rows.withColumn(name, find(_entries(known)) if known else F.lit(None).cast("string"))
+        return rows.withColumn(name, find(_entries(known, lowered=1)) if known else F.lit(None).cast("string"))
     wanted = rows.select(F.col(key).alias("asked")).where(F.col("asked").isNotNull()).distinct()
     entries = dictionary.select("ord", F.col("key").alias("entry"), "value")
     exact = wanted.join(entries, F.lower("asked") == F.lower("entry")).groupBy("asked").agg(
@@ -66,7 +67,7 @@ def first_term(
     if known is not None:
         lowered = let(
             F.lower(F.col(text)),
-            lambda t: F.coalesce(_first(_entries(known), lambda e: F.contains(t, F.lower(e.value))), F.lit(None)),
+            lambda t: _first(_entries(known, lowered=2), lambda e: F.contains(t, e.probe)),
         ) if known else F.lit(None).cast("string")
         return texts.withColumn(name, lowered)
     entries = dictionary.select("ord", "value")

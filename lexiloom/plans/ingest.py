@@ -25,15 +25,15 @@ def document_outcomes(urls: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def ingest_documents(spark: SparkSession, docs: DataFrame, table: str, mode: str = "replace") -> None:
+def ingest_documents(spark: SparkSession, docs: DataFrame, table: str, mode: str = "replace", **layout) -> None:
     """Chunk, embed and store documents."""
-    save_chunks(spark, table, semantic_chunks(readable(docs)), mode)
+    save_chunks(spark, table, semantic_chunks(readable(docs)), mode, **layout)
 
 
-def ingest_new(spark: SparkSession, docs: DataFrame, table: str) -> None:
+def ingest_new(spark: SparkSession, docs: DataFrame, table: str, **layout) -> None:
     """Ingest only documents that are not indexed yet."""
     fresh = new_documents(docs, open_chunks(spark, table)).drop("chunk_prefix")
-    ingest_documents(spark, fresh, table)
+    ingest_documents(spark, fresh, table, **layout)
 
 
 def batch_ingest_report(urls: DataFrame, docs: DataFrame, patterns: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """The persistent chunk table, the cache-mapping table and their incremental upkeep.
 
-Chunks are stored by ``prefix_bucket``, two hex digits of the chunk prefix. A document
-lives in one bucket, so maintaining a batch of documents reads and rewrites only the
-buckets they fall into.
+Chunks are stored by ``prefix_bucket``, the leading hex digits of the chunk prefix. A
+document lives in one bucket, so maintaining a batch of documents reads and rewrites only
+the buckets they fall into. Two digits (256 buckets) suit a table of some terabytes; the
+number is chosen when the table is first written and kept from then on.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from lexiloom.schemas import CACHE_MAP, CHUNK
 from lexiloom.session import cut_lineage
 
 BUCKET = "prefix_bucket"
+BUCKET_DIGITS = 2
 _STORED = T.StructType(CHUNK.fields + [T.StructField(BUCKET, T.StringType())])
 
 
-def bucket_of(prefix: Column) -> Column:
-    return F.substring(prefix, 1, 2)
+def bucket_of(prefix: Column, digits: int = BUCKET_DIGITS) -> Column:
+    return F.substring(prefix, 1, digits)
 
 
 def _open(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -46,14 +48,16 @@ def merged(old: DataFrame, new: DataFrame, mode: str = "replace") -> DataFrame:
     return new.select(*old.columns).unionByName(kept.select(*old.columns))
 
 
-def save_chunks(spark: SparkSession, path: str, new: DataFrame, mode: str = "replace") -> None:
+def save_chunks(
+    spark: SparkSession, path: str, new: DataFrame, mode: str = "replace", digits: int = BUCKET_DIGITS
+) -> None:
     """Merge a batch of chunks into the table, rewriting only the buckets it touches."""
     typed = new.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK.fields if f.name != "embedding"],
         checked_dim(F.col("embedding")).alias("embedding"),
-    ).withColumn(BUCKET, bucket_of(F.col("chunk_prefix")))
+    ).withColumn(BUCKET, bucket_of(F.col("chunk_prefix"), digits))
     batch = cut_lineage(typed)
-    touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most 256 values
+    touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most 16 ** digits values
     if not touched:
         return
     old = open_chunks(spark, path).where(F.col(BUCKET).isin(touched))
@@ -64,11 +68,11 @@ def save_chunks(spark: SparkSession, path: str, new: DataFrame, mode: str = "rep
     )
 
 
-def get_chunks(table: DataFrame, ids: list[str], include: list[str]) -> DataFrame:
+def get_chunks(table: DataFrame, ids: list[str], include: list[str], digits: int = BUCKET_DIGITS) -> DataFrame:
     """Chunks by id with the asked columns; only the ids' buckets and those columns are read."""
     wanted = table.where(F.col("chunk_id").isin(ids))
     if BUCKET in table.columns:
-        wanted = wanted.where(F.col(BUCKET).isin(sorted({i[:2] for i in ids})))
+        wanted = wanted.where(F.col(BUCKET).isin(sorted({i[:digits] for i in ids})))
     return wanted.select("chunk_id", *include)
 
 

@@ -101,13 +101,13 @@ def first_submissions(requests: DataFrame, url: str = "url", delay: str = "1 day
     return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["doc_hash"])
 
 
-def ingest_writer(documents: DataFrame, table: str) -> DataStreamWriter:
+def ingest_writer(documents: DataFrame, table: str, **layout) -> DataStreamWriter:
     """Ingest documents as they arrive, skipping those already indexed.
 
     Chunks are merged by document prefix, so a repeated micro-batch changes nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_new(batch.sparkSession, batch, table)
+        ingest_new(batch.sparkSession, batch, table, **layout)
 
     return documents.writeStream.foreachBatch(write)
