@@ -11,8 +11,10 @@ from lexiloom.functions.scalars import pad_to, repeat_message, strip
 from lexiloom.functions.vectors import let
 
 _FENCE = "```"
-# Fixed value: quoted strings in which only a backslashed quote does not end the string.
-COMPLETE_STRING = r'"([^"\\]*(?:\\+[^\\][^"\\]*)*)"'
+# Quoted strings in which only a backslashed quote does not end the string. The quantifiers
+# are possessive: they run in a loop, where greedy ones recurse once per escape and would
+# overflow the executor's stack on a long answer.
+COMPLETE_STRING = r'"([^"\\]*+(?:\\++[^\\][^"\\]*+)*+)"'
 # Fixed value: a comma that stands right before a closing bracket.
 TRAILING_COMMA = r",(\s*[}\]])"
 PLAIN_STRING = r'"([^"]*)"'

@@ -16,7 +16,7 @@ def read_json_days(spark: SparkSession, directory: str) -> DataFrame:
     files = spark.read.option("pathGlobFilter", "requests_*.json").text(directory, wholetext=True)
     day = F.regexp_extract(F.col("_metadata.file_name"), r"requests_(\d{4}-\d{2}-\d{2})\.json", 1)
     arrays = files.where(F.ltrim("value").startswith("[")).select(
-        F.try_to_date(day, F.lit("yyyy-MM-dd")).alias("log_date"),
+        F.try_to_date(day, "yyyy-MM-dd").alias("log_date"),
         F.explode(F.from_json("value", T.ArrayType(REQUEST_LOG))).alias("r"),
     )
     return arrays.select("log_date", "r.*").where(F.col("request_id").isNotNull())
