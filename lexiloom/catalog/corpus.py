@@ -75,23 +75,23 @@ def zipped_chunks(spark, sf):
     return C.zip_chunks(arrays, "i", "t", "e", "m").select("chunk_id", "text")
 
 
+# The second batch holds the labelled documents, each without its last sentence. One that
+# thereby lost its only sentence is not in the batch, so its old chunk stays.
 _UPSERTED = """
     SELECT chunk_prefix || '_' || (pos - 1) AS chunk_id, chunk_prefix, CAST(pos - 1 AS INTEGER) AS ordinal, s AS text
-    FROM sents WHERE NOT (pos = n AND CAST(substr(url, 5) AS BIGINT) % 3 = 0)"""
+    FROM sents WHERE n = 1 OR pos < n OR CAST(substr(url, 5) AS BIGINT) NOT IN (SELECT doc_id FROM labels)"""
 
 
 def _upserted(spark, sf, mode="replace"):
     docs = documents(spark, sf)
+    changed = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     path = scratch_path(spark, "chunks")
     save_chunks(spark, path, sentence_chunks(docs), digits=1)
-    save_chunks(spark, path, sentence_chunks(docs.where(F.col("doc_id") % 3 == 0), drop_last=True), mode, digits=1)
+    save_chunks(spark, path, sentence_chunks(changed, drop_last=True), mode, digits=1)
     return open_chunks(spark, path)
 
 
-# A document that lost its only sentence is not in the new batch, so its old chunk stays.
-@query("upsert_chunks", sql(f"""
-    {_UPSERTED} UNION ALL
-    SELECT chunk_prefix || '_0', chunk_prefix, 0, s FROM sents WHERE n = 1 AND CAST(substr(url, 5) AS BIGINT) % 3 = 0""", "sents"))
+@query("upsert_chunks", sql(_UPSERTED, "sents"))
 def upsert_chunks(spark, sf):
     return _upserted(spark, sf).select("chunk_id", "chunk_prefix", "ordinal", "text")
 
@@ -279,6 +279,7 @@ def html_text(spark, sf):
     return spread(table(spark, sf, "pages")).select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
-@query("numbered_rows", sql("SELECT query_id, question_no FROM numbered", "numbered"))
-def numbered_rows(spark, sf):
-    return row_numbers(user_questions(spark, sf), ["request_id"], ["turn"], "question_no").select("query_id", "question_no")
+@query("question_numbers", sql("SELECT query_id, question_no FROM numbered", "numbered"))
+def question_numbers(spark, sf):
+    asked = user_questions(spark, sf)
+    return row_numbers(asked, ["request_id"], ["turn"], "question_no", max_group=0).select("query_id", "question_no")

@@ -163,15 +163,14 @@ def allowed_urls(spark, sf):
     return gates.allowed(urls, block_list(spark, sf), key="page_id", limit=0)
 
 
-@query("blocklist_status", sql("""
-    SELECT true AS enabled, (SELECT count(*) FROM block_list) AS blocked_urls_count, pattern AS blocked_url FROM block_list""",
-    "block_list"))
+@query("blocklist_status", sql("SELECT true AS enabled, count(*) AS blocked_urls_count FROM block_list", "block_list"))
 def blocklist_status(spark, sf):
-    patterns = block_list(spark, sf)
-    status = gates.blocklist_status(patterns).withColumn("__k", F.lit(1))
-    return gates.blocklist_entries(patterns).withColumn("__k", F.lit(1)).join(status, "__k").select(
-        "enabled", "blocked_urls_count", F.col("pattern").alias("blocked_url")
-    )
+    return gates.blocklist_status(block_list(spark, sf))
+
+
+@query("blocklist_entries", sql("SELECT pattern FROM block_list", "block_list"))
+def blocklist_entries(spark, sf):
+    return gates.blocklist_entries(block_list(spark, sf))
 
 
 _FEED_SQL = "SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS pattern FROM pages WHERE contains(url, 'utm_source=feed')"

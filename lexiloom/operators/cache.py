@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexiloom.functions.filetypes import file_category, needs_retrieval
+from lexiloom.functions.filetypes import needs_retrieval, with_file_type
 from lexiloom.functions.scalars import stable_name, strip
 from lexiloom.functions.urls import doc_hash
 from lexiloom.operators.ordering import previous_values, row_numbers
@@ -21,30 +21,31 @@ def get_or_create(
     if not cache_enabled:
         off = requests.withColumn("cache_name", F.lit(None).cast("string")).withColumn("is_hit", F.lit(False))
         return off, mapping
-    eligible = ~needs_retrieval(file_category(F.col(url)), F.lit(True))
-    keyed = requests.withColumn("doc_hash", F.when(eligible, doc_hash(F.col(url))))
-    wanted = keyed.where(F.col("doc_hash").isNotNull()).select("doc_hash").distinct()
+    # Every row keeps its own hash as join key: NULL keys would all meet in one task.
+    keyed = with_file_type(requests.withColumn("doc_hash", doc_hash(F.col(url))), url).withColumn(
+        "__cacheable", ~needs_retrieval(F.col("category"), F.lit(True))
+    ).drop("ext", "category")
+    wanted = keyed.where("__cacheable").select("doc_hash").distinct()
     created = wanted.join(mapping, "doc_hash", "left_anti").withColumn("cache_name", stable_name("cache", F.col("doc_hash")))
     updated = mapping.select("doc_hash", "cache_name").unionByName(created)
     known = mapping.select("doc_hash", F.col("cache_name").alias("__known"))
     named = keyed.join(known, "doc_hash", "left").withColumn(
-        "cache_name",
-        F.coalesce("__known", F.when(F.col("doc_hash").isNotNull(), stable_name("cache", F.col("doc_hash")))),
-    ).withColumn("is_hit", F.col("__known").isNotNull())
-    return named.drop("__known", "doc_hash"), updated
+        "cache_name", F.when(F.col("__cacheable"), F.coalesce("__known", stable_name("cache", F.col("doc_hash"))))
+    ).withColumn("is_hit", F.col("__cacheable") & F.col("__known").isNotNull())
+    return named.select(*requests.columns, "cache_name", "is_hit"), updated
 
 
-def hit_ordinals(requests: DataFrame, order: list[str], url: str = "url") -> DataFrame:
+def hit_ordinals(requests: DataFrame, order: list[str], url: str = "url", **bounds) -> DataFrame:
     """Number requests per document; every one after the first is a cache hit."""
     keyed = requests.withColumn("doc_hash", doc_hash(F.col(url)))
-    numbered = row_numbers(keyed, ["doc_hash"], order, "request_no")
+    numbered = row_numbers(keyed, ["doc_hash"], order, "request_no", **bounds)
     return numbered.withColumn("is_hit", F.col("request_no") > 1)
 
 
-def repeat_submissions(requests: DataFrame, tenant: str, order: list[str], url: str = "url") -> DataFrame:
+def repeat_submissions(requests: DataFrame, tenant: str, order: list[str], url: str = "url", **bounds) -> DataFrame:
     """Flag a request whose trimmed URL equals the previous one of the same tenant."""
     trimmed = requests.withColumn("__url", strip(F.col(url)))
-    lagged = previous_values(trimmed, [tenant], order, "__url", "__previous")
+    lagged = previous_values(trimmed, [tenant], order, "__url", "__previous", **bounds)
     return lagged.withColumn("is_repeat", F.coalesce(F.col("__url") == F.col("__previous"), F.lit(False))).drop(
         "__url", "__previous"
     )

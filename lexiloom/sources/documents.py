@@ -11,6 +11,7 @@ from lexiloom.functions.urls import chunk_id, chunk_prefix, doc_basename
 from lexiloom.operators.cache import get_or_create
 from lexiloom.operators.chunking import semantic_chunks
 from lexiloom.operators.ordering import row_numbers
+from lexiloom.session import cut_lineage
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +45,7 @@ def directory_chunks(spark: SparkSession, directory: str) -> DataFrame:
     Files are numbered in path order. The running number comes from slice counts, so a
     directory is never sorted in one task.
     """
-    chunks = semantic_chunks(read_markdown(spark, directory))
+    chunks = cut_lineage(semantic_chunks(read_markdown(spark, directory)))
     numbered = row_numbers(chunks, [], ["url", "ordinal"], "position")
     prefix = chunk_prefix(F.lit(directory))
     ordinal = (F.col("position") - 1).cast("int")

@@ -32,26 +32,30 @@ def plain(frame):
     return sorted(map(tuple, frame.collect()), key=repr)
 
 
-def test_row_numbers(spark, hot, many_slices):
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_row_numbers(spark, hot, many_slices, limit):
     expected = hot.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("ts", "id")).cast("long"))
-    assert plain(O.row_numbers(hot, ["key"], ["ts", "id"], "n")) == plain(expected)
+    assert plain(O.row_numbers(hot, ["key"], ["ts", "id"], "n", max_group=limit)) == plain(expected)
 
 
-def test_row_numbers_over_everything(spark, hot, many_slices):
-    got = O.row_numbers(hot, [], ["ts", "id"], "n")
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_row_numbers_over_everything(spark, hot, many_slices, limit):
+    got = O.row_numbers(hot, [], ["ts", "id"], "n", max_group=limit)
     assert [r.n for r in got.orderBy("ts", "id").collect()] == list(range(1, 3001))
 
 
-def test_previous_values(spark, hot, many_slices):
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_previous_values(spark, hot, many_slices, limit):
     expected = hot.withColumn("p", F.lag("v").over(Window.partitionBy("key").orderBy("ts", "id")))
-    assert plain(O.previous_values(hot, ["key"], ["ts", "id"], "v", "p")) == plain(expected)
+    assert plain(O.previous_values(hot, ["key"], ["ts", "id"], "v", "p", max_group=limit)) == plain(expected)
 
 
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_running_sum(spark, hot, many_slices, inclusive):
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_running_sum(spark, hot, many_slices, inclusive, limit):
     window = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     expected = hot.withColumn("s", F.coalesce(F.sum("v").over(window), F.lit(0.0)))
-    assert plain(O.running_sum(hot, ["key"], ["ts", "id"], "v", "s", inclusive)) == plain(expected)
+    assert plain(O.running_sum(hot, ["key"], ["ts", "id"], "v", "s", inclusive, max_group=limit)) == plain(expected)
 
 
 def test_a_hot_key_is_spread_over_slices(spark, hot, many_slices):
@@ -156,6 +160,12 @@ def test_fuzzy_lookup(spark):
         assert got == {1: "Big Ben", 2: None}
 
 
+def test_carries_are_few_and_broadcast(spark, hot, many_slices):
+    rows = O.sliced(hot, ["key"], ["ts", "id"])
+    carries = O._carries(rows, ["key"], F.count(F.lit(1)), lambda n, across: F.sum(n).over(O._earlier(across)))
+    assert 0 < carries.count() <= rows.select("__slice").distinct().count()
+
+
 def chunked(spark, texts, **options):
     docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "url string, text string")
     return C.semantic_chunks(docs, **options)
