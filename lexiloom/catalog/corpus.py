@@ -33,7 +33,8 @@ def sentence_windows(spark, sf):
     "SELECT url, CAST(pos AS INTEGER) AS pos, round(dist, 9) AS distance FROM dists", "dists"))
 def sentence_distance(spark, sf):
     docs = C.with_distances(C.with_sentences(documents(spark, sf)))
-    return docs.select("url", F.posexplode("dists").alias("p", "d")).select(
+    # The outer form keeps the optimizer from testing the array's size with a second run of the UDF.
+    return docs.select("url", F.posexplode_outer("dists").alias("p", "d")).where(F.col("d").isNotNull()).select(
         "url", (F.col("p") + 1).alias("pos"), F.round("d", 9).alias("distance")
     )
 

@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexiloom import dimensions as D
 from lexiloom.functions.answers import override_overload, parse_salvage, parse_strict, validated
+from lexiloom.functions.vectors import let
 
 
 def normalised_batches(outputs: DataFrame, salvage: bool = False) -> DataFrame:
     """Parse, pad, validate and overload-check each output (``raw, n_questions``)."""
     parse = parse_salvage if salvage else parse_strict
     n = F.col("n_questions")
-    answers = outputs.withColumn("answers", parse(F.col("raw"), n))
-    return answers.withColumn("answers", override_overload(validated(F.col("answers")), n))
+    clean = let(validated(parse(F.col("raw"), n)), lambda answers: override_overload(answers, n))
+    return outputs.withColumn("answers", clean)
 
 
 def concatenated(batches: DataFrame, request_id: str = "request_id", size: int = D.MAX_QUESTIONS_PER_BATCH) -> DataFrame:
     """Answers of all batches in question order, one row per answer.
 
-    A batch's place gives its questions' numbers, so nothing is gathered per request.
+    A batch's place gives its questions' numbers, so nothing is gathered per request. The
+    outer form keeps the optimizer from parsing every output once more to test its size.
     """
-    return batches.select(request_id, "batch_no", F.posexplode("answers").alias("pos", "answer")).select(
+    rows = batches.select(request_id, "batch_no", F.posexplode_outer("answers").alias("pos", "answer"))
+    return rows.where(F.col("pos").isNotNull()).select(
         request_id,
         ((F.col("batch_no") - 1) * size + F.col("pos") + 1).cast("long").alias("question_no"),
         "answer",
