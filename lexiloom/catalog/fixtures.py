@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexiloom import dimensions as D
 from lexiloom.functions.text import sentences
 from lexiloom.functions.urls import chunk_id, chunk_prefix
-from lexiloom.functions.vectors import term_vector
+from lexiloom.functions.vectors import with_term_vector
 from lexiloom.operators.chunking import semantic_chunks
 from lexiloom.session import cut_lineage
 
@@ -54,10 +54,9 @@ def sentence_chunks(docs: DataFrame, drop_last: bool = False) -> DataFrame:
     kept = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))) if drop_last else found
     prefix = chunk_prefix(F.col("url"))
     rows = docs.select("url", F.posexplode(kept).alias("ordinal", "text"))
-    return rows.select(
+    return with_term_vector(rows, "text").select(
         chunk_id(prefix, F.col("ordinal")).alias("chunk_id"), prefix.alias("chunk_prefix"), "ordinal", "text",
-        term_vector(F.col("text")).alias("embedding"),
-        F.create_map(F.lit("url"), F.col("url")).alias("metadata"),
+        "embedding", F.create_map(F.lit("url"), F.col("url")).alias("metadata"),
     )
 
 

@@ -18,7 +18,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexiloom.dimensions import EMBEDDING_DIM
 
@@ -63,6 +63,16 @@ def term_vector(text: Column, dim: int = EMBEDDING_DIM) -> Column:
     return let(encode(text, dim), lambda codes: counts(codes, dim))
 
 
+def with_term_vector(df: DataFrame, text: str, name: str = "embedding", dim: int = EMBEDDING_DIM) -> DataFrame:
+    """Add the term counts of a text column.
+
+    The encoding is a column of its own, so the counts are compiled into the stage's code;
+    inside one expression they would be interpreted.
+    """
+    encoded = df.withColumn("__codes", encode(F.col(text), dim))
+    return encoded.withColumn(name, counts(F.col("__codes"), dim)).drop("__codes")
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product, accumulated in DOUBLE in array order."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
