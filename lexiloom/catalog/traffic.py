@@ -11,10 +11,11 @@ from lexiloom.catalog.fixtures import (
 from lexiloom.catalog.registry import query
 from lexiloom.catalog.urls import _BLOCKED, page_index
 from lexiloom.functions.answers import has_error
+from lexiloom.functions.filetypes import with_file_type
 from lexiloom.functions.scalars import stable_name
 from lexiloom.functions.urls import doc_hash
 from lexiloom.operators import cache as K, lookups as L, requests as Q, status as S
-from lexiloom.plans.ledger import run_ledger as ledger
+from lexiloom.plans.ledger import log_records, run_ledger as ledger
 from lexiloom.session import scratch_path
 from lexiloom.sources.chunk_table import load_mapping, open_chunks, save_mapping
 from lexiloom.sources.documents import directory_cache_map as cache_map_of, write_files
@@ -219,6 +220,25 @@ def route(spark, sf):
     )
 
 
+@query("logged_runs", sql(f"""
+    SELECT l.request_id, l.log_date, l.documents, l.question_count, l.processing_time, d.method,
+           array_to_string(l.answers, '|') AS answers, l.event_type <> 'error' AS success,
+           epoch_us(l.ts) / 1000000.0 AS unix_timestamp
+    FROM request_log l JOIN decisions d ON d.url = l.documents""",
+    "request_log", "block_list", "current_status", decisions=_decision(False)))
+def logged_runs(spark, sf):
+    log = request_log(spark, sf).select("request_id", "ts", "processing_time", "answers", "event_type")
+    runs = _routed(spark, sf, _runs(spark, sf), False).join(log, "request_id").withColumn(
+        "error", F.when(F.col("event_type") == "error", "failed run"))
+    path = scratch_path(spark, "runs")
+    records = log_records(runs)
+    append_log(records, path)
+    return Q.flat_log(read_log(spark, path, records.schema)).select(
+        "request_id", "log_date", "documents", "question_count", "processing_time", "method",
+        F.array_join("answers", "|").alias("answers"), "success", "unix_timestamp",
+    )
+
+
 # ---- cache mapping ---------------------------------------------------------------------
 
 
@@ -238,8 +258,6 @@ _MAPPING_SQL = """
 
 
 def _mapping(spark, sf):
-    from lexiloom.functions.filetypes import with_file_type
-
     typed = with_file_type(file_urls(spark, sf)).where(F.contains("url", F.lit("/de/")))
     key = doc_hash(F.col("url"))
     return typed.where(F.col("category").isin(*D.CACHEABLE_CATEGORIES)).select(
@@ -276,8 +294,6 @@ def cache_mapping(spark, sf):
     SELECT doc_hash, cache_name FROM ({_MAPPING_SQL}) WHERE doc_hash NOT IN (
       SELECT md5(lower(trim(url))) FROM typed_urls WHERE category = 'html')""", "typed_urls"))
 def cache_evict(spark, sf):
-    from lexiloom.functions.filetypes import with_file_type
-
     return K.evict(_mapping(spark, sf), with_file_type(file_urls(spark, sf)).where("category = 'html'"))
 
 
@@ -297,8 +313,6 @@ def active_caches(spark, sf):
     SELECT 'f' || id || ext AS file_name FROM typed_urls WHERE category IN ('document', 'image', 'html', 'email')""",
     "typed_urls"))
 def directory_cache_map(spark, sf):
-    from lexiloom.functions.filetypes import with_file_type
-
     directory = scratch_path(spark, "files")
     named = with_file_type(file_urls(spark, sf)).join(
         table(spark, sf, "pages").select(F.col("page_id").alias("id"), "html"), "id"

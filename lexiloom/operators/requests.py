@@ -7,6 +7,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexiloom.functions.answers import has_error
 
 
+def flat_log(records: DataFrame) -> DataFrame:
+    """Nested log records as the flat columns the statistics work on.
+
+    Embedding calls carry ``document_urls`` instead of ``documents``; theirs is NULL.
+    """
+    return records.select(
+        "request_id", "log_date", "unix_timestamp", "endpoint",
+        F.col("request.documents").alias("documents"),
+        F.coalesce(F.size("request.questions"), F.lit(0)).alias("question_count"),
+        F.col("response.processing_time").alias("processing_time"),
+        F.col("response.answers").alias("answers"),
+        F.col("response.success").alias("success"),
+        F.col("response.method").alias("method"),
+        F.col("response.error").alias("error"),
+    )
+
+
 def request_metrics(log: DataFrame) -> DataFrame:
     """Per-request derived metrics over ``answers`` and ``question_count``."""
     return log.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiloom import dimensions as D
+from lexiloom.functions.answers import is_unavailable, mentions_any
+from lexiloom.functions.scalars import repeat_message
 
 
 def latest_status(events: DataFrame, key: str = "document_id") -> DataFrame:
@@ -16,8 +18,8 @@ def latest_status(events: DataFrame, key: str = "document_id") -> DataFrame:
 def lifecycle_events(actions: DataFrame) -> DataFrame:
     """Turn actions into status events: ``new``, ``start``, ``done``, ``failed``.
 
-    A new document is protected; starting keeps protection as it is (NULL: unchanged is
-    resolved by the latest non-null value); finishing in either way clears it.
+    A new document is protected and finishing either way clears that. Starting says
+    nothing about protection: NULL, so that :func:`current_state` keeps what was said last.
     """
     status = (
         F.when(F.col("action") == "new", "not_started")
@@ -113,9 +115,6 @@ def with_fallback(cached: DataFrame, retrieved: DataFrame, key: str = "request_i
 
     ``cached`` has ``answers, error, n_questions``; ``retrieved`` has ``answers``.
     """
-    from lexiloom.functions.answers import is_unavailable, mentions_any
-    from lexiloom.functions.scalars import repeat_message
-
     fallback = retrieved.select(F.col(key), F.col("answers").alias("__retrieved"))
     needs = is_unavailable(F.col("answers")) | mentions_any(F.col("error"), D.ROUTE_ERROR_WORDS)
     joined = cached.join(fallback, key, "left").withColumn("__needs", needs)

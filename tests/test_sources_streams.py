@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.catalog.fixtures import log_of, status_of
-from lexiloom.operators.requests import last_requests, request_stats, without_answers
+from lexiloom.operators.requests import flat_log, last_requests, request_stats, without_answers
 from lexiloom.operators.status import current_state
 from lexiloom.plans.ingest import ingest_documents, ingest_new
 from lexiloom.sources import chunk_table as T, documents as D, email as E, files as FI, request_log as Q
@@ -67,6 +67,8 @@ def test_json_days(spark, tmp_path):
     assert [(r.request_id, str(r.log_date)) for r in log.orderBy("request_id").collect()] == [("1", "2024-01-01"), ("2", "2024-01-01")]
     assert [r.request_id for r in last_requests(log, 1).collect()] == ["1"]
     assert "answers" not in without_answers(log).select("response.*").columns
+    stats = request_stats(flat_log(log)).first()
+    assert (stats.total_requests, stats.total_questions, stats.unique_documents, stats.avg_processing_time) == (2, 2, 1, 1.5)
     path = str(tmp_path / "table")
     Q.append_log(log, path)
     Q.append_log(log, path)
