@@ -8,12 +8,14 @@ be connected are not opened again. Four steps, each exact:
    ``ceil(0.75 n)`` of its tokens in common with it. The holders of every token in half of
    the token space are counted (one shuffle of packed postings); a set whose shared tokens
    there cannot reach the bound links with nothing and leaves the join.
-2. *Groups.* Sets with an equal minimum hash meet the group's leader; verified members link
-   to it. Components of these links are the groups.
-3. *Token-group matrix.* Per token the groups that hold it. For every set the matrix bounds
-   its overlap with all other groups together, then, for the sets left, with each group;
-   only groups at or above the bound are opened.
-4. *Opened groups* are verified member by member on the whole sets.
+2. *Leaders.* Sets with an equal minimum hash meet the least of them; verified sets link to
+   it. A set whose tokens outside its own component of these links cannot reach the bound
+   leaves as well.
+3. *Token-group matrix.* The sets left are cut into groups of similar ones (order of the
+   minimum hash). The matrix holds, per token, the groups whose union has it; it gives every
+   set's overlap with every group's union, and only groups at or above the bound are opened.
+4. *Opened groups*: the set is compared with all members on whole sets, inside one task; only
+   links to other components leave it.
 
 Exact copies are one set throughout, so a group of copies of any size costs one posting list.
 """
@@ -38,6 +40,8 @@ HASHES = 6
 PACK_BYTES = 4 << 20
 #: Documents per token bucket.
 DOCS_PER_BUCKET = 2048
+#: Sets of a group in the matrix, as a power of two.
+GROUP_BITS = 8
 
 _MARK = np.uint64((1 << 40) - 1)
 _SIGNED = np.int64
@@ -224,8 +228,9 @@ def _store_sets(width: int):
                 part = texts.slice(low, 256)
                 own = [document_set(part[i].as_py(), ids, width) for i in range(len(part))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, 256), pa.array([len(t) for t in own], pa.int64()), pa.array([t.tobytes() for t in own], pa.binary())],
-                    names=["rep", "n", "tokens"],
+                    [batch.column("doc_id").slice(low, 256), pa.array([len(t) for t in own], pa.int64()),
+                     pa.array([_minimum_hashes(t)[0] if len(t) else 0 for t in own], pa.int64()), pa.array([t.tobytes() for t in own], pa.binary())],
+                    names=["rep", "n", "likeness", "tokens"],
                 )
 
     return run
@@ -266,6 +271,7 @@ def leader_pairs(able: DataFrame) -> DataFrame:
 
 
 _MATRIX = "bucket int, rep long, grp long, n long, tokens binary"
+_CARRIED = ("rep", "grp", "n")
 
 
 def _token_columns(bits: int):
@@ -273,131 +279,254 @@ def _token_columns(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {k: [] for k in ("bucket", "rep", "grp", "n", "tokens")}
-            for rep, grp, n, blob in zip(*(batch.column(c) for c in ("rep", "grp", "n", "tokens"))):
+            bucket, source, pieces = [], [], []
+            for i, blob in enumerate(batch.column("tokens")):
                 tokens = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
-                bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-                starts, sizes = _runs(bucket)
-                columns["bucket"] += bucket[starts].tolist()
-                columns["tokens"] += [tokens[a : a + k].tobytes() for a, k in zip(starts, sizes)]
-                for name, value in (("rep", rep), ("grp", grp), ("n", n)):
-                    columns[name] += [value.as_py()] * len(starts)
+                own = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+                starts, sizes = _runs(own)
+                bucket += own[starts].tolist()
+                source += [i] * len(starts)
+                pieces += [tokens[a : a + k].tobytes() for a, k in zip(starts, sizes)]
+            take = pa.array(source, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns["bucket"], pa.int32()), *(pa.array(columns[c], pa.int64()) for c in ("rep", "grp", "n")), pa.array(columns["tokens"], pa.binary())],
-                names=list(columns),
+                [pa.array(bucket, pa.int32()), *(batch.column(c).take(take) for c in _CARRIED), pa.array(pieces, pa.binary())],
+                names=["bucket", *_CARRIED, "tokens"],
             )
 
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Token, set and group arrays of one bucket after the other, sorted by token and group."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, sets, groups and figures of one bucket after the other, sorted by token and group."""
     current, held = None, []
 
     def close():
-        token = np.concatenate([np.frombuffer(t, dtype=np.uint64) for _, _, t in held])
-        sizes = [len(t) // 8 for _, _, t in held]
-        rep = np.repeat(np.array([r for r, _, _ in held], dtype=np.int64), sizes)
-        grp = np.repeat(np.array([g for _, g, _ in held], dtype=np.int64), sizes)
-        order = np.lexsort((grp, token))
+        sizes = [len(h[-1]) // 8 for h in held]
+        token = np.concatenate([np.frombuffer(h[-1], dtype=np.uint64) for h in held])
+        carried = np.repeat(np.array([h[:-1] for h in held], dtype=np.int64), sizes, axis=0)
+        order = np.lexsort((carried[:, 1], token))
         held.clear()
-        return token[order], rep[order], grp[order]
+        token, carried = token[order], carried[order]
+        return token, carried[:, 0], carried[:, 1], carried[:, 2:]
 
     for batch in batches:
-        for bucket, rep, grp, tokens in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rep", "grp", "tokens"))):
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *_CARRIED, "tokens"))):
             if bucket != current and held:
                 yield close()
             current = bucket
-            held.append((rep, grp, tokens))
+            held.append(row)
     if held:
         yield close()
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of the stacked keys and the sums of their counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    rows, place = np.unique(key, axis=0, return_inverse=True)
+    return rows, np.bincount(place.ravel(), weights=count, minlength=len(rows)).astype(np.int64)
+
+
+def _flushing(parts: Iterator[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sum keyed counts over the buckets of a task; what is held is summed whenever it is large."""
+    keys, counts = [], []
+    for key, count in parts:
+        keys.append(key)
+        counts.append(count)
+        if sum(map(len, counts)) > 1_000_000:
+            rows, sums = _summed(keys, counts)
+            keys, counts = [rows], [sums]
+            if len(rows) > 500_000:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, rows.T), pa.array(sums)], names=names)
+                keys, counts = [], []
+    if keys:
+        rows, sums = _summed(keys, counts)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, rows.T), pa.array(sums)], names=names)
+
+
 def _cross_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per set, how many of its tokens some other group holds."""
-    for token, rep, grp in _buckets(batches):
-        starts, sizes = _runs(token)
-        several = grp[starts] != grp[starts + sizes - 1]
-        found, counts = np.unique(rep[np.repeat(several, sizes)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], names=["rep", "n_cross"])
 
+    def parts():
+        for token, rep, grp, _ in _buckets(batches):
+            starts, sizes = _runs(token)
+            several = grp[starts] != grp[starts + sizes - 1]
+            found, counts = np.unique(rep[np.repeat(several, sizes)], return_counts=True)
+            yield found[:, None], counts
+
+    yield from _flushing(parts(), ["rep", "n_cross"])
 
-def _group_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per set and other group, how many of the set's tokens the group's union holds.
 
-    Within a run of one token every set meets every group; the meetings are summed in blocks
-    and never leave the task one by one.
+def _group_overlaps(slices: int):
+    """Per group, the sets that meet its token union and in how many tokens, packed.
+
+    In a token's run every set meets every group that holds the token. The meetings are summed
+    over all buckets of the task; one row leaves per group and slice of the sets.
     """
-    for token, rep, grp in _buckets(batches):
-        starts, sizes = _runs(token)
-        reps, rep_at = np.unique(rep, return_inverse=True)
-        grps, grp_at = np.unique(grp, return_inverse=True)
-        meetings: dict[int, int] = {}
-        block: list[np.ndarray] = []
-
-        def add() -> None:
-            codes, counts = np.unique(np.concatenate(block), return_counts=True)
-            block.clear()
-            for code, count in zip(codes.tolist(), counts.tolist()):
-                meetings[code] = meetings.get(code, 0) + count
-
-        held = 0
-        for a, k in zip(starts, sizes):
-            unions = np.unique(grp_at[a : a + k])
-            if len(unions) < 2:
-                continue
-            for low in range(a, a + k, 1000):
-                mine = slice(low, min(low + 1000, a + k))
-                code = (rep_at[mine][:, None] * len(grps) + unions[None, :])[grp_at[mine][:, None] != unions[None, :]]
-                block.append(code.ravel())
-                held += len(code)
-                if held > 2_000_000:
-                    add()
-                    held = 0
-        if block:
-            add()
-        codes = np.fromiter(meetings, dtype=np.int64, count=len(meetings))
-        counts = np.fromiter(meetings.values(), dtype=np.int64, count=len(meetings))
-        width = max(len(grps), 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(reps[codes // width]), pa.array(grps[codes % width]), pa.array(counts)], names=["rep", "grp", "common"]
-        )
+
+    def parts(batches):
+        for token, rep, grp, carried in _buckets(batches):
+            starts, sizes = _runs(token)
+            reps, first, rep_at = np.unique(rep, return_index=True, return_inverse=True)
+            grps, grp_at = np.unique(grp, return_inverse=True)
+            n = carried[first, 0]
+            block, held = [], 0
+
+            def summed():
+                codes, counts = np.unique(np.concatenate(block), return_counts=True)
+                at = codes // len(grps)
+                return np.stack([grps[codes % len(grps)], reps[at], n[at]], axis=1), counts
+
+            for a, k in zip(starts, sizes):
+                if k < 2:
+                    continue
+                unions = np.unique(grp_at[a : a + k])
+                for low in range(a, a + k, 4096):
+                    mine = rep_at[low : min(low + 4096, a + k)]
+                    block.append((mine[:, None] * len(grps) + unions[None, :]).ravel())
+                    held += len(block[-1])
+                    if held > 1_000_000:
+                        yield summed()
+                        block, held = [], 0
+            if held:
+                yield summed()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _flushing(parts(batches), ["grp", "rep", "n", "common"]):
+            grp, rep, n, common = (c.to_numpy() for c in batch.columns)
+            part = (mixed(rep.astype(np.uint64)) % np.uint64(slices)).astype(np.int64)
+            order = np.lexsort((part, grp))
+            starts, sizes = _runs(grp[order] * slices + part[order])
+            rows = [order[a : a + k] for a, k in zip(starts, sizes)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([grp[r[0]] for r in rows], pa.int64()), pa.array([part[r[0]] for r in rows], pa.int64()),
+                 pa.array([np.stack([rep[r], n[r], common[r]]).tobytes() for r in rows], pa.binary())],
+                names=["grp", "part", "met"],
+            )
+
+    return run
+
+
+def _qualifying(percent: int):
+    """Sets whose overlap with a group's token union reaches what a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def close():
+            met = np.concatenate(held, axis=1)
+            rows, sums = _summed([met[:2].T], [met[2]])
+            keep = rows[sums >= needed(rows[:, 1], percent)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keep[:, 0]), pa.array(np.full(len(keep), current[0], dtype=np.int64))], names=["rep", "grp"]
+            )
+
+        for batch in batches:
+            for grp, part, met in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "met"))):
+                if (grp, part) != current and held:
+                    yield close()
+                current = (grp, part)
+                held.append(np.frombuffer(met, dtype=np.int64).reshape(3, -1))
+        if held:
+            yield close()
+
+    return run
+
+
+def _open_groups(percent: int):
+    """Compare every query set with all members of a group, one group (and part) after the other.
+
+    Rows arrive with a group's members first. The members' tokens form one sorted list; a
+    query's overlaps with all of them are one lookup and one count. One link per component
+    other than the query's own leaves; more would connect nothing new.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, loaded, members = None, None, []
+
+        def load():
+            sizes = np.array([len(t) // 8 for _, _, t in members])
+            token = np.concatenate([np.frombuffer(t, dtype=np.uint64) for _, _, t in members])
+            owner = np.repeat(np.arange(len(members)), sizes)
+            order = np.argsort(token, kind="stable")
+            rep, comp = (np.array([m[i] for m in members], dtype=np.int64) for i in (0, 1))
+            return token[order], owner[order], sizes, rep, comp
+
+        for batch in batches:
+            a, b = [], []
+            for grp, part, is_query, rep, comp, tokens in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "is_query", "rep", "comp", "tokens"))):
+                if (grp, part) != current:
+                    current, loaded, members = (grp, part), None, []
+                if not is_query:
+                    members.append((rep, comp, tokens))
+                    continue
+                if loaded is None:
+                    loaded = load()
+                token, owner, sizes, reps, comps = loaded
+                if (comps == comp).all():
+                    continue
+                own = np.frombuffer(tokens, dtype=np.uint64)
+                low, high = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+                width = high - low
+                hits = owner[np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())]
+                both = np.bincount(hits, minlength=len(sizes))
+                linked = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (comps != comp))
+                for at in linked[np.unique(comps[linked], return_index=True)[1]]:
+                    a.append(rep)
+                    b.append(int(reps[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def components_of_sets(docs: DataFrame, able: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """``node, component`` over the representatives that link with some other set."""
     sets = cut_lineage(
         only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), able.select(F.col("rep").alias("doc_id")))
-        .mapInArrow(_store_sets(width), "rep long, n long, tokens binary")
+        .mapInArrow(_store_sets(width), "rep long, n long, likeness long, tokens binary")
     )
     star = cut_lineage(verified(leader_pairs(able), sets, percent))
     groups = connected_components(star)
 
     bits = max(2, min(22, (max(able.count(), 1) // DOCS_PER_BUCKET).bit_length() + 2))
-    grouped = sets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", F.coalesce("component", "rep").alias("grp"), "n", "tokens"
-    )
+    grouped = sets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
 
-    def matrix(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(_token_columns(bits), _MATRIX).repartition("bucket").sortWithinPartitions("bucket")
+    def matrix(rows: DataFrame, group: str) -> DataFrame:
+        columns = rows.select("rep", F.col(group).alias("grp"), "n", "tokens")
+        return columns.mapInArrow(_token_columns(bits), _MATRIX).repartition("bucket").sortWithinPartitions("bucket")
 
-    bound = F.floor((F.col("n") * percent + 99) / 100)
+    # Sets that the components of the star links could not still connect to any other leave.
     crossing = (
-        matrix(grouped).mapInArrow(_cross_counts, "rep long, n_cross long").groupBy("rep").agg(F.sum("n_cross").alias("n_cross"))
+        matrix(grouped, "comp").mapInArrow(_cross_counts, "rep long, n_cross long")
+        .groupBy("rep").agg(F.sum("n_cross").alias("n_cross"))
+    )
+    left = (
+        grouped.join(crossing, "rep").where(F.col("n_cross") >= F.floor((F.col("n") * percent + 99) / 100))
+        .select("rep", "n", "likeness", "comp", "tokens")
+    )
+    # Groups of similar sets: neighbours in the order of the minimum hash, GROUP_SETS at most.
+    ordered = left.repartitionByRange("likeness", "rep").sortWithinPartitions("likeness", "rep")
+    left = cut_lineage(ordered.withColumn("grp", F.shiftright(F.monotonically_increasing_id(), GROUP_BITS)))
+
+    slices = max(1, left.count() // 16_384)
+    query_groups = cut_lineage(
+        matrix(left, "grp").mapInArrow(_group_overlaps(slices), "grp long, part long, met binary")
+        .repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(_qualifying(percent), "rep long, grp long")
+    )
+    # A group that many sets ask for is opened in several places, so that no task gets them all.
+    asked = query_groups.groupBy("grp").agg(F.ceil(F.count("*") / 2048).alias("parts"))
+    queries = (
+        query_groups.join(asked, "grp").join(left.select("rep", "comp", "tokens"), "rep")
+        .select("grp", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(True).alias("is_query"), "rep", "comp", "tokens")
     )
-    left = cut_lineage(grouped.join(crossing, "rep").where(F.col("n_cross") >= bound).drop("n_cross"))
-    overlaps = (
-        matrix(left).mapInArrow(_group_overlaps, "rep long, grp long, common long")
-        .groupBy("rep", "grp").agg(F.sum("common").alias("common"))
-        .join(left.select("rep", "n"), "rep").where(F.col("common") >= bound).select("rep", "n", "grp")
+    members = left.join(asked, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_query"), "rep", "comp", "tokens"
     )
-    members = left.select(F.col("rep").alias("member"), F.col("n").alias("size"), "grp")
     opened = (
-        overlaps.join(members, "grp").where(f"100 * least(n, size) >= {percent} * greatest(n, size)")
-        .select(F.least("rep", "member").alias("a"), F.greatest("rep", "member").alias("b")).distinct()
+        queries.union(members).repartition("grp", "part").sortWithinPartitions("grp", "part", "is_query")
+        .mapInArrow(_open_groups(percent), "a long, b long")
     )
-    links = star.union(verified(opened, left.select("rep", "n", "tokens"), percent))
-    return connected_components(links)
+    return connected_components(star.union(opened))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
