@@ -1,4 +1,4 @@
 """Importing this module registers the queries of this package."""
 
-from lexiloom.llm import langid, ngram_join, sharding  # noqa: F401
+from lexiloom.llm import decontaminate, langid, ngram_join, sharding, toxicity  # noqa: F401
 from lexiloom.llm.tables import ORACLES, QUERIES  # noqa: F401
