@@ -5,8 +5,8 @@ The kernel compares two words by their common subsequences of three letters, eac
 not hide a word. Landmark words give a finite feature map (Nyström); a linear machine is
 trained on it. A text is a bag of words with one label, so training is multiple-instance: of
 a toxic text only its worst word has to be beyond the margin, of a clean text every word has
-to be on the other side. The text's score is that of its worst word, calibrated on the
-training texts.
+to be on the other side. The text's score comes from the margins of its three worst words and its
+length, calibrated on the training texts.
 
 A decision is linear in the subsequence counts, so the machine is folded into one weight per
 triple of letters before scoring; nothing is approximated by that.
@@ -36,7 +36,11 @@ LANDMARKS = 320
 #: Labelled texts of each class that the machine is trained on (the documented bound).
 TRAIN_TEXTS = 3000
 #: Negative words kept for training, the most frequent ones and a draw of the rest.
-FREQUENT, DRAWN = 2500, 6000
+FREQUENT, DRAWN = 2500, 4000
+#: Clean words nearest to the margin that each training round adds.
+HARD = 1500
+#: How many times rarer a suspect has to be in clean texts; the share of toxic texts that makes a word certain.
+LIFT, FAIR = 10, 0.02
 #: Probability at which a text is called toxic.
 THRESHOLD = 0.7
 #: Word scores remembered per task; dropped and begun anew beyond that.
@@ -71,7 +75,8 @@ def units(text: str) -> set[str]:
 
 
 def windows(word: str) -> list[str]:
-    """Pieces of at most ``WORD`` letters that overlap by half and cover the whole word."""
+    """Pieces of at most ``WORD`` letters that cover the word and the marks of its two ends."""
+    word = f"^{word}$"
     if len(word) <= WORD:
         return [word]
     step = WORD // 2
@@ -108,13 +113,17 @@ class StringKernel:
 
     def gram(self, words: list[str], landmarks: list[str]) -> np.ndarray:
         """Normalised kernel of every word with every landmark."""
-        dense = np.zeros((LETTERS**3, len(landmarks)), dtype=np.float32)
-        for j, (triple, value) in enumerate(self.features(landmarks)):
-            dense[triple, j] = value
+        made = self.features(landmarks)
+        known = np.unique(np.concatenate([t for t, _ in made])) if made else np.empty(0, np.int64)
+        dense = np.zeros((len(known) + 1, len(landmarks)), dtype=np.float32)
+        for j, (triple, value) in enumerate(made):
+            dense[np.searchsorted(known, triple), j] = value
         out = np.zeros((len(words), len(landmarks)))
         for i, (triple, value) in enumerate(self.features(words)):
-            if len(triple):
-                out[i] = value @ dense[triple]
+            if len(triple) and len(known):
+                at = np.minimum(np.searchsorted(known, triple), len(known) - 1)
+                here = known[at] == triple
+                out[i] = value[here] @ dense[at[here]]
         return out
 
 
@@ -125,18 +134,20 @@ class ToxicityModel:
     kernel: StringKernel
     weights: np.ndarray
     intercept: float
-    slope: float
-    offset: float
+    curve: np.ndarray
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Decision value of every word: of its windows the largest."""
         pieces = [windows(w) for w in words]
-        flat = [p for own in pieces for p in own]
+        value = self.pieces_margins([p for own in pieces for p in own])
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(int)
+        return np.maximum.reduceat(value, starts) if len(value) else value
+
+    def pieces_margins(self, flat: list[str]) -> np.ndarray:
         value = np.empty(len(flat))
         for low in range(0, len(flat), 2048):
             value[low : low + 2048] = self._scored(flat[low : low + 2048])
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(int)
-        return np.maximum.reduceat(value, starts) if len(flat) else np.empty(0)
+        return value
 
     def _scored(self, words: list[str]) -> np.ndarray:
         value = np.empty(len(words))
@@ -171,21 +182,31 @@ class ToxicityModel:
         square = np.where(code < LETTERS**3, sums**2, 0.0).sum(axis=1)
         return np.sqrt(np.where(square > 0, square, 1.0))
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -60, 60)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        """Calibrated probability of texts from rows of :func:`evidence_of`."""
+        return 1.0 / (1.0 + np.exp(-np.clip(evidence @ self.curve, -60, 60)))
+
 
+#: Range of the margins that count for a text; the lower end stands for words it does not have.
+LEAST, MOST = -3.0, 1.5
+#: Worst words of a text that its probability depends on.
+WORST = 3
 
-#: Margin of a text without any word.
-NO_WORDS = -3.0
 
+def evidence_of(margins: list[float]) -> list[float]:
+    """What the calibration sees of a text: its worst words' margins and how many words it has."""
+    worst = sorted(margins, reverse=True)[:WORST]
+    return [*(min(max(m, LEAST), MOST) for m in worst), *[LEAST] * (WORST - len(worst)), np.log1p(len(margins)), 1.0]
 
-def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 8.0, rounds: int = 120) -> tuple[np.ndarray, float]:
+
+def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 3000.0) -> tuple[np.ndarray, float]:
     """Linear support vector machine (squared hinge, both classes weighted alike) by Newton steps."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1))) * cost / len(y) * 100
+    for side in (1, -1):
+        weight = np.where(y == side, weight * cost / max(weight[y == side].sum(), 1e-9), weight)
     w = np.zeros(z.shape[1])
     ridge = np.append(np.ones(x.shape[1]), 1e-3)
-    for _ in range(rounds):
+    for _ in range(60):
         slack = 1 - y * (z @ w)
         on = slack > 0
         gradient = ridge * w - (z[on] * (weight[on] * y[on] * slack[on])[:, None]).sum(axis=0)
@@ -197,87 +218,140 @@ def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 8.0, rounds: int =
     return w[:-1], float(w[-1])
 
 
+def _pieces(word: str) -> set[str]:
+    """The word and its four-letter pieces, with its ends marked."""
+    marked = f"^{word}$"
+    return {word, *(marked[i : i + 4] for i in range(max(1, len(marked) - 3)))}
+
+
+def first_witnesses(bags: list[list[str]], negative: list[set[str]], n_positive: int) -> list[str]:
+    """A first guess at each toxic text's worst word: the one with the most telling piece.
+
+    A piece tells by the difference of the shares of toxic and of clean texts that hold it, in
+    standard errors.
+    """
+    def held(texts) -> dict[str, int]:
+        counts: dict[str, int] = {}
+        known: dict[str, set[str]] = {}
+        for text in texts:
+            own: set[str] = set()
+            for word in text:
+                own |= known.setdefault(word, _pieces(word)) if len(known) < 200_000 else _pieces(word)
+            for piece in own:
+                counts[piece] = counts.get(piece, 0) + 1
+        return counts
+
+    toxic, clean = held(bags), held(negative)
+    n1, n0 = n_positive, len(negative)
+
+    def telling(piece: str) -> float:
+        k1, k0 = toxic.get(piece, 0), clean.get(piece, 0)
+        p = (k1 + k0 + 1) / (n1 + n0 + 2)
+        return (k1 / n1 - k0 / n0) / (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
+
+    strength: dict[str, float] = {}
+    for word in {w for b in bags for w in b}:
+        strength[word] = max(map(telling, _pieces(word)))
+    return [max(b, key=lambda w: (strength[w], w)) for b in bags]
+
+
 def fit(positive: list[set[str]], negative: list[set[str]], shared: dict[str, int], seed: int = 7) -> ToxicityModel:
     """Fit on bags of words. ``shared`` counts, per word, the clean training texts that hold it."""
     draw = np.random.default_rng(seed)
     letters: dict[str, int] = {}
     for bag in positive:
         for word in bag:
-            for c in word:
+            for c in f"^{word}$":
                 letters[c] = letters.get(c, 0) + 1
     kernel = StringKernel({c: i for i, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS])})
-    if not positive or not negative:
+    # A toxic text's suspects: words that no clean text holds, or (labels err) far fewer of them.
+    count: dict[str, int] = {}
+    for bag in positive:
+        for word in bag:
+            count[word] = count.get(word, 0) + 1
+    innocent = {w for w, k in shared.items() if k * len(positive) * LIFT > count.get(w, 0) * len(negative)}
+    bags = [sorted({p for w in bag if w not in innocent for p in windows(w)}) for bag in positive]
+    bags = [b for b in bags if b]
+    if not bags or not negative:
         rate = (len(positive) + 1) / (len(positive) + len(negative) + 2)
-        return ToxicityModel(kernel, np.zeros(LETTERS**3 + 1), 0.0, 0.0, float(np.log(rate / (1 - rate))))
+        return ToxicityModel(kernel, np.zeros(LETTERS**3 + 1), 0.0, np.array([*[0.0] * (WORST + 1), np.log(rate / (1 - rate))]))
 
-    ranked = sorted(shared, key=lambda w: (-shared[w], w))
+    ranked = sorted(innocent, key=lambda w: (-shared[w], w))
     rest = ranked[FREQUENT:]
     picked = draw.choice(len(rest), size=min(DRAWN, len(rest)), replace=False) if rest else []
     clean = [p for w in ranked[:FREQUENT] + [rest[i] for i in sorted(picked)] for p in windows(w)]
-    # A toxic text's own words: those no clean text holds.
-    bags = [sorted({p for w in bag if w not in shared for p in windows(w)}) for bag in positive]
-    bags = [b for b in bags if b]
+    all_clean = sorted({p for w in ranked for p in windows(w)})
+    clean = sorted(set(clean))
+    held = set(clean)
     suspects = sorted({w for b in bags for w in b})
-    if not suspects:
-        suspects = sorted({w for b in positive for w in b})
-        bags = [sorted(b) for b in positive if b]
-    place = {w: i for i, w in enumerate(suspects)}
-
-    # Landmarks: suspects that occur in many toxic texts, and words of both sides by draw.
-    spread = np.zeros(len(suspects))
-    for b in bags:
-        spread[[place[w] for w in b]] += 1
-    top = [suspects[i] for i in np.argsort(-spread, kind="stable")[: LANDMARKS // 2]]
-    some = [clean[i] for i in draw.choice(len(clean), size=min(LANDMARKS // 4, len(clean)), replace=False)]
-    more = [suspects[i] for i in draw.choice(len(suspects), size=min(LANDMARKS // 4, len(suspects)), replace=False)]
+    # Words that a fair share of the toxic texts holds stay positive whoever is the witness.
+    certain = {p: k for w, k in count.items() if w not in innocent and k >= max(3, FAIR * len(positive)) for p in windows(w)}
+    witness = first_witnesses(bags, negative, len(positive))
+
+    # Landmarks: the first witnesses, the most frequent ones first, and words of both sides by draw.
+    often: dict[str, int] = {}
+    for w in witness:
+        often[w] = often.get(w, 0) + 1
+    for w, k in certain.items():
+        often[w] = often.get(w, 0) + k
+    top = sorted(often, key=lambda w: (-often[w], w))[: LANDMARKS // 2]
+    some, more = ([words[i] for i in draw.choice(len(words), size=min(LANDMARKS // 4, len(words)), replace=False)] for words in (clean, suspects))
     landmarks = sorted({w for w in top + some + more if len(w) >= 3}) or ["xxx"]
-    within = kernel.gram(landmarks, landmarks)
-    values, vectors = np.linalg.eigh(within)
-    keep = values > 1e-6
+    values, vectors = np.linalg.eigh(kernel.gram(landmarks, landmarks))
+    keep = values > 1e-4
     whiten = vectors[:, keep] / np.sqrt(values[keep])
+    features = kernel.features(landmarks)
     x_clean = kernel.gram(clean, landmarks) @ whiten
-    x_suspect = kernel.gram(suspects, landmarks) @ whiten
-
-    # Multiple instances: begin with every suspect weighted by its spread, then follow each bag's worst word.
-    chosen = np.repeat(np.arange(len(suspects)), np.maximum(spread.astype(int), 1))
-    w = b0 = None
-    for _ in range(6):
-        x = np.vstack([x_suspect[chosen], x_clean])
-        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(x_clean))])
-        w, b0 = train_machine(x, y)
-        margin = x_suspect @ w + b0
-        witness = np.array([max((place[t] for t in b), key=lambda i: (margin[i], -i)) for b in bags])
-        also = np.array([i for b in bags for i in (place[t] for t in b) if margin[i] > 0], dtype=int)
-        renewed = np.concatenate([witness, also])
-        if len(renewed) == len(chosen) and (np.sort(renewed) == np.sort(chosen)).all():
+
+    # Multiple instances: train on the worst words, find each text's worst word again, until they stay.
+    model = None
+    for _ in range(5):
+        times = dict(certain)
+        for w in witness:
+            times[w] = times.get(w, 0) + 1
+        chosen = sorted(times)
+        x = np.vstack([kernel.gram(chosen, landmarks) @ whiten, x_clean])
+        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(clean))])
+        weight = np.concatenate([[times[w] ** 0.5 for w in chosen], np.ones(len(clean))])
+        w, intercept = train_machine(x, y, weight)
+        folded = np.zeros(LETTERS**3 + 1)
+        for (triple, value), scale in zip(features, whiten @ w):
+            np.add.at(folded, triple, scale * value)
+        model = ToxicityModel(kernel, folded, intercept, np.zeros(WORST + 2))
+        margin = dict(zip(suspects, model.pieces_margins(suspects).tolist()))
+        renewed = [max(b, key=lambda t: (margin[t], t)) for b in bags]
+        # Clean words that come near the margin join the training words, the nearest first.
+        near = model.pieces_margins(all_clean)
+        hard = [all_clean[i] for i in np.argsort(-near, kind="stable")[:HARD] if near[i] > -1 and all_clean[i] not in held]
+        if renewed == witness and not hard:
             break
-        chosen = renewed
+        witness = renewed
+        if hard:
+            held |= set(hard)
+            clean += hard
+            x_clean = np.vstack([x_clean, kernel.gram(hard, landmarks) @ whiten])
 
-    beta = whiten @ w
-    folded = np.zeros(LETTERS**3 + 1)
-    for (triple, value), scale in zip(kernel.features(landmarks), beta):
-        np.add.at(folded, triple, scale * value)
-    model = ToxicityModel(kernel, folded, b0, 1.0, 0.0)
     words = sorted({w for bag in positive + negative for w in bag})
-    margin_of = dict(zip(words, model.margins(words)))
-    worst = np.array([max((margin_of[w] for w in bag), default=NO_WORDS) for bag in positive + negative])
-    label = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
-    model.slope, model.offset = calibrate(worst, label)
+    margin_of = dict(zip(words, model.margins(words).tolist()))
+    evidence = np.array([evidence_of([margin_of[w] for w in bag]) for bag in positive + negative])
+    model.curve = calibrate(evidence, np.concatenate([np.ones(len(positive)), np.zeros(len(negative))]))
     return model
 
 
-def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over the margins (smoothed targets, a little ridge)."""
+def calibrate(evidence: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve over the evidence (smoothed targets, a little ridge)."""
     n1, n0 = label.sum(), (1 - label).sum()
     target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    z = np.stack([margin, np.ones_like(margin)], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -60, 60)))
-        gradient = z.T @ (p - target) + 1e-3 * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), gradient)
-        w -= np.clip(step, -5, 5)
-    return max(float(w[0]), 0.0), float(w[1])
+    w = np.zeros(evidence.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(evidence @ w, -60, 60)))
+        gradient = evidence.T @ (p - target) + 0.01 * w
+        hessian = (evidence * (p * (1 - p))[:, None]).T @ evidence + 0.01 * np.eye(len(w))
+        step = np.linalg.solve(hessian, gradient)
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +405,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicity
         known: dict[str, float] = {}
         for batch in batches:
             texts = batch.column("text")
-            worst = np.empty(batch.num_rows)
+            evidence = np.empty((batch.num_rows, WORST + 2))
             for low in range(0, batch.num_rows, 256):
                 bags = [units(t) if t else set() for t in texts.slice(low, 256).to_pylist()]
                 if len(known) > REMEMBERED:
@@ -339,9 +413,9 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicity
                 fresh = sorted({w for bag in bags for w in bag if w not in known})
                 known.update(zip(fresh, model.margins(fresh).tolist()))
                 for i, bag in enumerate(bags):
-                    worst[low + i] = max(map(known.__getitem__, bag), default=NO_WORDS)
+                    evidence[low + i] = evidence_of([known[w] for w in bag])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(model.probability(worst))], names=[*batch.schema.names, column]
+                [*batch.columns, pa.array(model.probability(evidence))], names=[*batch.schema.names, column]
             )
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(column, DoubleType())]))
