@@ -1,20 +1,52 @@
-"""The corpus pipeline: documents in, sharded training documents out."""
+"""The corpus pipeline: documents in, sharded training documents out.
+
+Every stage reads all rows its predecessor kept. The first three drop documents; mixing
+repeats documents of rare sources, never drops one; sharding places every row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiloom.llm.decontaminate import drop_contaminated
+from lexiloom.llm.mixing import mix_documents
+from lexiloom.llm.ngram_join import keep_one
 from lexiloom.llm.sharding import assign_shards
+from lexiloom.llm.tables import table
+from lexiloom.llm.toxicity import drop_toxic
 from lexiloom.session import cut_lineage
 
+#: The toxicity and mixing stages have no SQL equivalent.
 ORACLE_SQL = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_documents(docs)
+
+
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return assign_shards(docs)
 
 
-STAGES = [("sharding", sharding)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("source_mixing", mixing),
+    ("sharding", sharding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
