@@ -37,7 +37,7 @@ FEATURES = (
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, place, word, before, after`` of every candidate of every text.
+    """``doc_id, source, place, word, ahead, before, after`` of every candidate of every text.
 
     A word is taken whole however long it is. Places count words from 0.
     """
@@ -47,6 +47,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     found = F.transform(places, lambda i: F.struct(
         i.alias("place"), F.get("ws", i).alias("word"),
+        F.coalesce(F.get("ws", i - 2), F.lit("")).alias("ahead"),
         F.coalesce(F.get("ws", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("ws", i + 1), F.lit("")).alias("after"),
     ))
     return rows.select("doc_id", "source", F.explode(found).alias("c")).select("doc_id", "source", "c.*")
@@ -65,7 +66,12 @@ def _share(word: Column, pattern: str) -> Column:
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
     """Candidates with the features of the forest; ``found`` gains no rows and loses none."""
-    name = F.regexp_extract("word", r"^([A-Za-z_.\-]{2,40})[=:]", 1)
+    inline = F.regexp_extract("word", r"^([A-Za-z_.\-]{2,40})[=:]", 1)
+    # The name stands inside the word, before a separate sign, or before the sign it ends with.
+    name = (
+        F.when(inline != "", inline).when(F.col("before").isin("=", ":", "=>", ":="), F.col("ahead"))
+        .when(F.col("before").rlike("[=:]$"), F.regexp_replace("before", "[=:]+$", "")).otherwise(F.lit(""))
+    )
     value = F.regexp_replace("word", r"^[A-Za-z_.\-]{2,40}[=:]", "")
     rows = cut_lineage(found.withColumns({"name": name, "value": F.when(value == "", F.col("word")).otherwise(value)}))
     value = F.col("value")
@@ -124,7 +130,7 @@ def format_labels(features: DataFrame) -> DataFrame:
     secret = value.rlike("^[\"']?AKIA[A-Z0-9]{16}[\"',.;]?$") | ((F.col("name_secret") == 1) & (F.length(value) >= 8))
     plain = (
         value.rlike(r"^[+(]?[0-9][0-9().,:/\-]*$") | word.rlike(r"^[^@]+@[^@]+\.[A-Za-z]{2,}[.,;]?$") | word.rlike(r"^https?://")
-        | (F.col("coverage") > 0.7) | value.rlike(r"^[0-9a-f]{40}$")
+        | (F.col("coverage") > 0.7) | (value.rlike(r"^[0-9a-f]{32,64}$") & (F.col("name") == ""))
     )
     return features.withColumn("label", F.when(secret, 1).when(plain, 0))
 
