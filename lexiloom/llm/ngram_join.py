@@ -27,7 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.tables import only_ids, query, table, without_ids
@@ -504,9 +504,17 @@ def components_of_sets(docs: DataFrame, able: DataFrame, percent: int = 75, widt
         grouped.join(crossing, "rep").where(F.col("n_cross") >= F.floor((F.col("n") * percent + 99) / 100))
         .select("rep", "n", "likeness", "comp", "tokens")
     )
-    # Groups of similar sets: neighbours in the order of the minimum hash, GROUP_SETS at most.
+    # Groups of similar sets: neighbours in the order of the minimum hash, 2 ** GROUP_BITS each,
+    # however the rows are partitioned: a row's rank is its place in its partition plus the rows
+    # of the partitions before it.
     ordered = left.repartitionByRange("likeness", "rep").sortWithinPartitions("likeness", "rep")
-    left = cut_lineage(ordered.withColumn("grp", F.shiftright(F.monotonically_increasing_id(), GROUP_BITS)))
+    placed = cut_lineage(ordered.withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    rank = F.col("offset") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    left = cut_lineage(
+        placed.join(F.broadcast(offsets), "part").withColumn("grp", F.shiftright(rank, GROUP_BITS)).drop("at", "part", "offset")
+    )
 
     slices = max(1, left.count() // 16_384)
     query_groups = cut_lineage(

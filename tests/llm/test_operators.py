@@ -1,0 +1,374 @@
+"""The corpus operators on small tables, against brute force where there is no SQL."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.llm import chat, components, decontaminate, langid, mixing, ngram_join, quality, secret_scan, sharding, toxicity, url_rules
+
+EDGES = [(1, None, None, None), (2, "", "en", "a"), (3, "   \n ", None, "a"), (4, "x" * 200_000, "en", None), (4, "x" * 200_000, "en", None), (None, "null id here", "en", "a")]
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+# ---- components
+
+
+def test_components_against_union_find(spark):
+    draw = random.Random(3)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2100)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = components.connected_components(spark.createDataFrame(pairs + [(None, 5), (6, None), (7, 7)], "a long, b long"))
+    assert rows(got, "node", "component") == sorted(((x, find(x)) for x in parent), key=repr)
+
+
+# ---- n-gram Jaccard join
+
+
+def brute_components(texts):
+    sets = {}
+    for doc, text in texts:
+        w = (text or "").lower().split()
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    component = {d: d for d in sets}
+    ids = sorted(sets)
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            for b in ids:
+                both = len(sets[a] & sets[b])
+                if sets[a] and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and component[a] < component[b]:
+                    component[b], changed = component[a], True
+    return sorted((d, len(sets[d]), component[d]) for d in ids)
+
+
+def test_near_duplicates_against_brute_force(documents):
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    passage = [draw.choice(words) for _ in range(60)]
+    texts = []
+    for base in range(8):
+        text = [draw.choice(words) for _ in range(draw.randrange(6, 120))]
+        if base % 2:
+            text += passage
+        for _ in range(12):
+            own = list(text)
+            for _ in range(draw.randrange(0, 4)):
+                own[draw.randrange(len(own))] = draw.choice(words)
+            texts.append((len(texts), " ".join(own)))
+    texts += [(500, "one two"), (501, "ONE two"), (502, "one"), (503, None), (504, " \n"), (505, "a b c d e"), (506, "a b c d e f")]
+    got = ngram_join.near_duplicates(documents(texts))
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(texts), key=repr)
+
+
+def test_near_duplicates_edges(documents):
+    got = rows(ngram_join.near_duplicates(documents(EDGES)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (None, 1, None)], key=repr)
+    assert ngram_join.near_duplicates(documents([])).count() == 0
+    kept = ngram_join.keep_one(documents(EDGES + [(9, "x" * 200_000)]))
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 4]
+    assert kept.columns == documents([]).columns
+
+
+# ---- decontamination
+
+
+def test_index_and_matches_against_brute_force(spark, documents):
+    draw = random.Random(9)
+    words = [f"t{i}" for i in range(30)]
+    items = [(i, " ".join(draw.choice(words) for _ in range(draw.choice([1, 3, 9, 10, 14])))) for i in range(25)] + [(90, None), (91, "!?"), (None, "t1 t2")]
+    texts = [(d, " ".join(draw.choice(words) for _ in range(40)) + " " + (draw.choice(items)[1] or "") + " end") for d in range(60)]
+    texts += [(100, None), (101, ""), (102, "T1, t2! ... T3")]
+    found = decontaminate.find_leaks(documents(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall((t or "").lower())
+    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in found}
+    for doc, text in texts:
+        ws, hit, names = split(text), set(), set()
+        for item, t in items:
+            iw = split(t)
+            if item is None or not iw:
+                continue
+            for s in range(max(1, len(iw) - 9)):
+                phrase = iw[s : s + 10]
+                for i in range(len(ws) - len(phrase) + 1):
+                    if ws[i : i + len(phrase)] == phrase:
+                        hit |= set(range(i, i + len(phrase)))
+                        names.add(item)
+        assert got[doc] == (len(ws), len(hit), sorted(names)), doc
+
+
+def test_proximity_and_blocks(spark, documents, monkeypatch):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta")], "item_id long, text string")
+    docs = documents([(1, "gamma x beta alpha"), (2, "alpha beta gamma"), (3, "alpha q q q q q q q q q q beta gamma"), (4, "delta epsilon zeta alpha beta gamma")])
+    near = {r.doc_id: (sorted(r["items"]), sorted(r.near_items)) for r in decontaminate.find_leaks(docs, bench, slop=3).collect()}
+    assert near == {1: ([], [1]), 2: ([1], [1]), 3: ([], []), 4: ([1, 2], [1, 2])}
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3)
+    split = {r.doc_id: sorted(r["items"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert split == {1: [], 2: [1], 3: [], 4: [1, 2]}
+
+
+def test_decontamination_edges(spark, documents):
+    bench = spark.createDataFrame([(1, "null id here")], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(documents([*EDGES, (8, "null ID here")]), bench)
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 4]
+    assert decontaminate.find_leaks(documents([]), bench).count() == 0
+    assert [r.n_hit for r in decontaminate.find_leaks(documents([(1, "a b")]), bench.limit(0)).collect()] == [0]
+
+
+# ---- language identification
+
+
+def test_code_lengths_against_plain_walk():
+    langs = ["aa", "bb"]
+    texts = {"aa": "the cat and the hat sat on the mat", "bb": "der hund und der mond sind rund"}
+    counts = Counter()
+    for i, lang in enumerate(langs):
+        padded = b"   " + texts[lang].encode()
+        for j in range(3, len(padded)):
+            counts[int.from_bytes(padded[j - 3 : j + 1], "big"), i] += 1
+    gram, lang = map(np.array, zip(*counts))
+    trees = langid.build_trees(langs, lang, gram, np.array(list(counts.values())))
+
+    def walk(text, i):
+        mine = {g.to_bytes(4, "big"): n for (g, k), n in counts.items() if k == i}
+        seen = {g for (g, _), _ in counts.items()}
+        mass = Counter()
+        for (g, _), n in counts.items():
+            mass[g.to_bytes(4, "big")[:3]] += n
+        symbols = {g & 255 for g in seen}
+        padded, bits = b"   " + text.encode(), 0.0
+        for j in range(3, len(padded)):
+            for order in (3, 2, 1, 0):
+                context = padded[j - order : j]
+                if order == 3 and mass[context] < 2:
+                    continue
+                after = Counter()
+                for g, n in mine.items():
+                    if g[3 - order : 3] == context:
+                        after[g[3]] += n
+                total, kinds = sum(after.values()), len(after)
+                if total == 0:
+                    continue
+                if after[padded[j]]:
+                    bits -= np.log2(after[padded[j]] / (total + kinds))
+                    break
+                bits -= np.log2(kinds / (total + kinds))
+            else:
+                bits += np.log2(len(symbols) + 1)
+        return bits
+
+    import pyarrow as pa
+
+    tests = ["the mat and the rat", "der hund", "sun", ""]
+    got = trees.code_lengths(pa.array(tests))
+    for text, bits in zip(tests, got):
+        assert bits == pytest.approx([walk(text, 0), walk(text, 1)], rel=1e-4, abs=1e-3)
+
+
+def test_language_edges(documents):
+    docs = documents([(i, "the cat and the dog are in the house", "en") for i in range(20)] + [(100 + i, "der hund und die katze im haus", "de") for i in range(20)] + EDGES + [(8, "12 34 !")])
+    got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert got[0].lang_pred == "en" and got[100].lang_pred == "de" and got[4].lang_pred in ("en", "de")
+    assert {got[i].lang_pred for i in (1, 2, 3, 8)} == {"und"} and got[None].held_out is False
+    assert all(0 <= r.score <= 1 for r in got.values())
+    empty = documents([])
+    assert langid.identify(empty, langid.train(empty)).count() == 0
+    assert [r.lang_pred for r in langid.identify(documents([(1, "word")]), langid.train(empty)).collect()] == ["und"]
+
+
+# ---- toxicity
+
+
+def test_toxicity_tolerates_gaps_and_insertions(spark, documents):
+    draw = random.Random(1)
+    syllables = ["ta", "ro", "mi", "len", "sor", "ve", "du", "pa"]
+    word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randrange(1, 4)))
+    insults = ["blixgrak", "quozzel", "frubnik"]
+    texts, labels = [], []
+    for i in range(240):
+        ws = [word() for _ in range(draw.randrange(5, 40))]
+        if i % 3 == 0:
+            ws[draw.randrange(len(ws))] = draw.choice(insults)
+        texts.append((i, " ".join(ws)))
+        labels.append((i, int(i % 3 == 0)))
+    texts += [(1000, "ta ro blixxgrak mi"), (1001, "ta q.u.o.z.z.e.l mi"), (1002, "len f r u b n i k sor"), (1003, "ta ro mi len")] + [(2000 + i, t) for i, (_, t, *_) in enumerate(EDGES)]
+    docs = documents(texts)
+    model = toxicity.train(docs, spark.createDataFrame(labels + [(None, 1), (5000, None)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.toxicity for r in toxicity.with_toxicity(docs, model).collect()}
+    assert sum((got[i] >= 0.7) != (i % 3 == 0) for i in range(240)) <= 3
+    assert [got[i] >= 0.7 for i in (1000, 1001, 1002, 1003)] == [True, True, True, False]
+    assert not any(got[2000 + i] >= 0.7 for i in range(len(EDGES)))
+    none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert all(0 <= r.toxicity <= 1 for r in toxicity.with_toxicity(documents([(1, None)]), none).collect())
+    assert toxicity.with_toxicity(documents([]), model).count() == 0
+
+
+# ---- sharding
+
+
+def test_best_fit_decreasing_against_plain_search():
+    draw = random.Random(2)
+    sizes = [draw.randrange(1, 60) for _ in range(300)]
+    bins, opened = sharding.best_fit_decreasing(sizes, 100)
+    room, mine = [], {}
+    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fit = [(r, b) for b, r in enumerate(room) if r >= sizes[item]]
+        if fit:
+            _, b = min(fit)
+        else:
+            b = len(room)
+            room.append(100)
+        room[b] -= sizes[item]
+        mine[item] = b
+    assert bins == [mine[i] for i in range(len(sizes))] and opened == len(room)
+
+
+def test_shards_keep_groups_and_count_slots(documents):
+    docs = documents([(i, f"text {i % 40} " * (i % 7 + 1)) for i in range(400)] + EDGES)
+    got = sharding.assign_shards(docs, 4).collect()
+    by_shard, by_text = defaultdict(list), defaultdict(set)
+    for r in got:
+        by_shard[r.shard].append(r.slot)
+        by_text[r.text_crc32].add(r.shard)
+    assert len(got) == 406 and all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    assert all(len(s) == 1 for s in by_text.values())
+    assert sharding.assign_shards(documents([])).count() == 0
+
+
+# ---- mixing
+
+
+def test_exponent_meets_targets():
+    tokens = [1000, 100, 10]
+    exponent = mixing.bisect_exponent(tokens, repeat_limit=4.0)
+    assert mixing.most_repeats(tokens, exponent) == pytest.approx(4.0, rel=1e-6)
+    middle = mixing.entropy(mixing.tempered(tokens, 0.5))
+    assert mixing.bisect_exponent(tokens, target_entropy=middle) == pytest.approx(0.5, abs=1e-9)
+    assert mixing.bisect_exponent([5]) == 1.0 and mixing.bisect_exponent([]) == 1.0
+
+
+def test_stream_meets_weights_and_loses_nothing(documents):
+    docs = documents([(i, "w " * (i % 5 + 1), "en", "big" if i % 10 else "small") for i in range(10, 1010)] + EDGES)
+    stream = mixing.mixed_stream(mixing.sized(docs.where("doc_id is not null")).distinct(), repeat_limit=3.0, block_tokens=200).collect()
+    uses = Counter(r.row for r in stream)
+    assert set(uses) == {r.doc_id for r in docs.collect() if r.doc_id is not None} and max(uses.values()) <= 3
+    total = sum(r.tokens for r in stream)
+    share, weight = Counter(), {}
+    for r in stream:
+        share[r.source] += r.tokens
+        weight[r.source] = r.weight
+    assert all(abs(share[s] / total - weight[s]) < 0.01 for s in ("big", "small"))
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == {r.doc_id for r in docs.collect()}
+    assert mixing.mix_documents(documents([])).count() == 0
+
+
+# ---- chat
+
+
+def test_layouts_select_their_mapping(spark):
+    def one(text):
+        record = F.from_json(F.lit(text), F.schema_of_json(F.lit(text)))
+        return chat.canonical_turns(spark.range(1).select(record.alias("r")).select("r.*")).first()
+
+    told = lambda r: [(t.role, t.text) for t in r.turns]
+    assert told(one('{"prompt":"p","completion":"c","id":"7"}')) == [("user", "p"), ("assistant", "c")]
+    assert told(one('{"instruction":"i","input":"x","output":"o"}')) == [("user", "i\n\nx"), ("assistant", "o")]
+    assert told(one('{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}')) == [("user", "h"), ("assistant", "g")]
+    assert one('{"other":"p"}').turns is None
+    assert one('{"prompt":"p","response":"c"}').fingerprint == chat.fingerprint_of(("response", "prompt"))
+
+
+def test_formatting_round_trips(spark):
+    nasty = ["\\### Assistant: </turn> ok", "\\b\\h\\l\\c", "", None, "a: b\n</turn>\n### x: ", "#<\\:", "é\n\n"]
+    given = [(1, i, "assistant" if i % 2 else "us: er", t) for i, t in enumerate(nasty)] + [(2, 0, None, "t"), (None, 0, "assistant", "n")]
+    got = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(given, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("assistant" if i % 2 else "us: er", t or "") for i, t in enumerate(nasty)]
+    loss = "".join(got[1].formatted[s.start - 1 : s.start - 1 + s.length] for s in got[1].loss_spans)
+    for code, plain in (("\\h", "#"), ("\\l", "<"), ("\\c", ":"), ("\\b", "\\")):
+        loss = loss.replace(code, plain)
+    assert loss == "".join(t or "" for i, t in enumerate(nasty) if i % 2)
+    assert [t.role for t in got[2].turns] == [""] and len(got[None].turns) == 1
+
+
+# ---- URLs
+
+
+def test_rules_and_redirects(spark):
+    pages = [(1, "http://A.B.example.net/en/x?q", None), (2, "http://a.net/en/", None), (3, "https://x.example.com/de/1", None), (4, "http://m.org/fr/2", None),
+             (5, "http://alias.io/p", '<link rel="canonical" href="http://a.net/en/">'), (6, "http://alias2.io/p", '<meta http-equiv="refresh" content="0; url=http://alias.io/p">'),
+             (7, "http://both.io/", '<link rel="canonical" href="http://m.org/fr/2"><meta property="og:url" content="http://a.net/en/">'), (8, None, None), (9, "no scheme", "x"), (10, "http://net/", None), (10, "http://net/", None), (11, "http://safe.io", None)]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == ("a.b.example.net", "/en/x", "example.net/en/", "allow") and got[2] == ("a.net", "/en/", "net/", "block")
+    assert got[3][2:] == ("example.com/de/", "block") and got[4][2:] == ("org/fr/", "allow")
+    # 7 joins the class of 5 and 6 with an allowed member, which takes precedence.
+    assert [got[i][3] for i in (5, 6, 7)] == ["allow"] * 3
+    assert got[8] == ("", "", None, "allow") and got[9] == ("", "", None, "allow") and got[10][3] == "block" and got[11][3] == "allow"
+    blocked = {r.page_id: r.verdict for r in url_rules.judged(spark.createDataFrame(pages[:6], "page_id long, url string, html string")).collect()}
+    assert blocked[5] == blocked[6] == "block"
+
+
+# ---- quality
+
+
+def test_binomial_tail(spark):
+    from math import comb
+
+    cases = [(k, n) for n in (1, 5, 60, 400) for k in (0, 1, n // 3, n)]
+    got = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.1).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(sum(comb(r.n, i) * 0.1**i * 0.9 ** (r.n - i) for i in range(r.k + 1)), rel=1e-9)
+    large = spark.createDataFrame([(100, 100_000)], "k long, n long").select(quality.binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p")).first()
+    assert 0 <= large.p < 1e-100
+
+
+def test_thresholds_limit_false_rejections(spark, documents):
+    good = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en") for i in range(600)]
+    bad = [(1000 + i, " ".join(f"###### w{i}x{j}" for j in range(60)), "en") for i in range(50)]
+    labels = spark.createDataFrame([(i, 1) for i in range(600)] + [(1000 + i, 0) for i in range(50)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judged(documents(good + bad + EDGES + [(2000, "###### " * 60, "xx")]), labels).collect()}
+    assert all(got[i].kept for i in range(600)) and not any(got[1000 + i].kept for i in range(50))
+    assert got[1000].rejected_by == ["symbol_rate"] and got[1].n_words == 60
+    assert [got[i].base_failed for i in (None, 2000)] == [True, True]
+    assert quality.judged(documents([]), labels).count() == 0
+    nothing = quality.judged(documents(bad), labels.limit(0)).collect()
+    assert all(r.kept for r in nothing)
+
+
+# ---- secrets
+
+
+def test_secret_scan(documents):
+    draw = random.Random(4)
+    token = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(draw.choice(a) for _ in range(n))
+    texts = []
+    for i in range(300):
+        kind = (f"password={token(18, '0123456789abcdef')}", f"AKIA{token(15)}7", f"call 4{token(15, '0123456789')}", f"mail user{i}12345@mail1.example.com")[i % 4]
+        texts.append((i, f"some words before {kind} and words after", "en", f"s{i % 3}"))
+    got = secret_scan.scan(documents(texts + [(900 + i, t) for i, (_, t, *_) in enumerate(EDGES)])).collect()
+    found = {(r.doc_id, r.place): r.is_secret for r in got}
+    assert all(found[i, 3] for i in range(300) if i % 4 < 2)
+    assert not any(found[i, 4] for i in range(300) if i % 4 >= 2)
+    assert secret_scan.scan(documents([])).count() == 0 and secret_scan.scan(documents([(1, "plain words only")])).count() == 0
+    assert next(r for r in got if r.doc_id == 0).word_sha256 == hashlib.sha256(texts[0][1].split()[3].partition("=")[2].encode()).hexdigest()
