@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexiloom import dimensions as D
 from lexiloom.functions.text import sentences
-from lexiloom.functions.urls import chunk_id, chunk_prefix
+from lexiloom.functions.urls import chunk_id, chunk_prefix, document_key
 from lexiloom.functions.vectors import with_term_vector
 from lexiloom.operators.chunking import semantic_chunks
 from lexiloom.session import cut_lineage
@@ -55,7 +55,8 @@ def sentence_chunks(docs: DataFrame, drop_last: bool = False) -> DataFrame:
     prefix = chunk_prefix(F.col("url"))
     rows = docs.select("url", F.posexplode(kept).alias("ordinal", "text"))
     return with_term_vector(rows, "text").select(
-        chunk_id(prefix, F.col("ordinal")).alias("chunk_id"), prefix.alias("chunk_prefix"), "ordinal", "text",
+        chunk_id(prefix, F.col("ordinal")).alias("chunk_id"), prefix.alias("chunk_prefix"),
+        document_key(F.col("url")).alias("doc_key"), "ordinal", "text",
         "embedding", F.create_map(F.lit("url"), F.col("url")).alias("metadata"),
     )
 

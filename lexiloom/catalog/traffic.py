@@ -158,7 +158,7 @@ def lifecycle(spark, sf):
     return S.current_state(S.lifecycle_events(actions))
 
 
-def _decision(cache: bool) -> str:
+def _decision(cache: bool, urls: str = "pages") -> str:
     family = D.ROUTES["cache" if cache else "retrieval"]
     existing, blocked = D.ROUTES["existing"], D.ROUTES["blocked"]
 
@@ -172,11 +172,11 @@ def _decision(cache: bool) -> str:
         FROM (SELECT p.url, CASE WHEN {_BLOCKED} THEN 'blocked' WHEN s.status = 'completed' THEN 'completed'
                        WHEN contains(p.url, '/de/') THEN 'indexed' WHEN s.status = 'processing' THEN 'processing'
                        WHEN s.protected THEN 'protected' ELSE 'new' END AS decision
-              FROM pages p LEFT JOIN current_status s ON s.document_id = p.url)"""
+              FROM {urls} p LEFT JOIN current_status s ON s.document_id = p.url)"""
 
 
 def _runs(spark, sf):
-    log = request_log(spark, sf).where("documents <> ''")
+    log = request_log(spark, sf)
     questions = F.transform(
         F.sequence(F.lit(1), F.col("question_count")),
         lambda i: F.concat(F.lit("Question "), i.cast("string"), F.lit(" of "), F.col("request_id")),
@@ -193,16 +193,18 @@ def _routed(spark, sf, requests, cache):
     return ledger(requests, block_list(spark, sf), _states_by_url(spark, sf), index, cache)
 
 
+# The pages and, for requests that name none, the empty document.
+_ASKED = "(SELECT url FROM pages UNION SELECT '')"
 _BASENAME = r"regexp_extract(regexp_extract(d.url, '^https?://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1)"
 
 
 @query("run_ledger", sql(rf"""
     SELECT l.request_id, d.decision, d.method, d.source, d.rag_processing, d.marks_completed, l.question_count,
            array_to_string(list_transform(range(1, question_count + 1), lambda i:
-             CASE WHEN d.decision = 'blocked' THEN '' ELSE '[' || {_BASENAME} || '] ' END
+             CASE WHEN d.decision = 'blocked' OR d.url IS NULL THEN '' ELSE '[' || {_BASENAME} || '] ' END
              || 'Question ' || i || ' of ' || l.request_id), '|') AS questions
-    FROM request_log l JOIN decisions d ON d.url = l.documents""",
-    "request_log", "block_list", "current_status", decisions=_decision(False)))
+    FROM request_log l LEFT JOIN decisions d ON d.url = l.documents""",
+    "request_log", "block_list", "current_status", decisions=_decision(False, _ASKED)))
 def run_ledger(spark, sf):
     return _routed(spark, sf, _runs(spark, sf), False).select(
         "request_id", "decision", "method", "source", "rag_processing", "marks_completed", "question_count",
@@ -224,8 +226,8 @@ def route(spark, sf):
     SELECT l.request_id, l.log_date, l.documents, l.question_count, l.processing_time, d.method,
            array_to_string(l.answers, '|') AS answers, l.event_type <> 'error' AS success,
            epoch_us(l.ts) / 1000000.0 AS unix_timestamp
-    FROM request_log l JOIN decisions d ON d.url = l.documents""",
-    "request_log", "block_list", "current_status", decisions=_decision(False)))
+    FROM request_log l LEFT JOIN decisions d ON d.url = l.documents""",
+    "request_log", "block_list", "current_status", decisions=_decision(False, _ASKED)))
 def logged_runs(spark, sf):
     log = request_log(spark, sf).select("request_id", "ts", "processing_time", "answers", "event_type")
     runs = _routed(spark, sf, _runs(spark, sf), False).join(log, "request_id").withColumn(
@@ -245,9 +247,9 @@ def logged_runs(spark, sf):
 @query("cache_hits", sql("""
     SELECT request_id, row_number() OVER (PARTITION BY md5(lower(trim(documents))) ORDER BY ts, event_id) AS request_no,
            row_number() OVER (PARTITION BY md5(lower(trim(documents))) ORDER BY ts, event_id) > 1 AS is_hit
-    FROM request_log WHERE documents <> ''""", "request_log"))
+    FROM request_log""", "request_log"))
 def cache_hits(spark, sf):
-    log = request_log(spark, sf).where("documents <> ''").select("request_id", "ts", "event_id", "documents")
+    log = request_log(spark, sf).select("request_id", "ts", "event_id", "documents")
     return K.hit_ordinals(log, ["ts", "event_id"], "documents").select("request_id", "request_no", "is_hit")
 
 

@@ -276,7 +276,7 @@ def _batch_docs(spark, sf):
 def page_index(urls):
     """First chunks of the German documents."""
     german = urls.where(F.contains("url", F.lit("/de/")))
-    return german.select(U.chunk_prefix(F.col("url")).alias("chunk_prefix"), F.lit(0).alias("ordinal"))
+    return german.select(U.chunk_prefix(F.col("url")).alias("chunk_prefix"), U.document_key(F.col("url")).alias("doc_key"), F.lit(0).alias("ordinal"))
 
 
 def _report(spark, sf):

@@ -44,8 +44,13 @@ def doc_hash(url: Column) -> Column:
     return F.md5(F.lower(strip(url)))
 
 
+def document_key(url: Column) -> Column:
+    """Identity of a document in the chunk table: md5 of the raw URL."""
+    return F.md5(url)
+
+
 def chunk_prefix(url: Column) -> Column:
-    """Key of the chunk table: first eight hex digits of the md5 of the raw URL."""
+    """Display form of a document's identity, first eight hex digits; not unique, so never a key."""
     return F.substring(F.md5(url), 1, 8)
 
 
@@ -78,41 +83,43 @@ def rewrite_shared_link(url: Column) -> Column:
     return F.coalesce(F.concat(F.lit(before), shared_doc_id(url), F.lit(after)), url)
 
 
+# File names by a bare suffix and by part of the announced content type, first match wins.
+SUFFIX_NAMES = {
+    ".pdf": "data.pdf", ".docx": "data.docx", ".doc": "data.docx", ".pptx": "data.pptx", ".ppt": "data.pptx",
+    ".xlsx": "data.xlsx", ".xls": "data.xlsx", ".eml": "data.eml", ".msg": "data.eml",
+}
+TYPE_NAMES = (
+    ("pdf", "data.pdf"), ("wordprocessingml", "data.docx"), ("msword", "data.docx"), ("presentationml", "data.pptx"),
+    ("mspowerpoint", "data.pptx"), ("spreadsheetml", "data.xlsx"), ("excel", "data.xlsx"),
+)
+# Part of the response's type, the suffixes it accepts, the name otherwise.
+RESPONSE_NAMES = (
+    ("application/vnd.openxmlformats", r"\.docx?$", "data.docx"),
+    ("officedocument.wordprocessingml", r"\.docx?$", "data.docx"),
+    ("officedocument.presentationml", r"\.pptx?$", "data.pptx"),
+    ("officedocument.spreadsheetml", r"\.xlsx?$", "data.xlsx"),
+    ("application/pdf", r"\.pdf$", "data.pdf"),
+)
+DEFAULT_NAME = "data.pdf"
+
+
+def _first_contained(text: Column, table: tuple) -> Column:
+    """The row of a table of literals whose first value occurs in the text; NULL without one."""
+    rows = F.array(*[F.struct(*[F.lit(v).alias(f"_{i}") for i, v in enumerate(row)]) for row in table])
+    return F.get(F.filter(rows, lambda row: F.contains(text, row["_0"])), F.lit(0))
+
+
 def requested_filename(url: Column, content_type: Column) -> Column:
     """File name to store a fetched URL under, before the response is seen.
 
     The URL's own suffix wins, then a bare suffix as the whole file name, then the
-    announced content type, then ``data.pdf``.
+    announced content type, then ``data.pdf``. A shared document without an id has none.
     """
-    path = F.lower(url_path(url))
     ext = file_extension(url)
-    kind = F.lower(F.coalesce(content_type, F.lit("")))
-
-    def has(*parts: str) -> Column:
-        test = F.lit(False)
-        for part in parts:
-            test = test | F.contains(kind, F.lit(part))
-        return test
-
-    def ends(*suffixes: str) -> Column:
-        test = F.lit(False)
-        for suffix in suffixes:
-            test = test | path.endswith(suffix)
-        return test
-
-    plain = (
-        F.when(ext != "", F.concat(F.lit("data"), ext))
-        .when(ends(".pdf"), "data.pdf")
-        .when(ends(".docx", ".doc"), "data.docx")
-        .when(ends(".pptx", ".ppt"), "data.pptx")
-        .when(ends(".xlsx", ".xls"), "data.xlsx")
-        .when(ends(".eml", ".msg"), "data.eml")
-        .when(has("pdf"), "data.pdf")
-        .when(has("wordprocessingml", "msword"), "data.docx")
-        .when(has("presentationml", "mspowerpoint"), "data.pptx")
-        .when(has("spreadsheetml", "msexcel"), "data.xlsx")
-        .otherwise("data.pdf")
-    )
+    bare = F.lower(F.substring_index(url_path(url), "/", -1))
+    by_suffix = F.create_map(*[F.lit(v) for pair in SUFFIX_NAMES.items() for v in pair])
+    by_type = _first_contained(F.lower(F.coalesce(content_type, F.lit(""))), TYPE_NAMES)["_1"]
+    plain = F.coalesce(F.when(ext != "", F.concat(F.lit("data"), ext)), F.try_element_at(by_suffix, bare), by_type, F.lit(DEFAULT_NAME))
     shared = F.contains(url, F.lit(SHARED_DOC_MARKER))
     return F.when(shared, F.when(shared_doc_id(url).isNotNull(), "data.docx")).otherwise(plain)
 
@@ -120,23 +127,5 @@ def requested_filename(url: Column, content_type: Column) -> Column:
 def target_filename(url: Column, content_type: Column) -> Column:
     """File name after the response's content type has been taken into account."""
     name = requested_filename(url, content_type)
-    kind = F.lower(F.coalesce(content_type, F.lit("")))
-
-    def says(part: str) -> Column:
-        return F.contains(kind, F.lit(part))
-
-    def keep_or(default: str, *suffixes: str) -> Column:
-        fits = F.lit(False)
-        for suffix in suffixes:
-            fits = fits | name.endswith(suffix)
-        return F.when(fits, name).otherwise(F.lit(default))
-
-    adjusted = (
-        F.when(says("officedocument.wordprocessingml") | says("application/vnd.openxmlformats"),
-               keep_or("data.docx", ".docx", ".doc"))
-        .when(says("officedocument.presentationml"), keep_or("data.pptx", ".pptx", ".ppt"))
-        .when(says("officedocument.spreadsheetml"), keep_or("data.xlsx", ".xlsx", ".xls"))
-        .when(says("application/pdf"), keep_or("data.pdf", ".pdf"))
-        .otherwise(name)
-    )
-    return F.when(name.isNotNull(), adjusted)
+    told = _first_contained(F.lower(F.coalesce(content_type, F.lit(""))), RESPONSE_NAMES)
+    return F.when(told.isNull() | F.regexp_like(name, told["_1"]), name).when(name.isNotNull(), told["_2"])

@@ -6,24 +6,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiloom import dimensions as D
 from lexiloom.functions.filetypes import is_supported, with_file_type
-from lexiloom.functions.urls import chunk_prefix
+from lexiloom.functions.urls import chunk_prefix, document_key
 
 
-def indexed_prefixes(chunks: DataFrame) -> DataFrame:
-    """Prefixes of indexed documents: those whose first chunk exists."""
-    return chunks.where(F.col("ordinal") == 0).select("chunk_prefix")
+def indexed_keys(chunks: DataFrame) -> DataFrame:
+    """Keys of indexed documents: those whose first chunk exists."""
+    return chunks.where(F.col("ordinal") == 0).select("doc_key")
 
 
-def with_prefix(urls: DataFrame, url: str = "url") -> DataFrame:
-    return urls.withColumn("chunk_prefix", chunk_prefix(F.col(url)))
+def with_key(urls: DataFrame, url: str = "url") -> DataFrame:
+    """Add the document's key and, for display, its short prefix."""
+    return urls.withColumns({"chunk_prefix": chunk_prefix(F.col(url)), "doc_key": document_key(F.col(url))})
 
 
 def new_documents(urls: DataFrame, chunks: DataFrame, url: str = "url") -> DataFrame:
-    return with_prefix(urls, url).join(indexed_prefixes(chunks), "chunk_prefix", "left_anti")
+    return with_key(urls, url).join(indexed_keys(chunks), "doc_key", "left_anti").drop("doc_key")
 
 
 def indexed_documents(urls: DataFrame, chunks: DataFrame, url: str = "url") -> DataFrame:
-    return with_prefix(urls, url).join(indexed_prefixes(chunks), "chunk_prefix", "left_semi")
+    return with_key(urls, url).join(indexed_keys(chunks), "doc_key", "left_semi").drop("doc_key")
 
 
 def skip_message(category: Column) -> Column:
@@ -83,11 +84,11 @@ def ingest_results(gated: DataFrame, results: DataFrame) -> DataFrame:
 
 def gate(urls: DataFrame, blocked_flags: DataFrame, chunks: DataFrame) -> DataFrame:
     """URLs with file kind, block flag and already-indexed flag. ``blocked_flags`` has ``url, is_blocked``."""
-    typed = with_prefix(with_file_type(blocked_flags.join(urls.select("url").distinct(), "url", "left_semi")))
-    known = indexed_prefixes(chunks).distinct().withColumn("is_indexed", F.lit(True))
-    return typed.join(known, "chunk_prefix", "left").withColumn(
+    typed = with_key(with_file_type(blocked_flags.join(urls.select("url").distinct(), "url", "left_semi")))
+    known = indexed_keys(chunks).distinct().withColumn("is_indexed", F.lit(True))
+    return typed.join(known, "doc_key", "left").withColumn(
         "is_indexed", F.coalesce("is_indexed", F.lit(False))
-    ).drop("chunk_prefix")
+    ).drop("chunk_prefix", "doc_key")
 
 
 def ingest_summary(results: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ def _entries(rows: list, lowered: int) -> Column:
     ``probe`` is the column to search by (1 key, 2 value), in lower case beforehand.
     """
     return F.array(*[
-        F.struct(F.lit(r[lowered].lower()).alias("probe"), F.lit(r[2]).alias("value"))
-        for r in sorted(rows, key=lambda r: r[0]) if r[lowered] is not None
+        F.struct(F.lower(F.lit(r[lowered])).alias("probe"), F.lit(r[2]).alias("value"))
+        for r in sorted(rows, key=lambda r: (r[0], r[lowered], r[2] or "")) if r[lowered]
     ])
 
 
@@ -32,9 +32,10 @@ def fuzzy_lookup(
     ``dictionary`` has ``ord, key, value``. A short dictionary is looked up inside the
     row; a longer one by joins over the distinct keys.
     """
+    dictionary = dictionary.where("key <> ''")
     known = bounded_terms(dictionary, ["ord", "key", "value"], limit)
     if known is not None:
-        asked = F.lower(F.col(key))
+        asked = F.nullif(F.lower(F.col(key)), F.lit(""))
 
         def find(entries: Column) -> Column:
             exact = _first(entries, lambda e: e.probe == asked)
@@ -42,8 +43,8 @@ def fuzzy_lookup(
             return F.coalesce(exact, partial)
 
         return rows.withColumn(name, find(_entries(known, lowered=1)) if known else F.lit(None).cast("string"))
-    wanted = rows.select(F.col(key).alias("asked")).where(F.col("asked").isNotNull()).distinct()
-    entries = dictionary.select("ord", F.col("key").alias("entry"), "value")
+    wanted = rows.select(F.col(key).alias("asked")).where("asked <> ''").distinct()
+    entries = dictionary.select(F.struct("ord", "key", F.coalesce("value", F.lit("")).alias("v")).alias("ord"), F.col("key").alias("entry"), "value")
     exact = wanted.join(entries, F.lower("asked") == F.lower("entry")).groupBy("asked").agg(
         F.min_by("value", "ord").alias("exact")
     )
@@ -63,6 +64,7 @@ def first_term(
     texts: DataFrame, dictionary: DataFrame, text: str, text_id: str, name: str = "value", limit: int = MAX_LITERAL_TERMS
 ) -> DataFrame:
     """Add the first dictionary value (in dictionary order) that occurs in the text."""
+    dictionary = dictionary.where("value <> ''")
     known = bounded_terms(dictionary, ["ord", "key", "value"], limit)
     if known is not None:
         lowered = let(
@@ -70,7 +72,7 @@ def first_term(
             lambda t: _first(_entries(known, lowered=2), lambda e: F.contains(t, e.probe)),
         ) if known else F.lit(None).cast("string")
         return texts.withColumn(name, lowered)
-    entries = dictionary.select("ord", "value")
+    entries = dictionary.select(F.struct("ord", "value").alias("ord"), "value").distinct()
     hits = containments(texts.select(text_id, text), text_id, text, entries, "ord", "value")
     first = hits.groupBy(text_id).agg(F.min("ord").alias("ord")).join(entries, "ord").select(
         text_id, F.col("value").alias(name)

@@ -10,29 +10,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexiloom.functions.vectors import let
+
 MAX_LITERAL_TERMS = 512
 GRAM = 6
 
 
 def bounded_terms(terms: DataFrame, columns: list[str], limit: int = MAX_LITERAL_TERMS) -> list | None:
-    """The rows of a term table if there are at most ``limit``, else None."""
+    """The rows of a term table if there are at most ``limit``, else None.
+
+    Which form a join takes must not change its rows: in both, a NULL or empty term matches nothing.
+    """
     rows = terms.select(*columns).limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 
 def any_term_in(text: Column, terms: list[str]) -> Column:
     """True if any of the (few) terms occurs in the text; case-insensitive."""
+    terms = [t for t in terms if t]
     if not terms:
         return F.lit(False)
-    lowered = F.array(*[F.lit(t.lower()) for t in terms])
-    return F.coalesce(F.exists(lowered, lambda t: F.contains(F.lower(text), t)), F.lit(False))
+    lowered = F.array(*[F.lower(F.lit(t)) for t in terms])
+    return F.coalesce(let(F.lower(text), lambda held: F.exists(lowered, lambda t: F.contains(held, t))), F.lit(False))
 
 
 def _grams(text: Column, size: int) -> Column:
-    """Distinct runs of ``size`` characters; none for a shorter text."""
-    last = F.length(text) - size + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))
-    return F.array_distinct(F.filter(runs, lambda g: F.length(g) == size))
+    """Distinct runs of ``size`` characters; none for a shorter text.
+
+    The text is taken apart once, so that a run costs its own length wherever it stands.
+    """
+    def runs(characters: Column) -> Column:
+        last = F.length(text) - size + 1
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), lambda i: F.concat(*[F.get(characters, i + k) for k in range(size)])
+        )
+
+    return F.array_distinct(F.array_compact(let(F.split(text, ""), runs)))
 
 
 def containments(

@@ -25,15 +25,28 @@ def document_outcomes(urls: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def one_version(docs: DataFrame) -> DataFrame:
+    """One row per URL: of several versions in a batch the one with the greatest text stays.
+
+    Only the URLs are counted where none repeats; texts move only for the repeated ones.
+    """
+    repeated = docs.groupBy("url").count().where("count > 1").select("url")
+    if repeated.isEmpty():
+        return docs
+    several = docs.join(repeated, "url", "left_semi")
+    chosen = several.groupBy("url").agg(F.max_by(F.struct(*docs.columns), "text").alias("d")).select("d.*")
+    return docs.join(repeated, "url", "left_anti").unionByName(chosen.select(*docs.columns))
+
+
 def ingest_documents(spark: SparkSession, docs: DataFrame, table: str, mode: str = "replace", **layout) -> None:
     """Chunk, embed and store documents."""
-    save_chunks(spark, table, semantic_chunks(readable(docs)), mode, **layout)
+    save_chunks(spark, table, semantic_chunks(one_version(readable(docs))), mode, **layout)
 
 
 def ingest_new(spark: SparkSession, docs: DataFrame, table: str, **layout) -> None:
-    """Ingest only documents that are not indexed yet."""
+    """Ingest only documents that are not indexed yet; what is stored is not read or rewritten."""
     fresh = new_documents(docs, open_chunks(spark, table)).drop("chunk_prefix")
-    ingest_documents(spark, fresh, table, **layout)
+    ingest_documents(spark, fresh, table, "append", **layout)
 
 
 def batch_ingest_report(urls: DataFrame, docs: DataFrame, patterns: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.types import DataType, StructType
 
 from lexiloom.functions.answers import has_error
 from lexiloom.operators.gates import flag_blocked
-from lexiloom.operators.ingest import indexed_prefixes, with_prefix
+from lexiloom.operators.ingest import indexed_keys, with_key
 from lexiloom.operators.status import route, with_status
 from lexiloom.plans.retrieval import prefixed_questions
 from lexiloom.schemas import REQUEST_LOG
@@ -23,15 +23,16 @@ def run_ledger(
     """
     urls = requests.select("url").distinct()
     flagged = flag_blocked(urls, patterns)
-    known = indexed_prefixes(chunks).distinct().withColumn("__known", F.lit(True))
-    located = with_prefix(flagged).join(known, "chunk_prefix", "left").withColumn(
+    known = indexed_keys(chunks).distinct().withColumn("__known", F.lit(True))
+    located = with_key(flagged).join(known, "doc_key", "left").withColumn(
         "is_indexed", F.coalesce("__known", F.lit(False))
-    ).drop("__known", "chunk_prefix")
+    ).drop("__known", "chunk_prefix", "doc_key")
     routed = route(with_status(located, statuses, "url"), cache_enabled)
-    joined = requests.join(routed, "url")
+    # Every request stays: one without a document has no decision, and its questions stay as asked.
+    joined = requests.join(routed.where("url is not null"), "url", "left")
     return joined.withColumn(
         "questions",
-        F.when(F.col("is_blocked"), F.col("questions")).otherwise(prefixed_questions(F.col("url"), F.col("questions"))),
+        F.when(F.coalesce("is_blocked", F.lit(True)), F.col("questions")).otherwise(prefixed_questions(F.col("url"), F.col("questions"))),
     ).withColumn("question_count", F.size("questions"))
 
 

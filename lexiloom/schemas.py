@@ -13,6 +13,7 @@ DOCUMENT = T.StructType([
 CHUNK = T.StructType([
     T.StructField("chunk_id", T.StringType()),
     T.StructField("chunk_prefix", T.StringType()),
+    T.StructField("doc_key", T.StringType()),
     T.StructField("ordinal", T.IntegerType()),
     T.StructField("text", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),

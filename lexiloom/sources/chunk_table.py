@@ -41,9 +41,10 @@ def merged(old: DataFrame, new: DataFrame, mode: str = "replace") -> DataFrame:
     """Chunk table after a batch.
 
     ``replace`` drops every old chunk of the documents in the batch, so a document that
-    got shorter leaves nothing behind; ``upsert`` replaces by chunk id only.
+    got shorter leaves nothing behind; ``upsert`` replaces chunk by chunk. Documents are told
+    apart by their full key; the short prefix of the chunk id is shared by some.
     """
-    key = {"replace": "chunk_prefix", "upsert": "chunk_id"}[mode]
+    key = {"replace": ["doc_key"], "upsert": ["doc_key", "ordinal"]}[mode]
     kept = old.join(new.select(key).distinct(), key, "left_anti")
     return new.select(*old.columns).unionByName(kept.select(*old.columns))
 
@@ -51,11 +52,18 @@ def merged(old: DataFrame, new: DataFrame, mode: str = "replace") -> DataFrame:
 def save_chunks(
     spark: SparkSession, path: str, new: DataFrame, mode: str = "replace", digits: int = BUCKET_DIGITS
 ) -> None:
-    """Merge a batch of chunks into the table, rewriting only the buckets it touches."""
+    """Merge a batch of chunks into the table, rewriting only the buckets it touches.
+
+    ``append`` is for documents known to be new: they are written beside the old files,
+    none of which is read.
+    """
     typed = new.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK.fields if f.name != "embedding"],
         checked_dim(F.col("embedding")).alias("embedding"),
     ).withColumn(BUCKET, bucket_of(F.col("chunk_prefix"), digits))
+    if mode == "append":
+        typed.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
+        return
     batch = cut_lineage(typed)
     touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most 16 ** digits values
     if not touched:
@@ -82,7 +90,7 @@ def get_chunks_of(table: DataFrame, ids: DataFrame, include: list[str]) -> DataF
 
 
 def count_chunks(table: DataFrame) -> DataFrame:
-    return table.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("chunk_prefix").alias("documents"))
+    return table.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("doc_key").alias("documents"))
 
 
 def load_mapping(spark: SparkSession, path: str, cache_enabled: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from lexiloom.functions.urls import chunk_id, chunk_prefix, doc_basename
+from lexiloom.functions.urls import chunk_id, chunk_prefix, doc_basename, document_key
 from lexiloom.operators.cache import get_or_create
 from lexiloom.operators.chunking import semantic_chunks
 from lexiloom.operators.ordering import row_numbers
@@ -50,7 +50,7 @@ def directory_chunks(spark: SparkSession, directory: str) -> DataFrame:
     prefix = chunk_prefix(F.lit(directory))
     ordinal = (F.col("position") - 1).cast("int")
     return numbered.select(
-        chunk_id(prefix, ordinal).alias("chunk_id"), prefix.alias("chunk_prefix"), ordinal.alias("ordinal"),
+        chunk_id(prefix, ordinal).alias("chunk_id"), prefix.alias("chunk_prefix"), document_key(F.lit(directory)).alias("doc_key"), ordinal.alias("ordinal"),
         "text", "embedding", "metadata", "url",
     )
 

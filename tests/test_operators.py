@@ -146,9 +146,8 @@ def test_block_gate_both_ways(spark):
 
 
 def test_fuzzy_lookup(spark):
-    from lexiloom.dimensions import CITY_LANDMARKS
-
-    cities = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(CITY_LANDMARKS)], "ord int, key string, value string")
+    places = [("New York", "Eiffel Tower"), ("London", "Statue of Liberty"), ("Tokyo", "Big Ben"), ("Dubai", "CN Tower"), ("Paris", "Taj Mahal")]
+    cities = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(places)], "ord int, key string, value string")
     asked = spark.createDataFrame([("PARIS",), ("York",), ("greater london area",), ("Nowhere",), (None,)], "city string")
     expected = [("Nowhere", None), ("PARIS", "Taj Mahal"), ("York", "Eiffel Tower"), ("greater london area", "Statue of Liberty"), (None, None)]
     for limit in (512, 0):
@@ -249,3 +248,39 @@ def test_cache_is_created_once_per_document(spark):
     assert plain(same) == plain(updated) and updated.count() == len({n for n in names.values() if n})
     off, untouched = K.get_or_create(requests, mapping, cache_enabled=False)
     assert off.where("cache_name is not null").count() == 0 and untouched is mapping
+
+
+@pytest.mark.parametrize("limit", (512, 0))
+def test_empty_null_and_repeated_terms_match_alike(spark, limit):
+    urls = spark.createDataFrame([("http://ÄB.example/x",), ("http://b.example",), (None,), ("",)], "url string")
+    patterns = spark.createDataFrame([("",), (None,), ("äb.EX",)], "pattern string")
+    flagged = {r.url: r.is_blocked for r in G.flag_blocked(urls, patterns, markers=(), limit=limit).collect()}
+    assert flagged == {"http://ÄB.example/x": True, "http://b.example": False, None: False, "": False}
+    words = spark.createDataFrame([(1, "Über", "b"), (1, "Über", "a"), (2, "", "empty"), (3, None, "null"), (4, "x", ""), (5, "y", None)], "ord int, key string, value string")
+    asked = spark.createDataFrame([("ÜBER",), ("",), (None,), ("none",)], "k string")
+    assert sorted(map(tuple, L.fuzzy_lookup(asked, words, "k", limit=limit).collect()), key=str) == sorted(
+        [("", None), (None, None), ("none", None), ("ÜBER", "a")], key=str)
+    texts = spark.createDataFrame([(1, "has A and B"), (2, "only b"), (3, "zzz"), (4, None)], "id int, text string")
+    got = {r.id: r.value for r in L.first_term(texts, words, "text", "id", limit=limit).collect()}
+    assert got == {1: "a", 2: "b", 3: None, 4: None}
+
+
+def test_long_text_is_matched_in_linear_time(spark):
+    import time
+
+    from lexiloom.operators.substring import containments
+
+    texts = spark.createDataFrame([(1, "abcdefghij" * 8000 + "needle!")], "id int, text string")
+    terms = spark.createDataFrame([(7, "NEEDLE!"), (8, "missing")], "t int, term string")
+    containments(texts, "id", "text", terms, "t", "term").collect()
+    start = time.perf_counter()
+    assert [tuple(r) for r in containments(texts, "id", "text", terms, "t", "term").collect()] == [(1, 7)]
+    assert time.perf_counter() - start < 10
+
+
+def test_clearing_the_mapping_leaves_an_empty_table(spark):
+    from lexiloom.operators import cache
+
+    mapping = spark.createDataFrame([("a", "b")], "doc_hash string, cache_name string")
+    left = cache.evict_all(mapping)
+    assert left.count() == 0 and left.columns == mapping.columns

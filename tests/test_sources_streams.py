@@ -168,3 +168,27 @@ def test_stream_ingest_skips_known_documents(spark, tmp_path):
         J.run_to_end(J.ingest_writer(arriving, table, digits=1), str(tmp_path / "p"))
     texts = sorted(r.text for r in T.open_chunks(spark, table).collect())
     assert texts in (["one. two.", "three."], ["changed.", "three."])
+
+
+def test_documents_with_an_equal_prefix_stay_apart(spark, tmp_path):
+    from lexiloom.functions.urls import chunk_prefix
+    from lexiloom.plans.ingest import ingest_documents, ingest_new
+    from lexiloom.sources.chunk_table import count_chunks, open_chunks
+    from pyspark.sql import functions as F
+
+    def one(url, text):
+        return spark.createDataFrame([(url, text)], "url string, text string")
+
+    a, b = "doc/99", "doc/16495"
+    assert len({r[0] for r in one(a, "x").union(one(b, "x")).select(chunk_prefix(F.col("url"))).collect()}) == 1
+    for name, second in (("replace", lambda p: ingest_documents(spark, one(b, "B text."), p)), ("upsert", lambda p: ingest_documents(spark, one(b, "B text."), p, "upsert")),
+                         ("new", lambda p: ingest_new(spark, one(b, "B text."), p))):
+        path = str(tmp_path / name)
+        ingest_documents(spark, one(a, "A text."), path)
+        second(path)
+        assert sorted(r.text for r in open_chunks(spark, path).collect()) == ["A text.", "B text."], name
+        assert tuple(count_chunks(open_chunks(spark, path)).first()) == (2, 2)
+    path = str(tmp_path / "versions")
+    ingest_documents(spark, one(a, "Older.").union(one(a, "Wins.")), path)
+    ingest_new(spark, one(a, "Ignored.").union(one(b, "B text.")), path)
+    assert sorted(r.text for r in open_chunks(spark, path).collect()) == ["B text.", "Wins."]
