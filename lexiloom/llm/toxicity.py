@@ -34,7 +34,7 @@ WORD = 16
 LETTERS = 60
 LANDMARKS = 320
 #: Labelled texts of each class that the machine is trained on (the documented bound).
-TRAIN_TEXTS = 3000
+TRAIN_TEXTS = 1200
 #: Negative words kept for training, the most frequent ones and a draw of the rest.
 FREQUENT, DRAWN = 2500, 4000
 #: Clean words nearest to the margin that each training round adds.
