@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lexiloom.llm.tables import held_out, query, table
+from lexiloom.llm.tables import hash_draw, held_out, query, table
 from lexiloom.session import cut_lineage
 
 #: Labelled findings the forest is trained on (the documented bound of the sample).
@@ -54,10 +54,18 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> DataFrame:
-    """The most frequent letter-only words of at least three letters over all documents."""
+    """The most frequent letter-only words of at least three letters over all documents.
+
+    At most ``size``: words at or above the least document count that so few words reach, so
+    words of equal count are all in or all out. Only the words per count are ranked.
+    """
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), _SPLIT, -1))).alias("word"))
-    counted = words.where(r"word rlike '^\\p{L}{3,32}$'").groupBy("word").count()
-    return counted.orderBy(F.col("count").desc(), "word").limit(size).select("word")
+    counted = cut_lineage(words.where(r"word rlike '^\\p{L}{3,32}$'").groupBy("word").agg(F.count("*").alias("n_docs")))
+    ranked = counted.groupBy("n_docs").agg(F.count("*").alias("n_words")).withColumn(
+        "reached", F.sum("n_words").over(Window.orderBy(F.col("n_docs").desc()))
+    )
+    least = ranked.where(F.col("reached") <= size).agg(F.min("n_docs")).first()[0]
+    return counted.where(F.col("n_docs") >= least if least else F.lit(False)).select("word")
 
 
 def _share(word: Column, pattern: str) -> Column:
@@ -105,7 +113,7 @@ def scored(features: DataFrame, labelled: DataFrame) -> DataFrame:
     it holds one label only, that label is the score; where it is empty, the score is 0.
     """
     known = cut_lineage(
-        labelled.where("label is not null").orderBy(F.xxhash64("value", "doc_id"), "value", "doc_id", "place").limit(TRAIN_FINDINGS)
+        hash_draw(labelled.where("label is not null"), ["value", "doc_id", "place"], TRAIN_FINDINGS)
         .select(*FEATURES, F.col("label").cast("double").alias("label"))
     )
     seen = sorted(r["label"] for r in known.select("label").distinct().limit(3).collect())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def hash_draw(rows: DataFrame, keys: list[str], size: int, per: str | None = None) -> DataFrame:
+    """The first ``size`` rows (of every value of ``per``) in the order of their keys' hash.
+
+    For bounded training samples. The rows are counted first; only those whose hash lies within
+    twice the share needed are ranked, so no task ranks all rows of a large group. ``per`` must
+    have few values (its counts are broadcast); where it is null, no row is drawn.
+    """
+    place = F.xxhash64(*keys) / F.lit(2.0**64) + 0.5
+    order = [F.xxhash64(*keys), *keys]
+    if per is None:
+        return rows.where(place <= 2.0 * size / max(rows.count(), 1)).orderBy(*order).limit(size)
+    counts = rows.groupBy(per).agg(F.count("*").alias("_rows"))
+    near = rows.join(F.broadcast(counts), per).where(place <= F.lit(2.0 * size) / F.col("_rows")).drop("_rows")
+    nth = F.row_number().over(Window.partitionBy(per).orderBy(*order))
+    return near.withColumn("_nth", nth).where(F.col("_nth") <= size).drop("_nth")
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is not in ``ids``; rows with a null id stay.
 
