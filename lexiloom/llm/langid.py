@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexiloom.llm.tables import byte_view, held_out, query, table
+from lexiloom.llm.tables import byte_view, hash_draw, held_out, query, table
 
 #: Labelled texts per language that the trees are counted on (the documented bound of the sample).
 TRAIN_TEXTS = 600
@@ -163,11 +163,7 @@ def train(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> ContextTrees:
     runs on the executors; what reaches the driver is bounded by the sample.
     """
     learn = docs.where(F.col("lang").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        learn.select("lang", "doc_id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_texts)
-        .select("doc_id").distinct()
-    )
+    chosen = hash_draw(learn.select("lang", "doc_id"), ["doc_id"], train_texts, "lang").select("doc_id").distinct()
     sample = learn.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     grams = (
         sample.where("text is not null").select("lang", "text").mapInArrow(_count_grams, _GRAMS)
