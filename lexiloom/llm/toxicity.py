@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiloom.llm.tables import held_out, query, table
+from lexiloom.llm.tables import hash_draw, held_out, query, table
 
 #: Weight of one position spanned by a subsequence.
 DECAY = 0.6
@@ -371,10 +371,7 @@ def train(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) ->
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic = 1").orderBy(*order).limit(train_texts).union(
-        known.where("toxic = 0").orderBy(*order).limit(train_texts)
-    )
+    chosen = hash_draw(known.where("toxic in (0, 1)"), ["doc_id"], train_texts, "toxic")
     bags = (
         docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
         .mapInArrow(_bags, "toxic int, words array<string>").toArrow()
