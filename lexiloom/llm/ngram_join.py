@@ -270,28 +270,44 @@ def leader_pairs(able: DataFrame) -> DataFrame:
     )
 
 
-_MATRIX = "bucket int, rep long, grp long, n long, tokens binary"
-_CARRIED = ("rep", "grp", "n")
+_MATRIX = "bucket int, heads binary, tokens binary"
 
 
 def _token_columns(bits: int):
-    """Cut sets into token buckets, keeping whole tokens."""
+    """Cut sets into token buckets, keeping whole tokens: one row per bucket and block of sets.
+
+    ``heads`` holds set, group, size and number of tokens here of every set in the row, in the
+    order of ``tokens``.
+    """
+
+    def packed(carried: list[tuple], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token = np.concatenate(tokens)
+        owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        bucket = (token >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        token, owner, bucket = token[order], owner[order], bucket[order]
+        first, sizes = _runs(bucket * len(tokens) + owner)
+        heads = np.column_stack([np.array(carried, dtype=np.int64)[owner[first]], sizes])
+        starts, lengths = _runs(bucket)
+        cuts = np.searchsorted(first, np.append(starts, len(token)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[starts].astype(np.int32)), pa.array([heads[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()),
+             pa.array([token[x : x + k].tobytes() for x, k in zip(starts, lengths)], pa.binary())],
+            names=["bucket", "heads", "tokens"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, tokens, held = [], [], 0
         for batch in batches:
-            bucket, source, pieces = [], [], []
-            for i, blob in enumerate(batch.column("tokens")):
-                tokens = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
-                own = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-                starts, sizes = _runs(own)
-                bucket += own[starts].tolist()
-                source += [i] * len(starts)
-                pieces += [tokens[a : a + k].tobytes() for a, k in zip(starts, sizes)]
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket, pa.int32()), *(batch.column(c).take(take) for c in _CARRIED), pa.array(pieces, pa.binary())],
-                names=["bucket", *_CARRIED, "tokens"],
-            )
+            for *own, blob in zip(*(batch.column(c).to_pylist() for c in ("rep", "grp", "n", "tokens"))):
+                carried.append(own)
+                tokens.append(np.frombuffer(blob, dtype=np.uint64))
+                held += len(blob)
+                if held >= PACK_BYTES:
+                    yield from packed(carried, tokens)
+                    carried, tokens, held = [], [], 0
+        if held:
+            yield from packed(carried, tokens)
 
     return run
 
@@ -301,20 +317,20 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
     current, held = None, []
 
     def close():
-        sizes = [len(h[-1]) // 8 for h in held]
-        token = np.concatenate([np.frombuffer(h[-1], dtype=np.uint64) for h in held])
-        carried = np.repeat(np.array([h[:-1] for h in held], dtype=np.int64), sizes, axis=0)
+        heads = np.concatenate([np.frombuffer(h, dtype=np.int64).reshape(-1, 4) for h, _ in held])
+        token = np.concatenate([np.frombuffer(t, dtype=np.uint64) for _, t in held])
+        carried = np.repeat(heads[:, :3], heads[:, 3], axis=0)
         order = np.lexsort((carried[:, 1], token))
         held.clear()
         token, carried = token[order], carried[order]
         return token, carried[:, 0], carried[:, 1], carried[:, 2:]
 
     for batch in batches:
-        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *_CARRIED, "tokens"))):
+        for bucket, heads, tokens in zip(*(batch.column(c).to_pylist() for c in ("bucket", "heads", "tokens"))):
             if bucket != current and held:
                 yield close()
             current = bucket
-            held.append(row)
+            held.append((heads, tokens))
     if held:
         yield close()
 
