@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds, in built-in functions only.
 
 Every measure of a text (symbols, repeated lines, repeated words, word length) gets one
-threshold per stratum. Candidates are tried on labelled texts held out for that: a threshold
-may reject good texts at a rate of at most ``RISK``. It is accepted only if the exact binomial
-probability of seeing so few rejected good texts, were the rate higher, is below the error
-level, divided by the number of tests (strata, measures and candidates) as Bonferroni asks.
-The strictest accepted candidate is the threshold; without one the measure rejects nothing.
+threshold per stratum. Candidates are tried on labelled texts held out for that. All measures
+of a stratum together may reject good texts at a rate of at most ``RISK``, so each gets an equal
+part of it. A candidate is accepted only if the exact binomial probability of seeing so few
+rejected good texts, were the rate higher than that part, is below the error level, divided by
+the number of tests (strata, measures and candidates) as Bonferroni asks. The strictest accepted
+candidate is the threshold; without one the measure rejects nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexiloom.llm.tables import query, table
 from lexiloom.session import cut_lineage
 
-#: Largest rate of good texts a threshold may reject, and the error level over all tests.
-RISK, LEVEL = 0.02, 0.05
+#: Largest rate of good texts the thresholds of a stratum may reject together, and the error level over all tests.
+RISK, LEVEL = 0.04, 0.05
 #: Candidate thresholds per measure (a text above the value is rejected).
 CANDIDATES = {
     "symbol_rate": (0.05, 0.1, 0.2, 0.3, 0.5),
@@ -104,6 +105,7 @@ def thresholds(rows: DataFrame, labels: DataFrame, risk: float = RISK, level: fl
 
     ``rows`` are :func:`measured` texts. Good texts are those labelled with quality 1 that the
     base rules pass; an id labelled both ways is good. One aggregate counts all candidates.
+    ``risk`` holds for all measures of a stratum together: a union bound over equal parts.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     known = rows.where("not base_failed").join(good, "doc_id", "left_semi")
@@ -118,7 +120,7 @@ def thresholds(rows: DataFrame, labels: DataFrame, risk: float = RISK, level: fl
         for i, (name, value) in enumerate(tried)
     ))
     tests = counts.select("stratum", "n", F.explode(cases).alias("case")).select("stratum", "n", "case.*")
-    safe = tests.where(binomial_tail(F.col("k"), F.col("n"), risk) <= allowed)
+    safe = tests.where(binomial_tail(F.col("k"), F.col("n"), risk / len(CANDIDATES)) <= allowed)
     return safe.groupBy("stratum", "measure").agg(F.min("threshold").alias("threshold"))
 
 
