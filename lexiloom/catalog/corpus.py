@@ -121,10 +121,10 @@ def directory_ingest(spark, sf):
 
 
 _DENSE = """
-    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 6) + 0.0 AS distance FROM (
       SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
         SELECT q.vec_id AS query_id, c.vec_id, greatest(round(1.0 - list_dot_product(q.v, c.v)
-                 / sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v)), 6), 0.0) + 0.0 AS distance
+                 / sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v)), 12), 0.0) + 0.0 AS distance
         FROM dense q CROSS JOIN dense c)) WHERE rank <= 20"""
 
 

@@ -364,11 +364,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 def neighbours_sql(query_terms: str, query_ids: str, items: str, item_id: str, item_terms: str, k: int) -> str:
     """Ranked cosine neighbours out of sparse term tables ``(id, b, c)``."""
     return f"""
-        SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id AS {item_id}, distance FROM (
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id AS {item_id}, round(distance, 6) + 0.0 AS distance FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM (
             SELECT q.query_id, i.{item_id} AS item_id,
                    CASE WHEN q.n2 = 0 OR i.n2 = 0 THEN 1.0
-                        ELSE greatest(round(1.0 - coalesce(d.dot, 0) / sqrt(CAST(q.n2 AS DOUBLE) * i.n2), 6), 0.0) + 0.0 END AS distance
+                        ELSE greatest(round(1.0 - coalesce(d.dot, 0) / sqrt(CAST(q.n2 AS DOUBLE) * i.n2), 12), 0.0) + 0.0 END AS distance
             FROM (SELECT u.query_id, coalesce(CAST(sum(t.c * t.c) AS BIGINT), 0) AS n2 FROM {query_ids} u
                   LEFT JOIN {query_terms} t ON t.query_id = u.query_id GROUP BY ALL) q
             CROSS JOIN (SELECT u.{item_id}, coalesce(CAST(sum(t.c * t.c) AS BIGINT), 0) AS n2 FROM {items} u

@@ -370,10 +370,7 @@ def stream_daily_stats(spark, sf):
     counts, seen = scratch_path(spark, "counts"), scratch_path(spark, "seen")
     J.run_to_end(J.change_writer(J.daily_counts(_log_stream(spark, sf)), counts), scratch_path(spark, "progress"))
     documents_seen = J.daily_documents(_log_stream(spark, sf))
-    J.run_to_end(
-        documents_seen.writeStream.format("parquet").option("path", seen).outputMode("append"),
-        scratch_path(spark, "progress"),
-    )
+    J.run_to_end(J.seen_writer(documents_seen, seen), scratch_path(spark, "progress"))
     return J.finished_stats(J.latest_changes(spark, counts, ["log_date"]), read_log(spark, seen, documents_seen.schema))
 
 
@@ -389,7 +386,7 @@ def stream_status(spark, sf):
     "SELECT DISTINCT md5(lower(trim(documents))) AS doc_hash FROM request_log WHERE documents <> ''", "request_log"))
 def stream_dedup(spark, sf):
     path = scratch_path(spark, "first")
-    first = J.first_submissions(_log_stream(spark, sf).where("documents <> ''"), "documents", "60 days").select("ts", "doc_hash")
+    first = J.first_submissions(_log_stream(spark, sf).where("documents <> ''"), "documents").select("ts", "doc_hash")
     J.run_to_end(first.writeStream.format("parquet").option("path", path).outputMode("append"), scratch_path(spark, "progress"))
     return read_log(spark, path, first.schema).select("doc_hash")
 

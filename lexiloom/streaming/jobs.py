@@ -45,17 +45,18 @@ def latest_changes(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     return newest.select(*keys, *[F.col(f"s.{v}").alias(v) for v in values])
 
 
-def daily_counts(records: DataFrame, delay: str = "1 day") -> DataFrame:
+def daily_counts(records: DataFrame) -> DataFrame:
     """Running daily statistics except the distinct documents.
 
     Sums and counts are merged in the state store after a partial aggregate per input
-    partition, so a busy day is no hot task.
+    partition, so a busy day is no hot task. There is no watermark: the state holds one row
+    per day, and a record counts for its day however late it comes.
     """
     answered = F.coalesce(F.size("answers"), F.lit(0)) > 0
     failed = has_error(F.col("answers"))
     timed = F.when(F.col("processing_time") != 0, F.col("processing_time"))
     day = F.window("ts", "1 day")
-    counted = records.withWatermark("ts", delay).groupBy(day).agg(
+    counted = records.where(F.col("ts").isNotNull()).groupBy(day).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.sum(timed).alias("time_sum"),
         F.count(timed).alias("time_n"),
@@ -66,10 +67,21 @@ def daily_counts(records: DataFrame, delay: str = "1 day") -> DataFrame:
     return counted.select(F.to_date(F.col("window.start")).alias("log_date"), *[c for c in counted.columns if c != "window"])
 
 
-def daily_documents(records: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First sight of every document of a day; exact, unlike a sketch."""
-    seen = records.where(F.coalesce(F.col("documents"), F.lit("")) != "").select("ts", "log_date", "documents")
-    return seen.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["log_date", "documents"])
+def daily_documents(records: DataFrame) -> DataFrame:
+    """Day and document of every record that names one, for :func:`seen_writer`."""
+    return records.where(F.coalesce(F.col("documents"), F.lit("")) != "").select("log_date", "documents")
+
+
+def seen_writer(rows: DataFrame, path: str) -> DataStreamWriter:
+    """Write the distinct rows of every micro-batch to its own folder; readers count distinct rows.
+
+    No state is kept, so no row comes too late; a repeated batch overwrites itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.distinct().write.mode("overwrite").parquet(f"{path}/{CHANGES}={batch_id}")
+
+    return rows.writeStream.foreachBatch(write)
 
 
 def finished_stats(counts: DataFrame, documents: DataFrame) -> DataFrame:
@@ -95,9 +107,16 @@ def status_updates(events: DataFrame, key: str = "document_id") -> DataFrame:
     return current_state(events, key)
 
 
-def first_submissions(requests: DataFrame, url: str = "url", delay: str = "1 day") -> DataFrame:
-    """Suppress repeated submissions of a document within the watermark."""
+def first_submissions(requests: DataFrame, url: str = "url", delay: str | None = None) -> DataFrame:
+    """Suppress repeated submissions of a document.
+
+    The state holds one short hash per document, for ever; on a cluster keep it in the RocksDB
+    state store. A ``delay`` bounds the state to that time: repeats further apart then pass
+    again, and rows that come later than it are dropped.
+    """
     keyed = requests.withColumn("doc_hash", doc_hash(F.col(url)))
+    if delay is None:
+        return keyed.dropDuplicates(["doc_hash"])
     return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["doc_hash"])
 
 

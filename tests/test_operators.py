@@ -1,6 +1,7 @@
 """Operators against brute force, on data with hot keys."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -66,12 +67,12 @@ def test_a_hot_key_is_spread_over_slices(spark, hot, many_slices):
 def brute_force(queries, corpus, k):
     def distance(a, b):
         norm = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
-        return 1.0 if norm == 0 else max(math.floor((1 - sum(x * y for x, y in zip(a, b)) / norm) * 1e6 + 0.5) / 1e6, 0.0)
+        return 1.0 if norm == 0 else max(math.floor((1 - sum(x * y for x, y in zip(a, b)) / norm) * 1e12 + 0.5) / 1e12, 0.0)
 
     rows = []
     for q, a in queries:
         near = sorted((distance(a, b), i) for i, b in corpus)[:k]
-        rows += [(q, r + 1, i, d) for r, (d, i) in enumerate(near)]
+        rows += [(q, r + 1, i, round(d, 6)) for r, (d, i) in enumerate(near)]
     return sorted(rows)
 
 
@@ -100,6 +101,18 @@ def test_knn_is_exact(spark, vectors, options, k):
     assert plain(N.knn(q, c, k, **options)) == sorted(brute_force(queries, corpus, k), key=repr)
 
 
+def test_knn_plans_agree_on_doubles_and_missing_vectors(spark):
+    draw = random.Random(3)
+    corpus = [(i, [draw.uniform(-1, 1) for _ in range(6)]) for i in range(500)] + [(900, None), (901, [0.0] * 6)]
+    # Neighbours closer than the six places shown are still ranked by their distance.
+    corpus += [(910 - i, [1.0, 1e-4 * i, 0.0, 0.0, 0.0, 0.0]) for i in range(5)]
+    c = spark.createDataFrame(corpus, "chunk_id int, embedding array<double>")
+    q = spark.createDataFrame([(i, v) for i, v in corpus[:40]] + [(77, None), (78, [1.0] + [0.0] * 5)], "query_id int, embedding array<double>")
+    scan, tiled = N.knn(q, c, 5), N.knn(q, c, 5, max_broadcast_queries=0, tile_rows=50)
+    assert plain(scan) == plain(tiled) and scan.where("query_id = 77 or chunk_id = 900").count() == 0
+    assert [r.chunk_id for r in scan.where("query_id = 78").orderBy("rank").collect()] == [910, 909, 908, 907, 906]
+
+
 def test_knn_ranks_a_vector_first_for_itself(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     top = N.knn(v.withColumnRenamed("vec_id", "query_id"), v, 1, item_id="vec_id", max_broadcast_queries=0)

@@ -140,14 +140,30 @@ def batch_log(spark):
 
 def test_stream_statistics_equal_batch(spark, event_files, tmp_path):
     J.run_to_end(J.change_writer(J.daily_counts(stream(spark, event_files)), str(tmp_path / "c")), str(tmp_path / "p1"))
-    seen = J.daily_documents(stream(spark, event_files))
-    J.run_to_end(seen.writeStream.format("parquet").option("path", str(tmp_path / "s")), str(tmp_path / "p2"))
+    J.run_to_end(J.seen_writer(J.daily_documents(stream(spark, event_files)), str(tmp_path / "s")), str(tmp_path / "p2"))
     assert len(list((tmp_path / "c").glob("batch=*"))) >= 4
     final = J.finished_stats(J.latest_changes(spark, str(tmp_path / "c"), ["log_date"]), spark.read.parquet(str(tmp_path / "s")))
     expected = request_stats(batch_log(spark)).select(*final.columns)
     assert plain(final) == plain(expected)
 
 
+def test_late_days_reach_the_result(spark, tmp_path):
+    """Files with the newest days first, a micro-batch each: nothing is dropped as late."""
+    events, source = spark.read.parquet(f"{SF}/events.parquet"), tmp_path / "late"
+    for i in (3, 1, 2, 0):
+        events.where((F.col("event_id") >= 250 * i) & (F.col("event_id") < 250 * (i + 1))).coalesce(1).write.mode("append").parquet(str(source))
+    J.run_to_end(J.change_writer(J.daily_counts(stream(spark, str(source))), str(tmp_path / "c")), str(tmp_path / "p1"))
+    J.run_to_end(J.seen_writer(J.daily_documents(stream(spark, str(source))), str(tmp_path / "s")), str(tmp_path / "p2"))
+    final = J.finished_stats(J.latest_changes(spark, str(tmp_path / "c"), ["log_date"]), spark.read.parquet(str(tmp_path / "s")))
+    assert plain(final) == plain(request_stats(batch_log(spark)).select(*final.columns))
+    first = J.first_submissions(stream(spark, str(source)).where("documents <> ''"), "documents").select("doc_hash")
+    J.run_to_end(first.writeStream.format("parquet").option("path", str(tmp_path / "f")), str(tmp_path / "p3"))
+    got = [r.doc_hash for r in spark.read.parquet(str(tmp_path / "f")).collect()]
+    from lexiloom.functions.urls import doc_hash
+    expected = {r[0] for r in batch_log(spark).where("documents <> ''").select(doc_hash(F.col("documents"))).collect()}
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_stream_status_equals_batch(spark, event_files, tmp_path):
     J.run_to_end(J.change_writer(J.status_updates(status_of(stream(spark, event_files))), str(tmp_path / "c")), str(tmp_path / "p"))
     assert plain(J.latest_changes(spark, str(tmp_path / "c"), ["document_id"])) == plain(current_state(status_of(batch_log(spark))))
