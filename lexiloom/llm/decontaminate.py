@@ -2,13 +2,15 @@
 
 The index has one part per block of training documents: for every term of the tests, the
 documents and word positions that hold it. It is stored as a table in the shared checkpoint
-folder, so tests in any number of blocks are answered from it without reading a text again.
+folder over the words of all tests, so tests in any number of blocks are answered from it
+without reading a text again.
 A phrase is found by intersecting its terms' position lists, each shifted by the term's
 offset in the phrase, from the rarest term (by its count over all documents) on.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,8 +33,9 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: The same words for Spark: everything but ASCII that is no digit and no lower-case letter.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_INDEX = "doc_id long, n_words long, terms array<int>, sizes array<int>, positions array<int>"
-_MATCHES = "doc_id long, n_words long, n_hit long, items array<long>, near_items array<long>"
+_INDEX = "row_id long, doc_id long, n_words long, terms array<int>, sizes array<int>, positions array<int>"
+_MATCHES = "row_id long, doc_id long, n_words long, n_hit long, starts array<int>, ends array<int>, items array<long>, near_items array<long>"
+_FOUND = ("doc_id", "n_words", "n_hit", "items", "near_items")
 
 
 def words(text: bytes) -> list[bytes]:
@@ -54,27 +57,26 @@ def test_words(benchmark: DataFrame) -> DataFrame:
 class TestPhrases:
     """The phrases of one block of test items, ready to be broadcast.
 
-    ``terms`` maps a word to its number; phrase ``p`` has the terms ``grid[p]`` (-1 beyond its
-    length) and belongs to item ``items[p]``.
+    ``n_terms`` is the size of the vocabulary; phrase ``p`` has the terms ``grid[p]`` (-1 beyond
+    its length) and belongs to item ``items[p]``.
     """
 
-    terms: dict[bytes, int]
+    n_terms: int
     grid: np.ndarray
     lengths: np.ndarray
     items: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int, list[str]]], window: int = WINDOW) -> TestPhrases:
-        terms: dict[bytes, int] = {}
+    def of(cls, rows: list[tuple[int, list[str]]], terms: dict[bytes, int], window: int = WINDOW) -> TestPhrases:
         found: dict[tuple[int, tuple[int, ...]], None] = {}
         for item, ws in rows:
-            ids = [terms.setdefault(w.encode(), len(terms)) for w in ws]
+            ids = [terms[w.encode()] for w in ws]
             for start in range(max(1, len(ids) - window + 1)):
                 found[item, tuple(ids[start : start + window])] = None
         grid = np.full((len(found), window), -1, dtype=np.int64)
         for p, (_, phrase) in enumerate(found):
             grid[p, : len(phrase)] = phrase
-        return cls(terms, grid, (grid >= 0).sum(axis=1), np.array([item for item, _ in found], dtype=np.int64))
+        return cls(len(terms), grid, (grid >= 0).sum(axis=1), np.array([item for item, _ in found], dtype=np.int64))
 
     def rarest_first(self, counts: np.ndarray) -> np.ndarray:
         """Offsets of every phrase's terms by rising count in the training documents."""
@@ -82,10 +84,16 @@ class TestPhrases:
         return np.argsort(weight, axis=1, kind="stable")
 
 
+def vocabulary_of(tests: DataFrame) -> dict[bytes, int]:
+    """Numbers of the distinct words of all tests (``ws``); one row per word reaches the driver."""
+    found = tests.select(F.explode("ws").alias("w")).distinct().toArrow().column("w")
+    return {w.encode(): i for i, w in enumerate(found.to_pylist())}
+
+
 def build_index(docs: DataFrame, vocabulary: list[str] | dict[bytes, int]) -> DataFrame:
     """The stored index of all documents over a vocabulary, one row per document.
 
-    ``terms`` are a document's distinct vocabulary terms, ``sizes`` their counts, ``positions``
+    ``row_id`` tells repeated documents and those with a null id apart. ``terms`` are a document's distinct vocabulary terms, ``sizes`` their counts, ``positions``
     the word positions term after term. A null text has no words.
     """
     terms = vocabulary if isinstance(vocabulary, dict) else {w.encode(): i for i, w in enumerate(vocabulary)}
@@ -109,11 +117,12 @@ def build_index(docs: DataFrame, vocabulary: list[str] | dict[bytes, int]) -> Da
                     places.append(at[order])
                 lists = [_lists(x) for x in (kinds, sizes, places)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, 512), pa.array(n_words, pa.int64()), *lists],
-                    names=["doc_id", "n_words", "terms", "sizes", "positions"],
+                    [batch.column("row_id").slice(low, 512), batch.column("doc_id").slice(low, 512), pa.array(n_words, pa.int64()), *lists],
+                    names=["row_id", "doc_id", "n_words", "terms", "sizes", "positions"],
                 )
 
-    return cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _INDEX))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return cut_lineage(numbered.mapInArrow(run, _INDEX))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -156,7 +165,7 @@ def _match_block(part: pa.RecordBatch, phrases: TestPhrases, order: np.ndarray,
     # Rows are in document order and a term's positions rise, so a stable sort leaves them rising.
     by_term = np.argsort(term, kind="stable")
     place = place[by_term]
-    bounds = np.searchsorted(term[by_term], np.arange(len(phrases.terms) + 1))
+    bounds = np.searchsorted(term[by_term], np.arange(phrases.n_terms + 1))
     held = np.diff(bounds)
 
     complete = np.where(phrases.grid >= 0, held[phrases.grid], 1).min(axis=1) > 0 if len(phrases.grid) else np.empty(0, bool)
@@ -195,12 +204,19 @@ def _match_block(part: pa.RecordBatch, phrases: TestPhrases, order: np.ndarray,
     edge = np.zeros(base[-1] + 1, dtype=np.int32)
     np.add.at(edge, start, 1)
     np.add.at(edge, end, -1)
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+    hit = np.cumsum(edge) > 0
+    covered = np.concatenate([[0], np.cumsum(hit)])
     n_hit = covered[base[:-1] + n_words] - covered[base[:-1]]
+    turns = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    # A gap follows every document, so a run of hit words starts and ends in the same one.
+    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    owner = np.searchsorted(base, starts, side="right") - 1
+    runs = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    places = [pa.ListArray.from_arrays(pa.array(runs), pa.array((at - base[owner]).astype(np.int32))) for at in (starts, ends)]
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), part.column("n_words"), pa.array(n_hit.astype(np.int64)),
+        [part.column("row_id"), part.column("doc_id"), part.column("n_words"), pa.array(n_hit.astype(np.int64)), *places,
          _items_of(start, item, base, n), _items_of(joined(near_at), joined(near_items), base, n)],
-        names=["doc_id", "n_words", "n_hit", "items", "near_items"],
+        names=["row_id", "doc_id", "n_words", "n_hit", "starts", "ends", "items", "near_items"],
     )
 
 
@@ -211,14 +227,14 @@ def _items_of(at: np.ndarray, item: np.ndarray, base: np.ndarray, n: int) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs[:, 1].astype(np.int64)))
 
 
-def match_phrases(index: DataFrame, phrases: TestPhrases, slop: int = 0) -> DataFrame:
-    """``doc_id, n_words, n_hit, items, near_items`` per indexed document.
+def match_phrases(index: DataFrame, phrases: TestPhrases, counts: np.ndarray, slop: int = 0) -> DataFrame:
+    """``row_id, doc_id, n_words, n_hit, starts, ends, items, near_items`` per row of the index.
 
-    ``n_hit`` counts the words inside any exact occurrence of a phrase and ``items`` lists the
-    items that occur. With a ``slop``, ``near_items`` lists the items one of whose phrases has
+    ``counts`` are the index's ``term_counts``. ``n_hit`` counts the words inside any exact
+    occurrence of a phrase, ``starts`` and ``ends`` bound the runs of such words and ``items``
+    lists the items that occur. With a ``slop``, ``near_items`` lists the items one of whose phrases has
     all its terms, in any order, within its length plus ``slop`` words of its rarest term.
     """
-    counts = term_counts(index, len(phrases.terms))
     shared = index.sparkSession.sparkContext.broadcast((phrases, phrases.rarest_first(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,26 +268,42 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop
     An item of fewer words than ``window`` is one phrase; one without words matches nothing. A
     null text has no words. Repeated rows are answered row by row; rows with a null ``doc_id``
     too. Empty tables give no rows or no hits. Further columns are not read. Tests beyond
-    ``BLOCK_WORDS`` words are answered block by block: items are streamed to the driver, one
-    block at a time, and ``n_hit`` is then the largest of the blocks' (the items are exact).
+    ``BLOCK_WORDS`` words are answered block by block from one index: items are streamed to the
+    driver, one block at a time, and the hit words of a row are united over the blocks. Only the
+    distinct words of all tests are held at once.
     """
-    tests = test_words(benchmark)
-    parts = []
-    for block in _blocks(tests.toLocalIterator()):
-        phrases = TestPhrases.of(block, window)
-        parts.append(match_phrases(build_index(docs, phrases.terms), phrases, slop))
-    if not parts:
-        parts = [match_phrases(build_index(docs, {}), TestPhrases.of([], window), slop)]
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.union(part)
-    return merged.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
+    tests = cut_lineage(test_words(benchmark))
+    terms = vocabulary_of(tests)
+    index = build_index(docs, terms)
+    counts = term_counts(index, len(terms))
+    blocks = _blocks(tests.toLocalIterator())
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return match_phrases(index, TestPhrases.of(block, terms, window), counts, slop).select(*_FOUND)
+    merged = None
+    for block in itertools.chain([block, following], blocks):
+        found = match_phrases(index, TestPhrases.of(block, terms, window), counts, slop)
+        part = cut_lineage(found.where("n_hit > 0 or size(near_items) > 0").drop("doc_id", "n_words", "n_hit"))
+        merged = part if merged is None else merged.union(part)
+    return index.select("row_id", "doc_id", "n_words").join(_united(merged), "row_id", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("items", "near_items")],
+    )
+
+
+def _united(parts: DataFrame) -> DataFrame:
+    """``row_id, n_hit, items, near_items`` over the blocks of tests: each hit word counts once."""
+    runs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
+    n_hit = F.aggregate(
+        runs, F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
+        lambda done, run: F.struct(
+            (done.n + F.greatest(run.ends - F.greatest(run.starts, done.reach), F.lit(0))).alias("n"),
+            F.greatest(done.reach, run.ends).alias("reach"),
+        ),
+        lambda done: done.n.cast("long"),
     )
+    distinct = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
+    return parts.groupBy("row_id").agg(n_hit.alias("n_hit"), *distinct)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

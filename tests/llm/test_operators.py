@@ -128,6 +128,19 @@ def test_proximity_and_blocks(spark, documents, monkeypatch):
     assert split == {1: [], 2: [1], 3: [], 4: [1, 2]}
 
 
+def test_blocks_unite_hit_words_and_keep_rows(spark, documents, monkeypatch):
+    a, b = (" ".join(f"{x}{i}" for i in range(10)) for x in "ab")
+    overlap = " ".join([f"a{i}" for i in range(5, 10)] + [f"c{i}" for i in range(5)])
+    bench = spark.createDataFrame([(1, a), (2, b), (3, overlap)], "item_id long, text string")
+    both, crossed = f"x {a} y {b} z", f"{a} " + " ".join(f"c{i}" for i in range(5))
+    docs = documents([(1, both), (1, both), (None, both), (None, a), (2, crossed), (3, "none"), (3, "none"), (4, None)])
+    answers = lambda: sorted(((r.doc_id or -1, r.n_words, r.n_hit, sorted(r["items"]), sorted(r.near_items)) for r in decontaminate.find_leaks(docs, bench, slop=1).collect()))
+    whole = answers()
+    assert [(r[0], r[2], r[3]) for r in whole] == [(-1, 10, [1]), (-1, 20, [1, 2]), (1, 20, [1, 2]), (1, 20, [1, 2]), (2, 15, [1, 3]), (3, 0, []), (3, 0, []), (4, 0, [])]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    assert answers() == whole
+
+
 def test_decontamination_edges(spark, documents):
     bench = spark.createDataFrame([(1, "null id here")], "item_id long, text string")
     kept = decontaminate.drop_contaminated(documents([*EDGES, (8, "null ID here")]), bench)
