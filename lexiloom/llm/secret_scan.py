@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false findings, in built-in functions only.
 
-Candidates are long words with digits, found in every whole text. Each is described by its
+Candidates are words of eight or more characters that hold a digit or follow a secret's name,
+found in every whole text; typographic marks around them are no part of them. Each is described by its
 length, its changes between letter classes, how much of it dictionary words cover, its path
 (the source it stands in, and separators inside it) and the words around it. A forest trained
 on labelled findings tells secrets from numbers, hashes, addresses and names.
@@ -24,32 +25,63 @@ TREES, DEPTH = 30, 6
 THRESHOLD = 0.5
 
 _SPLIT = r"[\x20\x09-\x0D]+"
-_CANDIDATE = r"^(?=.{10,512}$)(?=.*[0-9])[\x21-\x7E]+$"
-_LONG = r"^(?=.{513,})(?=.*[0-9])[\x21-\x7E]+$"
+#: Characters that a candidate has at least.
+LEAST_LENGTH = 8
+#: A sign beyond ASCII that is no letter, digit or part of a letter, such as a typographic quote.
+_MARK = r"[^\x00-\x7F\p{L}\p{M}\p{N}]"
+#: Marks ahead of a word, and behind it read backwards, with the ASCII quotes, brackets and stops
+#: outside them; loops over one class only, which long words of marks do not slow down.
+_MARKS_AHEAD = rf"^[{_MARK}\"'(\[{{<]*{_MARK}"
+_MARKS_BEHIND = rf"^[{_MARK}\"')\]}}>.,:;!?]*{_MARK}"
+#: The name inside a word, with the sign after it (in quotes as in JSON, too).
+_INLINE = r"^[\"'`{(\[<,]*([A-Za-z_.\-]{2,40})[\"'`]?[=:]"
 #: Names that announce a secret, and names that announce something public (fixed values).
 SECRET_NAMES = r"(?i)pass(word|wd|phrase)?|secret|token|api|key|auth|credential|login"
+#: A secret's name that is a word of its own within the name (not ``author`` or ``keywords``).
+WHOLE_NAMES = (
+    r"(?i:(?<![a-z])(?:user|db|my|api|access|private|client|auth|secret)?(?:pass(?:word|wd|phrase)?|secret|token|api|key|auth|credential|login)s?(?![a-z]))"
+    r"|(?<=[a-z])(?:Pass(?:word|wd|phrase)?|Secret|Token|Key|Credential)s?(?![a-z])"
+)
 PUBLIC_NAMES = r"(?i)sha|md5|commit|hash|uuid|id|version|phone|tel|card|ip|mail|order"
 
 FEATURES = (
     "length", "digit_share", "upper_share", "lower_share", "other_share", "change_rate", "distinct_share", "coverage",
     "assigned", "name_secret", "before_secret", "after_secret", "before_public", "dots", "slashes", "source_bin", "before_colon",
+    "name_whole",
 )
 
 
+def _bare(word: Column) -> Column:
+    """``word`` without the typographic marks at its ends; a word of marks only stays."""
+    bare = F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(word, _MARKS_AHEAD, "")), _MARKS_BEHIND, ""))
+    return F.when(bare == "", word).otherwise(bare)
+
+
+def _name(word: Column, before: Column, ahead: Column) -> Column:
+    """The name inside the word, before a separate sign, or before the sign that ends the word before."""
+    inline = F.regexp_extract(word, _INLINE, 1)
+    return (
+        F.when(inline != "", inline).when(before.isin("=", ":", "=>", ":="), ahead)
+        .when(before.rlike("[=:]$"), F.regexp_replace(before, "[=:]+$", "")).otherwise(F.lit(""))
+    )
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, source, place, word, ahead, before, after`` of every candidate of every text.
 
-    A word is taken whole however long it is. Places count words from 0.
+    A word is taken whole however long it is. Places count words from 0. A word without a digit
+    is a candidate where its name or the word before it holds a secret's name.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.split(F.coalesce("text", F.lit("")), _SPLIT, -1).alias("ws"))
-    places = F.filter(
-        F.transform("ws", lambda w, i: F.when(w.rlike(_CANDIDATE) | w.rlike(_LONG), i)), lambda i: i.isNotNull()
-    )
-    found = F.transform(places, lambda i: F.struct(
-        i.alias("place"), F.get("ws", i).alias("word"),
-        F.coalesce(F.get("ws", i - 2), F.lit("")).alias("ahead"),
-        F.coalesce(F.get("ws", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("ws", i + 1), F.lit("")).alias("after"),
-    ))
+    near = lambda i: F.coalesce(F.get("ws", i), F.lit(""))
+    # Few words pass the first test, so that the marks and names of the others are not looked at.
+    long = F.filter(F.transform("ws", lambda w, i: F.when(F.length(w) >= LEAST_LENGTH, i)), lambda i: i.isNotNull())
+    places = F.filter(long, lambda i: near(i).rlike("[0-9]") | (
+        near(i).rlike(SECRET_NAMES) | near(i - 1).rlike(SECRET_NAMES) | near(i - 2).rlike(SECRET_NAMES)
+    ) & (_name(near(i), near(i - 1), near(i - 2)).rlike(SECRET_NAMES) | near(i - 1).rlike(SECRET_NAMES)))
+    found = F.filter(F.transform(places, lambda i: F.struct(
+        i.alias("place"), _bare(near(i)).alias("word"), near(i - 2).alias("ahead"), near(i - 1).alias("before"), near(i + 1).alias("after"),
+    )), lambda c: F.length(c.word) >= LEAST_LENGTH)
     return rows.select("doc_id", "source", F.explode(found).alias("c")).select("doc_id", "source", "c.*")
 
 
@@ -74,13 +106,8 @@ def _share(word: Column, pattern: str) -> Column:
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
     """Candidates with the features of the forest; ``found`` gains no rows and loses none."""
-    inline = F.regexp_extract("word", r"^([A-Za-z_.\-]{2,40})[=:]", 1)
-    # The name stands inside the word, before a separate sign, or before the sign it ends with.
-    name = (
-        F.when(inline != "", inline).when(F.col("before").isin("=", ":", "=>", ":="), F.col("ahead"))
-        .when(F.col("before").rlike("[=:]$"), F.regexp_replace("before", "[=:]+$", "")).otherwise(F.lit(""))
-    )
-    value = F.regexp_replace("word", r"^[A-Za-z_.\-]{2,40}[=:]", "")
+    name = _name(F.col("word"), F.col("before"), F.col("ahead"))
+    value = _bare(F.regexp_replace("word", _INLINE, ""))
     rows = cut_lineage(found.withColumns({"name": name, "value": F.when(value == "", F.col("word")).otherwise(value)}))
     value = F.col("value")
     runs = rows.select("value").distinct().withColumn("run", F.explode(F.regexp_extract_all(F.lower(value), F.lit(r"\p{L}{3,}"), 0)))
@@ -98,6 +125,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         "distinct_share": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
         "coverage": F.least(F.lit(1.0), F.coalesce("covered", F.lit(0)) / F.length(value)),
         "assigned": num(F.col("name") != ""), "name_secret": num(F.col("name").rlike(SECRET_NAMES)),
+        "name_whole": num(F.col("name").rlike(WHOLE_NAMES)),
         "before_secret": num(F.col("before").rlike(SECRET_NAMES)), "after_secret": num(F.col("after").rlike(SECRET_NAMES)),
         "before_public": num(F.col("before").rlike(PUBLIC_NAMES)),
         "dots": num(value.contains(".")), "slashes": num(value.contains("/")),
@@ -132,10 +160,12 @@ def format_labels(features: DataFrame) -> DataFrame:
     """Labels of findings whose format is beyond doubt; all others are null.
 
     Secrets: cloud access keys by their fixed prefix and length, values assigned to a secret's
-    name. Not secrets: numbers, addresses, mail and web addresses, words covered by the dictionary.
+    name (without a digit only where that name is a word of its own). Not secrets: numbers, addresses, mail and web addresses, words covered by the dictionary.
     """
     word, value = F.col("word"), F.col("value")
-    secret = value.rlike("^[\"']?AKIA[A-Z0-9]{16}[\"',.;]?$") | ((F.col("name_secret") == 1) & (F.length(value) >= 8))
+    secret = value.rlike("^[\"']?AKIA[A-Z0-9]{16}[\"',.;]?$") | (
+        (F.col("name_secret") == 1) & (F.length(value) >= LEAST_LENGTH) & (value.rlike("[0-9]") | (F.col("name_whole") == 1))
+    )
     plain = (
         value.rlike(r"^[+(]?[0-9][0-9().,:/\-]*$") | word.rlike(r"^[^@]+@[^@]+\.[A-Za-z]{2,}[.,;]?$") | word.rlike(r"^https?://")
         | (F.col("coverage") > 0.7) | (value.rlike(r"^[0-9a-f]{32,64}$") & (F.col("name") == ""))

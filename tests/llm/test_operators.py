@@ -385,3 +385,26 @@ def test_secret_scan(documents):
     assert not any(found[i, 4] for i in range(300) if i % 4 >= 2)
     assert secret_scan.scan(documents([])).count() == 0 and secret_scan.scan(documents([(1, "plain words only")])).count() == 0
     assert next(r for r in got if r.doc_id == 0).word_sha256 == hashlib.sha256(texts[0][1].split()[3].partition("=")[2].encode()).hexdigest()
+
+
+def test_secret_scan_finds_marked_letter_only_and_short_secrets(documents):
+    draw = random.Random(8)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz"
+    token = lambda n, a: "".join(draw.choice(a) for _ in range(n))
+    texts, secrets = [], {}
+    for i in range(360):
+        key, letters, short = f"AKIA{token(15, upper)}7", token(14, lower), token(4, lower) + token(4, "0123456789")
+        kind, at, value = (
+            (f"see \u201c{key}\u201d.", 1, key), (f"see {key}\u2026", 1, key), (f"password={letters}", 0, letters), (f"token = {letters}", 2, letters),
+            (f"password = {short}", 2, short), (f'{{"api_key":"{letters}"}}', 0, f'"{letters}"}}'), (f"password=\u201e{letters}\u201c", 0, letters),
+            (f"call 4{token(15, '0123456789')}", 1, None), (f"Author: Shakespeare on 2024-01-{10 + i % 20}", 1, None),
+        )[i % 9]
+        texts.append((i, f"some words before {kind} and words after", "en", f"s{i % 3}"))
+        secrets[i] = (3 + at, value)
+    texts += [(900, "1" + "\u2550" * 100_000 + "x"), (901, "\u2550" * 100_000 + "1")]
+    found = {(r.doc_id, r.place): (r.is_secret, r.word_sha256) for r in secret_scan.scan(documents(texts)).collect()}
+    for i, (place, value) in secrets.items():
+        if value is None:
+            assert not found[i, place][0], texts[i]
+        else:
+            assert found.get((i, place)) == (True, hashlib.sha256(value.encode()).hexdigest()), texts[i]
