@@ -161,10 +161,16 @@ def _questions(spark, sf):
     return R.with_embedding(spread(user_questions(spark, sf)), "question")
 
 
+def _shown(neighbours):
+    """Neighbours with the short ``chunk_id`` of the SQL in place of the full key."""
+    short = F.concat(F.substring("chunk_key", 1, 8), F.substring(F.col("chunk_key"), 33, 12))
+    return neighbours.select("query_id", "rank", short.alias("chunk_id"), "distance")
+
+
 @query("knn_chunks", sql("SELECT * FROM near", "user_questions", "chunk_texts", "chunk_terms",
                          **_QUESTION_VIEWS, near=_CHUNK_KNN))
 def knn_chunks(spark, sf):
-    return knn(_questions(spark, sf), chunks(spark, sf))
+    return _shown(R.nearest_chunks(_questions(spark, sf), chunks(spark, sf)))
 
 
 @query("context_by_query", sql("""
@@ -185,7 +191,7 @@ _COMBINED = {
 @query("knn_batch_query", sql("SELECT * FROM near", "user_questions", "chunk_texts", "chunk_terms", **_COMBINED))
 def knn_batch_query(spark, sf):
     combined = R.combined_queries(_questions(spark, sf)).withColumnRenamed("request_id", "query_id")
-    return knn(combined, chunks(spark, sf))
+    return _shown(R.nearest_chunks(combined, chunks(spark, sf)))
 
 
 _NEAREST = neighbours_sql("question_terms", "user_questions", "chunk_texts", "chunk_id", "chunk_terms", 1)
@@ -200,7 +206,7 @@ _LIMIT = 0.35
     "user_questions", "chunk_texts", "chunk_terms", **_QUESTION_VIEWS, near=_NEAREST))
 def retrieval_guard(spark, sf):
     asked, corpus = _questions(spark, sf), chunk_table(spark, sf)
-    found = R.contexts(within(knn(asked, corpus, k=1), _LIMIT), corpus)
+    found = R.contexts(within(R.nearest_chunks(asked, corpus, k=1), _LIMIT), corpus)
     guarded = R.guarded_answers(asked.select("query_id", F.lit(1).alias("n_questions")), found, index_size=1)
     return guarded.select(
         "query_id", "is_answerable", F.md5("context").alias("context_md5"), F.array_join("errors", "\n").alias("errors")

@@ -297,3 +297,15 @@ def test_clearing_the_mapping_leaves_an_empty_table(spark):
     mapping = spark.createDataFrame([("a", "b")], "doc_hash string, cache_name string")
     left = cache.evict_all(mapping)
     assert left.count() == 0 and left.columns == mapping.columns
+
+
+@pytest.mark.parametrize("few", [0, 4096])
+def test_documents_that_share_a_prefix_keep_their_own_context(spark, few):
+    docs = spark.createDataFrame([("doc/99", "Apples are red."), ("doc/16495", "Trains are late."), ("doc/1", "Rain falls.")], "url string, text string")
+    chunks = C.semantic_chunks(docs)
+    assert chunks.select("chunk_id").distinct().count() == 2
+    asked = spark.createDataFrame([(1, "apples red"), (2, "trains late")], "query_id int, question string")
+    found = R.retrieve(asked, chunks, k=1, max_broadcast_queries=few)
+    assert plain(found.select("query_id", "n_chunks", "context")) == [(1, 1, "Apples are red."), (2, 1, "Trains are late.")]
+    both = R.retrieve(asked, chunks, k=2, max_broadcast_queries=few)
+    assert {r.n_chunks for r in both.collect()} == {2}
