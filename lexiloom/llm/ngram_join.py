@@ -192,7 +192,7 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from counted()
 
 
-def describe(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
+def describe(docs: DataFrame, percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """Sets of all documents and, for sets that can link at all, one representative each.
 
     First: ``doc_id, n, fp``. Second: ``rep, n, keys`` for the distinct sets that pass the
@@ -211,7 +211,7 @@ def describe(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
         .withColumn("mark", F.col("fp").bitwiseAND(F.lit((1 << 40) - 1)))
     )
     # Of the tokens in the half, all that the set may lack could lie there.
-    lacking = F.col("n") - F.floor((F.col("n") * 75 + 99) / 100)
+    lacking = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
     able = distinct.join(shared, "mark").where(F.col("common") >= F.greatest(F.lit(0), F.col("half") - lacking))
     # A set with next to nothing in the half has no bound there and stays in the join.
     loose = distinct.where(F.col("half") <= lacking).join(shared, "mark", "left_anti")
@@ -259,13 +259,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").select("a", "b", "left", "right").mapInArrow(_linked(percent), "a long, b long")
 
 
-def leader_pairs(able: DataFrame) -> DataFrame:
+def leader_pairs(able: DataFrame, percent: int = 75) -> DataFrame:
     """Every set with the least set that has the same minimum hash, for each of the hashes."""
     keyed = able.select("rep", "n", F.posexplode("keys").alias("nth", "key"))
     leaders = keyed.groupBy("nth", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
     return (
         keyed.join(leaders, ["nth", "key"])
-        .where("rep <> lead.rep and 100 * least(n, lead.n) >= 75 * greatest(n, lead.n)")
+        .where(f"rep <> lead.rep and 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
         .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
     )
 
@@ -501,7 +501,7 @@ def components_of_sets(docs: DataFrame, able: DataFrame, percent: int = 75, widt
         only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), able.select(F.col("rep").alias("doc_id")))
         .mapInArrow(_store_sets(width), "rep long, n long, likeness long, tokens binary")
     )
-    star = cut_lineage(verified(leader_pairs(able), sets, percent))
+    star = cut_lineage(verified(leader_pairs(able, percent), sets, percent))
     groups = connected_components(star)
 
     bits = max(2, min(22, (max(able.count(), 1) // DOCS_PER_BUCKET).bit_length() + 2))
@@ -562,7 +562,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     occur: a pair at exactly the similarity links. An empty table gives no rows; further
     columns of ``docs`` are not read.
     """
-    sets, able = describe(docs, width)
+    sets, able = describe(docs, percent, width)
     components = components_of_sets(docs, able, percent, width)
     classes = (
         sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))

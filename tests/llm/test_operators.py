@@ -81,6 +81,21 @@ def test_near_duplicates_against_brute_force(documents):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(texts), key=repr)
 
 
+@pytest.mark.parametrize("percent", [60, 90])
+def test_near_duplicates_at_other_similarities(documents, percent):
+    draw = random.Random(6)
+    texts = []
+    for _ in range(30):
+        base = [f"u{draw.randrange(10**9)}" for _ in range(draw.randrange(20, 60))]
+        texts.append((len(texts), " ".join(base)))
+        texts.append((len(texts), " ".join(base[: 4 + round((len(base) - 4) * draw.uniform(0.5, 1))])))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in texts}
+    likeness = {d: 100 * len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d in range(0, 60, 2)}
+    expected = [(d, d if d % 2 == 0 or likeness[d - 1] < percent else d - 1) for d in range(60)]
+    assert sum(60 <= x < 75 for x in likeness.values()) > 5
+    assert rows(ngram_join.near_duplicates(documents(texts), percent), "doc_id", "component_id") == sorted(expected, key=repr)
+
+
 def test_near_duplicates_edges(documents):
     got = rows(ngram_join.near_duplicates(documents(EDGES)), "doc_id", "n_shingles", "component_id")
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (None, 1, None)], key=repr)
