@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text, bit by bit (DuckDB has no such function)."""
+    bits = f"list_transform(range(8 * strlen({text})), lambda i: (ascii({text}[(i // 8 + 1)::INT]) >> (i % 8)::INT) & 1)"
+    step = "lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {bits}), {step}))"
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the third of the rows that no model learns from; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
