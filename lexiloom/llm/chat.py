@@ -18,6 +18,8 @@ from pyspark.sql.types import ArrayType, StructType
 from lexiloom.llm.tables import query, table
 
 END = "</turn>\n"
+#: Elements of a block of running sums.
+SUMMED = 256
 
 
 @dataclass(frozen=True)
@@ -140,12 +142,25 @@ def format_turns(turns: Column) -> Column:
     )), "")
 
 
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda n, x: n + x)
+
+
+def _running_sums(numbers: Column) -> Column:
+    """Sums up to every element, by way of block sums: some ``SUMMED`` steps an element, however many there are."""
+    places = F.sequence(F.lit(0), F.greatest(F.size(numbers) - 1, F.lit(0)))
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(numbers) - 1, F.lit(0)) / SUMMED).cast("int"))
+    sums = F.transform(blocks, lambda b: _total(F.slice(numbers, b * SUMMED + 1, SUMMED)))
+    before = F.transform(blocks, lambda b: _total(F.slice(sums, F.lit(1), b)))
+    return F.transform(places, lambda i: F.get(before, F.floor(i / SUMMED).cast("int")) + _total(
+        F.slice(numbers, F.floor(i / SUMMED).cast("int") * SUMMED + 1, i % SUMMED + 1)
+    ))
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation, with the span of each text (``start`` from 1, ``length``)."""
     lines = F.filter(F.split(formatted, END, -1), lambda x: x != "")
-    ends = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.aggregate(
-        F.slice(lines, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x) + len(END)
-    ))
+    ends = _running_sums(F.transform(lines, lambda x: F.length(x) + len(END)))
     turns = F.zip_with(lines, ends, lambda x, end: F.struct(
         unescape(F.regexp_extract(x, r"(?s)^### (.*?): ", 1)).alias("role"),
         unescape(F.regexp_replace(x, r"(?s)^### .*?: ", "")).alias("text"),

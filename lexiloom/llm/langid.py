@@ -5,8 +5,13 @@ A text's code length under a language is the exact sum, over its bytes, of the c
 byte in the longest context the tree knows, with the escape costs (method C, no exclusion)
 of the longer contexts that did not hold the byte. The shortest code wins.
 
-Because the statistics are frozen, every escape chain is folded into tables once: one cost
-per (context, symbol, language). Scoring is then two table reads per byte.
+Because the statistics are frozen, escape chains are folded into tables once: one cost per
+language for every sequence of up to four bytes that some language has seen. Most bytes of a
+text cost one table read; a byte no language has seen there goes on to the shorter context.
+
+The tables are sparse, so their size follows the labelled sample, not the alphabet: every byte
+is a symbol and every context of the sample is kept. Languages are scored in groups of a
+fixed number, which bounds the width of a table row and changes no result.
 """
 
 from __future__ import annotations
@@ -19,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.llm.tables import byte_view, hash_draw, held_out, query, table
+from lexiloom.llm.words import mixed
 
 #: Labelled texts per language that the trees are counted on (the documented bound of the sample).
 TRAIN_TEXTS = 600
-#: Distinct bytes with a symbol of their own; the rest share one.
-MAX_SYMBOLS = 72
-#: Contexts of three symbols kept; rarer ones fall back to two symbols.
-MAX_CONTEXTS = 16_384
-#: Bytes scored at once, which bounds the memory of a task.
-BLOCK = 1 << 20
+#: Longest context in bytes.
+ORDER = 3
+#: Languages whose costs stand in one table row.
+GROUP = 8
+#: Bytes of text counted or scored at once, whatever the number and length of the texts.
+STEP = 1 << 17
 UNDETERMINED = "und"
 
 _GRAMS = "lang string, gram long, n long"
@@ -46,114 +52,169 @@ def _folded() -> np.ndarray:
 FOLD = _folded()
 
 
-def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded bytes of all rows, three spaces before each, and where each text starts and ends."""
+def steps(column: pa.Array, size: int = STEP) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+    """The column's folded bytes in steps of about ``size``, long texts in several.
+
+    A step is the sequences of ``ORDER`` + 1 bytes as numbers, one ending at each byte, and
+    where the bytes of a row lie: (row, first, behind the last). Texts begin after spaces.
+    """
     data, bounds = byte_view(column)
-    n = len(bounds) - 1
-    shift = 3 * np.arange(1, n + 1)
-    starts, ends = bounds[:-1] + shift, bounds[1:] + shift
-    buffer = np.full(len(data) + 3 * n, 32, dtype=np.uint8)
-    rows = np.repeat(np.arange(n), np.diff(bounds))
-    buffer[np.arange(len(data)) + shift[rows]] = FOLD[data]
-    return buffer, starts, ends
+    held: list[np.ndarray] = []
+    parts: list[tuple[int, int, int]] = []
+    filled = 0
+    for row in range(len(bounds) - 1):
+        low, end = int(bounds[row]), int(bounds[row + 1])
+        at = low
+        while at < end:
+            stop = min(end, at + max(size - filled, 1))
+            before = FOLD[data[max(low, at - ORDER) : at]]
+            held += [np.full(ORDER - len(before), 32, dtype=np.uint8), before, FOLD[data[at:stop]]]
+            parts.append((row, filled, filled + stop - at))
+            filled += ORDER + stop - at
+            at = stop
+            if filled >= size:
+                yield _sequences(held), parts
+                held, parts, filled = [], [], 0
+    if parts:
+        yield _sequences(held), parts
+
+
+def _sequences(held: list[np.ndarray]) -> np.ndarray:
+    wide = np.concatenate(held).astype(np.uint32)
+    made = wide[ORDER:].copy()
+    for back in range(1, ORDER + 1):
+        made |= wide[ORDER - back : len(wide) - back] << np.uint32(8 * back)
+    return made
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Four-byte windows per language, summed per batch."""
+    """Byte sequences per language, summed per step."""
     for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-        buffer, starts, ends = _padded(batch.column("text"))
-        wide = buffer.astype(np.int64)
-        grams = (wide[:-3] << 24) | (wide[1:-2] << 16) | (wide[2:-1] << 8) | wide[3:] if len(wide) > 3 else wide[:0]
-        row = np.repeat(np.arange(len(starts)), ends - starts)
-        position = np.arange(len(row)) + 3 * (row + 1)
-        for lang in sorted(set(langs)):
-            mine = grams[position[(langs == lang)[row]] - 3]
-            values, counts = np.unique(mine, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(counts.astype(np.int64))],
-                names=["lang", "gram", "n"],
-            )
+        langs = batch.column("lang").to_pylist()
+        for grams, parts in steps(batch.column("text")):
+            by_lang: dict[str, list[np.ndarray]] = {}
+            for row, first, end in parts:
+                by_lang.setdefault(langs[row], []).append(grams[first:end])
+            for lang, found in sorted(by_lang.items()):
+                values, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))],
+                    names=["lang", "gram", "n"],
+                )
+
+
+class Places:
+    """Distinct numbers and their places, found through a table of hashed slots."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys.astype(np.uint32)
+        self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, dtype=np.int32)
+        waiting, at = np.arange(len(keys), dtype=np.int32), self._slot(self.keys)
+        while len(waiting):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = waiting[free]
+            lost = self.slots[at] != waiting
+            waiting, at = waiting[lost], (at[lost] + np.uint64(1)) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return mixed(keys.astype(np.uint64)) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of every key, -1 where it is none of the table's."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int32)
+        at = self._slot(keys)
+        found = self.slots[at]
+        open_ = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        while len(open_):
+            at[open_] = (at[open_] + np.uint64(1)) & self.mask
+            found[open_] = self.slots[at[open_]]
+            open_ = open_[(found[open_] >= 0) & (self.keys[found[open_]] != keys[open_])]
+        return found
 
 
 @dataclass
-class ContextTrees:
-    """Frozen statistics: folded code lengths in bits.
+class Level:
+    """One order of a group's trees: folded costs of seen sequences, escape costs of contexts."""
 
-    ``symbol`` maps a byte to its symbol, ``deep`` three symbols to a row of ``cost3`` or -1,
-    ``cost2`` is indexed by two symbols and the next one, the last axis is the language.
-    """
+    grams: Places
+    cost: np.ndarray
+    contexts: Places
+    escape: np.ndarray
+
+
+@dataclass
+class Group:
+    """Trees of a few languages, the order without context first."""
+
+    width: int
+    levels: list[Level]
+
+    def bits(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """Cost in bits of every sequence's last byte after the ``order`` bytes before it."""
+        if order < 0:
+            return np.full((len(keys), self.width), 8.0, dtype=np.float32)
+        level, keys = self.levels[order], keys & np.uint32((1 << (8 * order + 8)) - 1)
+        place = level.grams.find(keys)
+        out = level.cost[place]
+        missed = np.flatnonzero(place < 0)
+        if len(missed):
+            lower = self.bits(keys[missed], order - 1)
+            context = level.contexts.find(keys[missed] >> np.uint32(8))
+            known = context >= 0
+            lower[known] += level.escape[context[known]]
+            out[missed] = lower
+        return out
+
+
+@dataclass
+class ContextTrees:
+    """Frozen statistics of all languages, in groups."""
 
     langs: list[str]
-    symbol: np.ndarray
-    deep: np.ndarray
-    cost3: np.ndarray
-    cost2: np.ndarray
+    groups: list[Group]
 
-    def code_lengths(self, column: pa.Array) -> np.ndarray:
+    def code_lengths(self, column: pa.Array, size: int = STEP) -> np.ndarray:
         """Bits of every text (rows) under every language (columns)."""
-        size = self.cost2.shape[0]
-        buffer, starts, ends = _padded(column)
-        total = np.zeros((len(starts), len(self.langs)))
-        for low in range(3, len(buffer), BLOCK):
-            high = min(low + BLOCK, len(buffer))
-            s = self.symbol[buffer[low - 3 : high]].astype(np.int32)
-            pair = s[1:-2] * size + s[2:-1]
-            deep = self.deep[s[:-3] * (size * size) + pair]
-            bits = self.cost2.reshape(size * size, size, -1)[pair, s[3:]]
-            known = np.flatnonzero(deep >= 0)
-            bits[known] = self.cost3[deep[known], s[3:][known]]
-            running = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
-            first = np.searchsorted(ends, low, side="right")
-            last = np.searchsorted(starts, high, side="left")
-            a = np.clip(starts[first:last], low, high) - low
-            b = np.clip(ends[first:last], low, high) - low
-            total[first:last] += running[b] - running[a]
+        total = np.zeros((len(column), len(self.langs)))
+        for keys, parts in steps(column, size):
+            at = 0
+            for group in self.groups:
+                costs = group.bits(keys, ORDER)
+                for row, first, end in parts:
+                    total[row, at : at + group.width] += costs[first:end].sum(axis=0, dtype=np.float64)
+                at += group.width
         return total
 
 
-def _level(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Folded costs of one order: counts [..., symbol, lang] and the costs of the order below."""
-    n = counts.sum(axis=-2, keepdims=True)
-    d = (counts > 0).sum(axis=-2, keepdims=True)
+def _level(group: Group, order: int, gram: np.ndarray, lang: np.ndarray, n: np.ndarray) -> Level:
+    """Folded costs of one order above the levels ``group`` has so far."""
+    keys, place = np.unique(gram & ((1 << (8 * order + 8)) - 1), return_inverse=True)
+    counts = np.zeros((len(keys), group.width))
+    np.add.at(counts, (place, lang), n)
+    contexts, above = np.unique(keys >> 8, return_inverse=True)
+    total, kinds = np.zeros((len(contexts), group.width)), np.zeros((len(contexts), group.width))
+    np.add.at(total, above, counts)
+    np.add.at(kinds, above, counts > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        seen = -np.log2(counts / (n + d))
-        escaped = -np.log2(d / (n + d)) + below
-    return np.where(n == 0, below, np.where(counts > 0, seen, escaped))
-
-
-def build_trees(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> ContextTrees:
-    """Fold gram counts into tables; ``lang`` holds indices into ``langs``."""
-    last = gram & 255
-    weight = np.bincount(last, weights=n, minlength=256)
-    chosen = [b for b in np.argsort(-weight, kind="stable")[:MAX_SYMBOLS] if weight[b] > 0]
-    symbol = np.zeros(256, dtype=np.uint8)
-    symbol[chosen] = np.arange(1, len(chosen) + 1)
-    size, width = len(chosen) + 1, max(len(langs), 1)
-    s = [symbol[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-
-    order2 = np.zeros((size, size, size, width))
-    np.add.at(order2, (s[1], s[2], s[3], lang), n)
-    order1 = order2.sum(axis=0)
-    order0 = order1.sum(axis=0)
-    cost0 = _level(order0, np.full((size, width), np.log2(size)))
-    cost1 = _level(order1, cost0[None])
-    cost2 = _level(order2, cost1[None])
-
-    context = (s[0] * size + s[1]) * size + s[2]
-    mass = np.bincount(context, weights=n, minlength=size**3)
-    kept = np.argsort(-mass, kind="stable")[:MAX_CONTEXTS]
-    kept = np.sort(kept[mass[kept] >= 2])
-    deep = np.full(size**3, -1, dtype=np.int32)
-    deep[kept] = np.arange(len(kept))
-    inside = deep[context] >= 0
-    order3 = np.zeros((len(kept), size, width), dtype=np.float32)
-    np.add.at(order3, (deep[context[inside]], s[3][inside], lang[inside]), n[inside])
-    cost3 = np.empty_like(order3)
-    for low in range(0, len(kept), 1024):
-        part = slice(low, low + 1024)
-        cost3[part] = _level(order3[part].astype(np.float64), cost2.reshape(size * size, size, width)[kept[part] % (size * size)])
-    return ContextTrees(langs, symbol, deep, cost3, cost2.astype(np.float32))
+        escape = np.where(total == 0, 0.0, -np.log2(kinds / (total + kinds)))
+        seen = -np.log2(counts / (total + kinds)[above])
+    lower = group.bits(keys.astype(np.uint32), order - 1)
+    cost = np.where(counts > 0, seen, escape[above] + lower)
+    return Level(Places(keys), cost.astype(np.float32), Places(contexts), escape.astype(np.float32))
+
+
+def build_trees(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, group: int = GROUP) -> ContextTrees:
+    """Fold counts of byte sequences into tables; ``lang`` holds indices into ``langs``."""
+    groups: list[Group] = []
+    for low in range(0, len(langs), group):
+        mine = (lang >= low) & (lang < low + group)
+        made = Group(min(group, len(langs) - low), [])
+        for order in range(ORDER + 1):
+            made.levels.append(_level(made, order, gram[mine], lang[mine] - low, n[mine]))
+        groups.append(made)
+    return ContextTrees(langs, groups)
 
 
 def train(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> ContextTrees:

@@ -132,9 +132,9 @@ def outer_nodes(roots: DataFrame) -> DataFrame:
     upper, top = climb(subroots.select(F.lit("").alias("key"), "pos", "node"))
     start = top.select("key", F.array().cast("array<struct<place:int,nodes:array<string>>>").alias("path"))
     ways = descend(upper, start).select("pos", "path")
-    root = top.select(F.col("node").alias("root"))
-    sources = subroots.join(ways, "pos").join(F.broadcast(root)).select("key", "path", F.col("node").alias("subroot"), "root")
-    sources = cut_lineage(sources)
+    last = top.first()
+    root = F.lit(last["node"] if last else None).cast("string").alias("root")
+    sources = cut_lineage(subroots.join(ways, "pos").select("key", "path", F.col("node").alias("subroot"), root))
     paths = descend(levels, sources.select("key", "path")).join(sources.select("key", "subroot", "root"), "key")
     steps = paths.select("key", F.col("pos").alias("block"), "subroot", "root", F.posexplode_outer("path").alias("level", "step"))
     return steps.select(

@@ -45,21 +45,35 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, such that ``rows`` has no such column in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def small(rows: DataFrame, most: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """``rows`` marked for broadcast if they are counted to be at most ``most``; else as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def hash_draw(rows: DataFrame, keys: list[str], size: int, per: str | None = None) -> DataFrame:
     """The first ``size`` rows (of every value of ``per``) in the order of their keys' hash.
 
     For bounded training samples. The rows are counted first; only those whose hash lies within
-    twice the share needed are ranked, so no task ranks all rows of a large group. ``per`` must
-    have few values (its counts are broadcast); where it is null, no row is drawn.
+    twice the share needed are ranked, so no task ranks all rows of a large group. Where ``per``
+    is null, no row is drawn. Columns of any other name pass through.
     """
     place = F.xxhash64(*keys) / F.lit(2.0**64) + 0.5
     order = [F.xxhash64(*keys), *keys]
     if per is None:
         return rows.where(place <= 2.0 * size / max(rows.count(), 1)).orderBy(*order).limit(size)
-    counts = rows.groupBy(per).agg(F.count("*").alias("_rows"))
-    near = rows.join(F.broadcast(counts), per).where(place <= F.lit(2.0 * size) / F.col("_rows")).drop("_rows")
-    nth = F.row_number().over(Window.partitionBy(per).orderBy(*order))
-    return near.withColumn("_nth", nth).where(F.col("_nth") <= size).drop("_nth")
+    held, nth = fresh(rows, "held"), fresh(rows, "nth")
+    counts = rows.groupBy(per).agg(F.count("*").alias(held))
+    near = rows.join(small(counts), per).where(place <= F.lit(2.0 * size) / F.col(held)).drop(held)
+    ranked = near.withColumn(nth, F.row_number().over(Window.partitionBy(per).orderBy(*order)))
+    return ranked.where(F.col(nth) <= size).drop(nth)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -67,14 +81,12 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     The ids are broadcast only when counted and few, so that the texts need not be shuffled.
     """
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+    return docs.join(small(ids), "doc_id", "left_anti")
 
 
 def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is in ``ids``."""
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(small(ids), "doc_id", "left_semi")
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiloom.llm.tables import hash_draw, held_out, query, table
+from lexiloom.llm.tables import fresh, hash_draw, held_out, query, table
 
 #: Weight of one position spanned by a subsequence.
 DECAY = 0.6
@@ -407,8 +407,8 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicity
                 bags = [units(t) if t else set() for t in texts.slice(low, 256).to_pylist()]
                 if len(known) > REMEMBERED:
                     known.clear()
-                fresh = sorted({w for bag in bags for w in bag if w not in known})
-                known.update(zip(fresh, model.margins(fresh).tolist()))
+                unseen = sorted({w for bag in bags for w in bag if w not in known})
+                known.update(zip(unseen, model.margins(unseen).tolist()))
                 for i, bag in enumerate(bags):
                     evidence[low + i] = evidence_of([known[w] for w in bag])
             yield pa.RecordBatch.from_arrays(
@@ -420,8 +420,9 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicity
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, with the columns they came with."""
-    scored = with_toxicity(docs, train(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).select(docs.columns)
+    name = fresh(docs, "toxicity")
+    scored = with_toxicity(docs, train(docs, labels), name)
+    return scored.where(F.col(name) < threshold).select(docs.columns)
 
 
 @query("op3_toxicity")

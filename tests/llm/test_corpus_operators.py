@@ -167,51 +167,59 @@ def test_decontamination_edges(spark, documents):
 # ---- language identification
 
 
-def test_code_lengths_against_plain_walk():
-    langs = ["aa", "bb"]
-    texts = {"aa": "the cat and the hat sat on the mat", "bb": "der hund und der mond sind rund"}
-    counts = Counter()
-    for i, lang in enumerate(langs):
-        padded = b"   " + texts[lang].encode()
-        for j in range(3, len(padded)):
-            counts[int.from_bytes(padded[j - 3 : j + 1], "big"), i] += 1
-    gram, lang = map(np.array, zip(*counts))
-    trees = langid.build_trees(langs, lang, gram, np.array(list(counts.values())))
-
-    def walk(text, i):
-        mine = {g.to_bytes(4, "big"): n for (g, k), n in counts.items() if k == i}
-        seen = {g for (g, _), _ in counts.items()}
-        mass = Counter()
-        for (g, _), n in counts.items():
-            mass[g.to_bytes(4, "big")[:3]] += n
-        symbols = {g & 255 for g in seen}
-        padded, bits = b"   " + text.encode(), 0.0
-        for j in range(3, len(padded)):
-            for order in (3, 2, 1, 0):
-                context = padded[j - order : j]
-                if order == 3 and mass[context] < 2:
-                    continue
-                after = Counter()
-                for g, n in mine.items():
-                    if g[3 - order : 3] == context:
-                        after[g[3]] += n
-                total, kinds = sum(after.values()), len(after)
-                if total == 0:
-                    continue
-                if after[padded[j]]:
-                    bits -= np.log2(after[padded[j]] / (total + kinds))
-                    break
-                bits -= np.log2(kinds / (total + kinds))
-            else:
-                bits += np.log2(len(symbols) + 1)
-        return bits
+def plain_walk(mine, text):
+    """Bits of a text under one language's counts, order by order."""
+    padded, bits = b"   " + bytes(langid.FOLD[list(text.encode())]), 0.0
+    for j in range(3, len(padded)):
+        for order in (3, 2, 1, 0):
+            after = Counter()
+            for g, n in mine.items():
+                if g[3 - order : 3] == padded[j - order : j]:
+                    after[g[3]] += n
+            total, kinds = sum(after.values()), len(after)
+            if total == 0:
+                continue
+            if after[padded[j]]:
+                bits -= np.log2(after[padded[j]] / (total + kinds))
+                break
+            bits -= np.log2(kinds / (total + kinds))
+        else:
+            bits += 8
+    return bits
+
 
+@pytest.mark.parametrize("group", [1, 2, 8])
+def test_code_lengths_against_plain_walk(group):
     import pyarrow as pa
 
-    tests = ["the mat and the rat", "der hund", "sun", ""]
-    got = trees.code_lengths(pa.array(tests))
-    for text, bits in zip(tests, got):
-        assert bits == pytest.approx([walk(text, 0), walk(text, 1)], rel=1e-4, abs=1e-3)
+    texts = {
+        "aa": "the cat and the hat sat on the mat", "bb": "der hund und der mond sind rund", "cc": "кот и пёс спят на крыше",
+        "dd": "猫と犬は屋根の上で眠る", "ee": "the hound and the moon",
+    }
+    counts = {lang: Counter() for lang in texts}
+    for lang, text in texts.items():
+        padded = b"   " + bytes(langid.FOLD[list(text.encode())])
+        for j in range(3, len(padded)):
+            counts[lang][padded[j - 3 : j + 1]] += 1
+    flat = [(i, int.from_bytes(g, "big"), n) for i, lang in enumerate(texts) for g, n in counts[lang].items()]
+    lang, gram, n = map(np.array, zip(*flat))
+    trees = langid.build_trees(list(texts), lang, gram, n, group)
+    tests = ["the mat and the rat", "der HUND", "sun", "", "пёс и кот", "犬と猫", "q\x00é", None, *texts.values()]
+    for size in (1, 7, 1 << 17):
+        got = trees.code_lengths(pa.array(tests), size)
+        for text, bits in zip(tests, got):
+            assert bits == pytest.approx([plain_walk(counts[k], text or "") for k in texts], rel=1e-4, abs=1e-3)
+
+
+def test_fifty_languages_of_three_scripts(documents):
+    draw = random.Random(6)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "अआइईउऊएऐओऔकखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"]
+    words = {f"l{i:02}": ["".join(draw.choice(scripts[i % 3]) for _ in range(draw.randrange(2, 7))) for _ in range(30)] for i in range(50)}
+    rows = [(100 * i + j, " ".join(draw.choice(w) for _ in range(40)), lang) for i, (lang, w) in enumerate(words.items()) for j in range(12)]
+    docs = documents(rows)
+    got = langid.identify(docs, langid.train(docs)).where("held_out").collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert len(got) > 100 and all(r.lang_pred == truth[r.doc_id] for r in got)
 
 
 def test_language_edges(documents):
@@ -312,6 +320,45 @@ def test_stream_meets_weights_and_loses_nothing(documents):
     assert mixing.mix_documents(documents([])).count() == 0
 
 
+def test_uses_are_counted_per_row(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _again int, row_key string, row_uses long, tokens long, key long"
+    common = [(i, "w " * 30, "en", "big", 1, i, "k", 9, 1, 2) for i in range(300)]
+    rare = [(5000, f"rare {i}", "en", "rare", 1, 0, "k", 9, 1, 2) for i in range(3)] + [(None, "no id", "en", "rare", 1, 0, None, 9, 1, 2)]
+    same = [(7000, "same", "en", "rare", 1, 0, "k", 9, 1, 2)] * 5
+    docs = spark.createDataFrame(common + rare + same, schema)
+    mixed = mixing.mix_documents(docs, repeat_limit=2.0)
+    assert mixed.columns == docs.columns
+    got = Counter(tuple(r) for r in mixed.collect())
+    assert set(got) == set(common + rare + same)
+    assert all(got[r] in (1, 2) for r in common + rare) and 5 <= got[same[0]] <= 10
+    assert sum(got[r] for r in rare) + got[same[0]] > 9
+
+
+def test_stream_is_permutations_cut_at_budgets(documents):
+    docs = mixing.sized(documents([(i, "w " * (i % 7), "en", f"s{i % 3 if i % 10 else 9}") for i in range(700)]))
+    weights = {r.source: r for r in mixing.source_weights(docs.select("source", "tokens"), repeat_limit=2.5).collect()}
+    stream = mixing.mixed_stream(docs, repeat_limit=2.5, block_tokens=300).collect()
+    sizes = {r.row: r.tokens for r in docs.collect()}
+    for source, plan in weights.items():
+        own = [r for r in stream if r.source == source]
+        epochs = {}
+        for r in own:
+            epochs.setdefault(r.epoch, []).append(r.row)
+        full = [r.row for r in docs.collect() if r.source == source]
+        last = max(epochs)
+        for epoch, used in epochs.items():
+            assert len(set(used)) == len(used)
+            assert epoch == last or sorted(used) == sorted(full)
+        budget = plan.epochs * plan.tokens
+        used = sum(sizes[r.row] for r in own)
+        assert budget <= used + 1e-6 and used < budget + max(sizes.values())
+        per_block = Counter()
+        for r in own:
+            per_block[r.block] += r.tokens
+        share = plan.weight * 300
+        assert all(abs(n - share) <= 2 * max(sizes.values()) for b, n in per_block.items() if b < max(per_block))
+
+
 # ---- chat
 
 
@@ -340,6 +387,17 @@ def test_formatting_round_trips(spark):
     assert [t.role for t in got[2].turns] == [""] and len(got[None].turns) == 1
 
 
+def test_spans_of_many_turns(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} # <" * (t % 3)) for t in range(3000)]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert [t.text for t in got.turns] == [r[3] for r in rows] and len(got.loss_spans) == 1500
+    for span, row in zip(got.loss_spans, [r for r in rows if r[2] == "assistant"]):
+        held = got.formatted[span.start - 1 : span.start - 1 + span.length]
+        assert held.replace("\\h", "#").replace("\\l", "<") == row[3]
+    none = chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert none.collect() == []
+
+
 # ---- URLs
 
 
