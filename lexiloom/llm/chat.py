@@ -18,8 +18,6 @@ from pyspark.sql.types import ArrayType, StructType
 from lexiloom.llm.tables import query, table
 
 END = "</turn>\n"
-#: Elements of a block of running sums.
-SUMMED = 256
 
 
 @dataclass(frozen=True)
@@ -142,19 +140,16 @@ def format_turns(turns: Column) -> Column:
     )), "")
 
 
-def _total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda n, x: n + x)
-
-
 def _running_sums(numbers: Column) -> Column:
-    """Sums up to every element, by way of block sums: some ``SUMMED`` steps an element, however many there are."""
-    places = F.sequence(F.lit(0), F.greatest(F.size(numbers) - 1, F.lit(0)))
-    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(numbers) - 1, F.lit(0)) / SUMMED).cast("int"))
-    sums = F.transform(blocks, lambda b: _total(F.slice(numbers, b * SUMMED + 1, SUMMED)))
-    before = F.transform(blocks, lambda b: _total(F.slice(sums, F.lit(1), b)))
-    return F.transform(places, lambda i: F.get(before, F.floor(i / SUMMED).cast("int")) + _total(
-        F.slice(numbers, F.floor(i / SUMMED).cast("int") * SUMMED + 1, i % SUMMED + 1)
-    ))
+    """Sums up to every element, in one walk.
+
+    Nothing but the walk's own variables stands in the lambda: what stands there is evaluated
+    again for every element.
+    """
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
+    return F.aggregate(numbers, start, lambda held, x: F.struct(
+        (held["sum"] + x).alias("sum"), F.concat(held["sums"], F.array(held["sum"] + x)).alias("sums")
+    ), lambda held: held["sums"])
 
 
 def read_turns(formatted: Column) -> Column:
