@@ -10,12 +10,13 @@ from lexiloom.catalog.fixtures import (
 )
 from lexiloom.catalog.registry import query
 from lexiloom.functions.text import html_to_text, sentences
-from lexiloom.operators import chunking as C
+from lexiloom.operators import chunking as C, quantised as Q
 from lexiloom.operators.knn import knn, within
 from lexiloom.operators.ordering import row_numbers
+from lexiloom.operators.substring import containments
 from lexiloom.plans import retrieval as R
 from lexiloom.session import scratch_path
-from lexiloom.sources.chunk_table import count_chunks, get_chunks_of, open_chunks, save_chunks
+from lexiloom.sources.chunk_table import compact, count_chunks, get_chunks_of, open_chunks, open_versions, save_chunks, vacuum
 from lexiloom.sources.documents import directory_chunks, write_files
 
 
@@ -83,12 +84,15 @@ _UPSERTED = """
     FROM sents WHERE n = 1 OR pos < n OR CAST(substr(url, 5) AS BIGINT) NOT IN (SELECT doc_id FROM labels)"""
 
 
-def _upserted(spark, sf, mode="replace"):
+def _upserted(spark, sf, mode="replace", tidy=False):
     docs = documents(spark, sf)
     changed = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     path = scratch_path(spark, "chunks")
     save_chunks(spark, path, sentence_chunks(docs), digits=1)
     save_chunks(spark, path, sentence_chunks(changed, drop_last=True), mode, digits=1)
+    if tidy:
+        compact(spark, path, dead_share=0.0)
+        vacuum(spark, path)
     return open_chunks(spark, path)
 
 
@@ -97,6 +101,28 @@ def upsert_chunks(spark, sf):
     return _upserted(spark, sf).select("chunk_id", "chunk_prefix", "ordinal", "text")
 
 
+@query("compacted_chunks", sql(_UPSERTED, "sents"))
+def compacted_chunks(spark, sf):
+    return _upserted(spark, sf, tidy=True).select("chunk_id", "chunk_prefix", "ordinal", "text")
+
+
+@query("chunk_history", sql("""
+    SELECT 1 AS version, count(*) AS chunks FROM sents
+    UNION ALL SELECT 2, count(*) FROM sents
+      WHERE n = 1 OR pos < n OR CAST(substr(url, 5) AS BIGINT) NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 3, count(*) FROM sents
+      WHERE n = 1 OR pos < n OR CAST(substr(url, 5) AS BIGINT) NOT IN (SELECT doc_id FROM labels)""", "sents"))
+def chunk_history(spark, sf):
+    """Chunks after each version: the first batch, a replacing one, and the same batch once more."""
+    docs = documents(spark, sf)
+    changed = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    path = scratch_path(spark, "chunks")
+    for batch in (sentence_chunks(docs), *[sentence_chunks(changed, drop_last=True)] * 2):
+        save_chunks(spark, path, batch, digits=1)
+    counts = [open_versions(spark, path, v).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("chunks")) for v in (1, 2, 3)]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
 @query("index_count", sql("SELECT count(*) AS chunks, count(DISTINCT chunk_prefix) AS documents FROM sents", "sents"))
 def index_count(spark, sf):
     return count_chunks(_upserted(spark, sf, mode="upsert"))
@@ -107,7 +133,7 @@ def chunk_by_id(spark, sf):
     path = scratch_path(spark, "chunks")
     save_chunks(spark, path, chunks(spark, sf), digits=1)
     first = documents(spark, sf).select(F.concat(F.substring(F.md5("url"), 1, 8), F.lit("_0")).alias("chunk_id"))
-    return get_chunks_of(open_chunks(spark, path), first, ["text"])
+    return get_chunks_of(open_chunks(spark, path), first, ["text"], digits=1)
 
 
 @query("directory_ingest", sql("""
@@ -128,6 +154,18 @@ _DENSE = """
         FROM dense q CROSS JOIN dense c)) WHERE rank <= 20"""
 
 
+@query("phrase_scan", """
+    WITH phrases AS (SELECT DISTINCT lower(substr(text, 11, 24)) AS phrase FROM documents WHERE length(text) >= 34)
+    SELECT phrase, count(*) AS n_docs, min(doc_id) AS first_doc
+    FROM phrases JOIN documents ON contains(lower(text), phrase) GROUP BY phrase""")
+def phrase_scan(spark, sf):
+    """In how many documents a phrase of each document occurs: a pattern list that grows with the table."""
+    docs = table(spark, sf, "documents")
+    phrases = docs.where(F.length("text") >= 34).select(F.lower(F.substring("text", 11, 24)).alias("phrase")).distinct()
+    hits = containments(docs, "doc_id", "text", phrases.withColumn("term", F.col("phrase")), "phrase", "term")
+    return hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
 @query("knn_exact", f"WITH dense AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) {_DENSE}")
 def knn_exact(spark, sf):
     vectors = table(spark, sf, "embeddings")
@@ -140,12 +178,44 @@ def knn_tiled(spark, sf):
     return knn(vectors.withColumnRenamed("vec_id", "query_id"), vectors, item_id="vec_id", max_broadcast_queries=0)
 
 
-@query("knn_approx_recall")
+# Codebook, codes, candidates and re-ranking of the quantised search, step by step.
+_QUANTISED = f"""
+    dense AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    unit AS MATERIALIZED (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM dense),
+    words AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS j, u FROM unit QUALIFY j <= {Q.CODEWORDS}),
+    parts AS (SELECT vec_id, m, u[2 * m - 1] AS a, u[2 * m] AS b FROM unit, range(1, {Q.PARTS} + 1) r(m)),
+    word_parts AS (SELECT j, m, u[2 * m - 1] AS a, u[2 * m] AS b FROM words, range(1, {Q.PARTS} + 1) r(m)),
+    coded AS (
+      SELECT p.vec_id, p.m, arg_min(ROW(w.a, w.b), ((p.a - w.a) * (p.a - w.a) + (p.b - w.b) * (p.b - w.b), w.j)) AS w
+      FROM parts p JOIN word_parts w USING (m) GROUP BY p.vec_id, p.m),
+    decoded AS MATERIALIZED (SELECT vec_id, flatten(list([w[1], w[2]] ORDER BY m)) AS c FROM coded GROUP BY vec_id),
+    candidates AS MATERIALIZED (
+      SELECT q.vec_id AS query_id, d.vec_id FROM unit q CROSS JOIN decoded d
+      QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1.0 - list_dot_product(q.u, d.c), 12), d.vec_id) <= {Q.DEPTH}),
+    near AS MATERIALIZED (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM (
+        SELECT query_id, n.vec_id, greatest(round(1.0 - list_dot_product(q.v, c.v)
+          / sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v)), 12), 0.0) + 0.0 AS distance
+        FROM candidates n JOIN dense q ON q.vec_id = query_id JOIN dense c ON c.vec_id = n.vec_id)
+      QUALIFY rank <= {D.TOP_K})"""
+
+
+@query("knn_quantised", f"WITH {_QUANTISED} SELECT query_id, rank, vec_id, round(distance, 6) + 0.0 AS distance FROM near")
+def knn_quantised(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return Q.quantised_knn(vectors.withColumnRenamed("vec_id", "query_id"), vectors, item_id="vec_id")
+
+
+@query("knn_approx_recall", f"""
+    WITH {_QUANTISED}, exact AS ({_DENSE}), hits AS (
+      SELECT e.vec_id, n.vec_id AS hit FROM exact e LEFT JOIN near n ON n.query_id = e.query_id AND n.vec_id = e.vec_id)
+    SELECT count(*) AS neighbours, count(hit) AS found, count(hit) / count(*) AS recall FROM hits""")
 def knn_approx_recall(spark, sf):
     vectors = table(spark, sf, "embeddings")
     asked = vectors.withColumnRenamed("vec_id", "query_id")
     exact = knn(asked, vectors, item_id="vec_id")
-    near = knn(asked, vectors, item_id="vec_id", nprobe=16).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    near = Q.quantised_knn(asked, vectors, item_id="vec_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "vec_id"], "left").agg(
         F.count(F.lit(1)).alias("neighbours"),
         F.count("hit").alias("found"),

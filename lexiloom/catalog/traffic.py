@@ -21,7 +21,7 @@ from lexiloom.sources.chunk_table import load_mapping, open_chunks, save_mapping
 from lexiloom.sources.documents import directory_cache_map as cache_map_of, write_files
 from lexiloom.sources.files import file_metadata as metadata_of
 from lexiloom.sources.request_log import append_log, read_log
-from lexiloom.streaming import jobs as J
+from lexiloom.streaming import jobs as J, machine as M, rollup as U
 
 # ---- request log -----------------------------------------------------------------------
 
@@ -400,3 +400,87 @@ def stream_ingest(spark, sf):
     )
     J.run_to_end(J.ingest_writer(arriving, path, digits=1), scratch_path(spark, "progress"))
     return open_chunks(spark, path).select("chunk_id", "chunk_prefix", "ordinal", "text")
+
+
+# ---- the status machine: the same walk as SQL, one event of every document a step
+
+_STALL_HOURS = 6
+_PAIRS = ", ".join(f"('{before}', '{after}')" for before, many in M.TRANSITIONS.items() for after in many)
+_MOVES = f"""
+    SELECT * FROM (
+      WITH RECURSIVE ordered AS (
+        SELECT document_id, ts, seq, status, row_number() OVER (PARTITION BY document_id ORDER BY ts, seq, status) AS n FROM status_events
+      ), legal(before, after) AS (VALUES {_PAIRS}),
+      walk AS (
+        SELECT DISTINCT document_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS seq, '' AS asked,
+          '' AS before, '' AS after, CAST(NULL AS TIMESTAMP) AS since, CAST(NULL AS TIMESTAMP) AS expired FROM ordered
+        UNION ALL
+        SELECT document_id, n, ts, seq, status, before, CASE WHEN ok THEN status ELSE before END,
+          CASE WHEN ok THEN ts ELSE coalesce(expired, since) END, expired
+        FROM (
+          SELECT *, (before, status) IN (SELECT (l.before, l.after) FROM legal l) AS ok FROM (
+            SELECT o.document_id, o.n, o.ts, o.seq, o.status, w.since,
+              CASE WHEN w.after = '{M.WAITING}' AND w.since + INTERVAL {_STALL_HOURS} HOUR < o.ts THEN w.since + INTERVAL {_STALL_HOURS} HOUR END AS expired,
+              CASE WHEN w.after = '{M.WAITING}' AND w.since + INTERVAL {_STALL_HOURS} HOUR < o.ts THEN '{M.TIMED_OUT}' ELSE w.after END AS before
+            FROM walk w JOIN ordered o ON o.document_id = w.document_id AND o.n = w.n + 1))
+      )
+      SELECT document_id, ts, seq, asked, before, after, CASE WHEN (before, asked) IN (SELECT (l.before, l.after) FROM legal l) THEN 'accepted' ELSE 'illegal' END AS outcome
+      FROM walk WHERE n > 0
+      UNION ALL
+      SELECT document_id, expired, NULL, '{M.TIMED_OUT}', '{M.WAITING}', '{M.TIMED_OUT}', 'timeout' FROM walk WHERE expired IS NOT NULL
+      UNION ALL
+      SELECT document_id, since + INTERVAL {_STALL_HOURS} HOUR, NULL, '{M.TIMED_OUT}', '{M.WAITING}', '{M.TIMED_OUT}', 'timeout' FROM (
+        SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC) = 1) WHERE after = '{M.WAITING}')"""
+
+
+@query("status_transitions", sql(_MOVES, "status_events"))
+def status_transitions(spark, sf):
+    return M.transitions(status_events(spark, sf), stall=_STALL_HOURS * 3600)
+
+
+@query("stream_transitions", sql(_MOVES, "status_events"))
+def stream_transitions(spark, sf):
+    """The events as a stream, and one of a document of no name behind them that lets the watermark pass."""
+    path, source = scratch_path(spark, "moves"), scratch_path(spark, "end")
+    events = status_of(_log_stream(spark, sf)).select("document_id", "ts", "seq", "status")
+    spark.range(1).select(
+        F.lit("").alias("document_id"), F.lit("2200-01-01").cast("timestamp_ntz").alias("ts"), F.col("id").alias("seq"), F.lit("").alias("status")
+    ).write.parquet(source)
+    end = spark.readStream.schema("document_id string, ts timestamp_ntz, seq long, status string").parquet(source)
+    moves = M.stream_transitions(events.union(end), "1 day", stall=_STALL_HOURS * 3600)
+    J.run_to_end(moves.writeStream.format("parquet").option("path", path).outputMode("append"), scratch_path(spark, "progress"))
+    return read_log(spark, path, moves.schema).where("document_id <> ''")
+
+
+# ---- stored partial aggregates
+
+
+def _rolled_up(spark, sf):
+    path = scratch_path(spark, "rollup")
+    J.run_to_end(U.rollup_writer(_log_stream(spark, sf), path), scratch_path(spark, "progress"))
+    U.compact_rollup(spark, path)
+    return path
+
+
+@query("stream_rollup", sql(_STATS, "request_log"))
+def stream_rollup(spark, sf):
+    return U.daily_stats(spark, _rolled_up(spark, sf))
+
+
+@query("documents_in_range", sql("""
+    SELECT CAST(w AS INTEGER) AS range_id, count(DISTINCT nullif(documents, '')) AS documents, true AS estimate_holds
+    FROM request_log, range(1, 5) r(w), (SELECT min(log_date) AS first_day FROM request_log)
+    WHERE log_date BETWEEN first_day AND first_day + CAST(7 * w - 1 AS INTEGER) GROUP BY w""", "request_log"))
+def documents_in_range(spark, sf):
+    """Distinct documents of the first one to four weeks, exact and by the union of the days' sketches."""
+    path = _rolled_up(spark, sf)
+    sums, pairs = U.daily_sums(spark, path), U.daily_pairs(spark, path)
+    week = F.explode(F.sequence(F.lit(1), F.lit(4)))
+    ranges = sums.agg(F.min("log_date").alias("first_day")).select("first_day", week.alias("range_id")).select(
+        "range_id", "first_day", F.date_add("first_day", F.col("range_id") * 7 - 1).alias("last_day")
+    )
+    inside = F.col("log_date").between(F.col("first_day"), F.col("last_day"))
+    exact = pairs.join(F.broadcast(ranges), inside).groupBy("range_id").agg(F.count_distinct("documents").alias("documents"))
+    return exact.join(U.estimated_documents(sums, ranges), "range_id").select(
+        "range_id", "documents", U.within(F.col("estimate"), F.col("documents")).alias("estimate_holds")
+    )

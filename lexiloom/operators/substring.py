@@ -1,19 +1,31 @@
 """Substring joins: which terms of a list occur in which texts.
 
-A list of checked size becomes one array literal and is tested inside the text's row.
-A longer list is joined by equality: a term can only occur in a text that holds any
-given run of its characters, so texts are exploded into their distinct runs and joined
-with each term's rarest run; the containment test then runs on the matches.
+A list of checked size becomes one array literal and is tested inside the text's row. A longer
+list becomes an automaton over all its terms, which finds every term in one pass over a text,
+whatever their number and lengths. The automaton of a band of the list, bounded in characters,
+is built once in every Python worker; a list of several bands costs a pass for each. Texts
+never move: only the hits leave the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import os
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexiloom.functions.vectors import let
+from lexiloom.session import cut_lineage
 
 MAX_LITERAL_TERMS = 512
-GRAM = 6
+#: Characters of the distinct terms of a band; its automaton takes some 100 MB in a worker.
+BAND_CHARS = 2_000_000
+
+#: The automaton of the band a worker scans; one at a time.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
 def bounded_terms(terms: DataFrame, columns: list[str], limit: int = MAX_LITERAL_TERMS) -> list | None:
@@ -34,49 +46,56 @@ def any_term_in(text: Column, terms: list[str]) -> Column:
     return F.coalesce(let(F.lower(text), lambda held: F.exists(lowered, lambda t: F.contains(held, t))), F.lit(False))
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct runs of ``size`` characters; none for a shorter text.
+def _automaton(band: Broadcast) -> ahocorasick.Automaton:
+    name, needles = band.value
+    if name not in _BUILT:
+        _BUILT.clear()
+        made = ahocorasick.Automaton()
+        for number, needle in enumerate(needles):
+            made.add_word(needle, number)
+        made.make_automaton()
+        _BUILT[name] = made
+    return _BUILT[name]
 
-    The text is taken apart once, so that a run costs its own length wherever it stands.
-    """
-    def runs(characters: Column) -> Column:
-        last = F.length(text) - size + 1
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), lambda i: F.concat(*[F.get(characters, i + k) for k in range(size)])
-        )
 
-    return F.array_distinct(F.array_compact(let(F.split(text, ""), runs)))
+def _scan(haystacks: DataFrame, needles: list[str]) -> DataFrame:
+    """``text_id, needle`` for every needle in a haystack, once per row."""
+    shared = haystacks.sparkSession.sparkContext.broadcast((os.urandom(8).hex(), needles))
+    out = T.StructType([haystacks.schema["text_id"], T.StructField("needle", T.StringType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, known = _automaton(shared), shared.value[1]
+        for batch in batches:
+            rows: list[int] = []
+            found: list[str] = []
+            for row, text in enumerate(batch.column(1)):
+                hits = {number for _, number in automaton.iter(text.as_py())}
+                rows += [row] * len(hits)
+                found += [known[number] for number in sorted(hits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["text_id", "needle"])
+
+    return haystacks.mapInArrow(find, out)
 
 
 def containments(
-    texts: DataFrame, text_id: str, text: str, terms: DataFrame, term_id: str, term: str, gram: int = GRAM
+    texts: DataFrame, text_id: str, text: str, terms: DataFrame, term_id: str, term: str, band_chars: int = BAND_CHARS
 ) -> DataFrame:
     """Distinct ``(text_id, term_id)`` with the (non-empty) term inside the text, whatever the case.
 
-    A term is keyed by the one of its runs that the fewest texts hold, so runs that are
-    everywhere (``https:``) lead to no candidates of their own. Terms shorter than
-    ``gram`` are keyed by runs of their own length, one join per length. Only ids travel
-    with the runs; the texts come back for the test on the candidates.
+    Both sides are put into lower case by Spark, so that letters of any script are treated alike
+    here and in the literal form. A null text or term matches nothing. The list is counted, then
+    taken in bands of at most some ``band_chars`` characters; how many there are changes no row.
     """
-    haystacks = texts.select(F.col(text_id).alias("text_id"), F.lower(text).alias("haystack"))
-    needles = terms.select(F.col(term_id).alias("term_id"), F.lower(term).alias("needle"))
-    lengths = needles.select(F.least(F.length("needle"), F.lit(gram)).alias("size")).where("size > 0").distinct()
-    sizes = [r[0] for r in lengths.collect()]  # at most ``gram`` values
-    candidates = None
-    for size in sizes or [gram]:
-        exact = F.length("needle") >= size if size == gram else F.length("needle") == size
-        options = needles.where(exact).select("term_id", F.explode(_grams(F.col("needle"), size)).alias("gram"))
-        runs = haystacks.select("text_id", F.explode(_grams(F.col("haystack"), size)).alias("gram"))
-        held = runs.join(options.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
-            F.count(F.lit(1)).alias("n_texts")
-        )
-        # A run that no text holds rules its term out, so unmatched runs count as the rarest.
-        keyed = options.join(held, "gram", "left").groupBy("term_id").agg(
-            F.min_by("gram", F.struct(F.coalesce("n_texts", F.lit(0)), "gram")).alias("gram")
-        )
-        found = runs.join(keyed, "gram").select("text_id", "term_id")
-        candidates = found if candidates is None else candidates.unionByName(found)
-    checked = candidates.join(haystacks, "text_id").join(needles, "term_id").where(
-        F.contains("haystack", F.col("needle"))
-    )
-    return checked.select(F.col("text_id").alias(text_id), F.col("term_id").alias(term_id)).distinct()
+    haystacks = texts.select(F.col(text_id).alias("text_id"), F.lower(text).alias("haystack")).where("haystack <> ''")
+    needles = terms.select(F.col(term_id).alias("term_id"), F.lower(term).alias("needle")).where("needle <> ''")
+    listed = needles.select("needle").distinct()
+    total = listed.agg(F.sum(F.length("needle"))).first()[0] or 0
+    bands = max(1, -(-total // band_chars))
+    if bands > 1:
+        listed, haystacks = cut_lineage(listed), cut_lineage(haystacks)
+    found = None
+    for band in range(bands):
+        own = listed.where(F.pmod(F.xxhash64("needle"), F.lit(bands)) == band).collect()
+        hits = _scan(haystacks, sorted(r[0] for r in own))
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(needles, "needle").select(F.col("text_id").alias(text_id), F.col("term_id").alias(term_id)).distinct()

@@ -1,9 +1,19 @@
 """The persistent chunk table, the cache-mapping table and their incremental upkeep.
 
-Chunks are stored by ``prefix_bucket``, the leading hex digits of the chunk prefix. A
-document lives in one bucket, so maintaining a batch of documents reads and rewrites only
-the buckets they fall into. Two digits (256 buckets) suit a table of some terabytes; the
-number is chosen when the table is first written and kept from then on.
+The chunk table is versioned and merged when it is read. A batch writes its own rows as a new
+version and a log of the documents (or chunks) it replaces; no stored file is read or
+rewritten, however many buckets the batch falls into. Three folders make the table::
+
+    data/version=N/prefix_bucket=xx   the rows of a batch
+    log/version=N                     what it replaces: documents, single chunks, or whole buckets
+    commits/version=N                 one row in one file, written last: the version counts from then on
+
+A reader leaves out rows that a later version replaces. Compaction writes the living rows of
+the buckets that hold too many dead ones as a version of its own and logs these buckets as
+replaced; their older files are then no longer read, and :func:`vacuum` removes them. Chunks are
+spread by ``prefix_bucket``, the leading hex digits of the chunk prefix: two digits (256
+buckets) suit a table of some terabytes; the number is chosen when the table is first written
+and kept from then on. There may be any number of readers and one writer at a time.
 """
 
 from __future__ import annotations
@@ -12,11 +22,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lexiloom.functions.vectors import checked_dim
 from lexiloom.schemas import CACHE_MAP, CHUNK
-from lexiloom.session import cut_lineage
+from lexiloom.session import cut_lineage, remove_folder
 
 BUCKET = "prefix_bucket"
 BUCKET_DIGITS = 2
+VERSION = "version"
+#: Replaced documents or chunks that a reader broadcasts; with more, the merge is a shuffled join.
+MAX_BROADCAST_CHANGES = 1_000_000
+#: Share of dead rows from which a bucket is worth compacting.
+DEAD_SHARE = 0.25
 _STORED = T.StructType(CHUNK.fields + [T.StructField(BUCKET, T.StringType())])
+_DATA = T.StructType(_STORED.fields + [T.StructField(VERSION, T.LongType())])
+_LOG = T.StructType().add("kind", T.StringType()).add(BUCKET, T.StringType()).add("doc_key", T.StringType()).add(
+    "ordinal", T.IntegerType()).add(VERSION, T.LongType())
+_COMMITS = T.StructType().add("mode", T.StringType()).add(VERSION, T.LongType())
 
 
 def bucket_of(prefix: Column, digits: int = BUCKET_DIGITS) -> Column:
@@ -32,48 +51,128 @@ def _open(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def open_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table; one that does not exist yet is empty."""
-    return _open(spark, path, _STORED)
+def committed(spark: SparkSession, path: str) -> int:
+    """The last version that counts; 0 where there is none."""
+    return _open(spark, f"{path}/commits", _COMMITS).agg(F.max(VERSION)).first()[0] or 0
 
 
-def merged(old: DataFrame, new: DataFrame, mode: str = "replace") -> DataFrame:
-    """Chunk table after a batch.
+def _replaced_buckets(log: DataFrame) -> dict[str, int]:
+    """Version that a bucket starts from, for compacted buckets: at most ``16 ** digits`` of them."""
+    found = log.where("kind = 'bucket'").groupBy(BUCKET).agg(F.max(VERSION).alias(VERSION)).collect()
+    return {r[0]: r[1] for r in found}
 
-    ``replace`` drops every old chunk of the documents in the batch, so a document that
-    got shorter leaves nothing behind; ``upsert`` replaces chunk by chunk. Documents are told
-    apart by their full key; the short prefix of the chunk id is shared by some.
+
+def _without_replaced(rows: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of no lower version than the last change of their key."""
+    last = changes.groupBy(*key).agg(F.max(VERSION).alias("__changed"))
+    if last.limit(MAX_BROADCAST_CHANGES + 1).count() <= MAX_BROADCAST_CHANGES:
+        last = F.broadcast(last)
+    kept = rows.join(last, key, "left").where(F.col("__changed").isNull() | (F.col(VERSION) >= F.col("__changed")))
+    return kept.drop("__changed")
+
+
+def stored_rows(spark: SparkSession, path: str, version: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that still count at a version, living or dead, and the log up to it."""
+    data = _open(spark, f"{path}/data", _DATA).where(F.col(VERSION) <= version)
+    log = _open(spark, f"{path}/log", _LOG).where(F.col(VERSION) <= version)
+    for bucket, first in _replaced_buckets(log).items():
+        # Both are folders, so the files of a compacted bucket's past are not even listed for reading.
+        data = data.where(~((F.col(BUCKET) == bucket) & (F.col(VERSION) < first)))
+    return data, log
+
+
+def open_versions(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The chunk table with each row's version, as of a version (default: the last).
+
+    A table that does not exist yet is empty. Versions before a :func:`vacuum` are gone.
     """
-    key = {"replace": ["doc_key"], "upsert": ["doc_key", "ordinal"]}[mode]
-    kept = old.join(new.select(key).distinct(), key, "left_anti")
-    return new.select(*old.columns).unionByName(kept.select(*old.columns))
+    last = committed(spark, path)
+    version = last if version is None else min(version, last)
+    rows, log = stored_rows(spark, path, version)
+    kinds = {r[0] for r in log.select("kind").distinct().collect()}
+    if "document" in kinds:
+        rows = _without_replaced(rows, log.where("kind = 'document'"), ["doc_key"])
+    if "chunk" in kinds:
+        rows = _without_replaced(rows, log.where("kind = 'chunk'"), ["doc_key", "ordinal"])
+    return rows.select(*_DATA.names)
+
+
+def open_chunks(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The chunk table as of a version (default: the last); one that does not exist yet is empty."""
+    return open_versions(spark, path, version).select(*_STORED.names)
+
+
+def _commit(spark: SparkSession, path: str, version: int, mode: str, changes: DataFrame | None) -> None:
+    if changes is not None:
+        changes.write.mode("overwrite").parquet(f"{path}/log/{VERSION}={version}")
+    done = spark.createDataFrame([(mode,)], "mode string").coalesce(1)
+    done.write.mode("overwrite").parquet(f"{path}/commits/{VERSION}={version}")
 
 
 def save_chunks(
     spark: SparkSession, path: str, new: DataFrame, mode: str = "replace", digits: int = BUCKET_DIGITS
 ) -> None:
-    """Merge a batch of chunks into the table, rewriting only the buckets it touches.
+    """Write a batch of chunks as the table's next version; no stored file is read.
 
-    ``append`` is for documents known to be new: they are written beside the old files,
-    none of which is read.
+    ``replace`` drops every older chunk of the documents in the batch, so a document that
+    got shorter leaves nothing behind; ``upsert`` replaces chunk by chunk; ``append`` is for
+    documents known to be new. Documents are told apart by their full key; the short prefix of
+    the chunk id is shared by some. An empty batch makes no version. A batch that failed before
+    its commit is invisible, and the next one overwrites what it left.
     """
+    kept = {"replace": ["doc_key"], "upsert": ["doc_key", "ordinal"], "append": None}[mode]
     typed = new.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK.fields if f.name != "embedding"],
         checked_dim(F.col("embedding")).alias("embedding"),
     ).withColumn(BUCKET, bucket_of(F.col("chunk_prefix"), digits))
-    if mode == "append":
-        typed.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
-        return
-    batch = cut_lineage(typed)
-    touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most 16 ** digits values
-    if not touched:
+    version = committed(spark, path) + 1
+    folder = f"{path}/data/{VERSION}={version}"
+    typed.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+    written = spark.read.schema(_STORED).parquet(folder)
+    if written.isEmpty():
         return
-    old = open_chunks(spark, path).where(F.col(BUCKET).isin(touched))
-    (
-        merged(old, batch, mode)
-        .hint("rebalance", BUCKET)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-    )
+    changes = None
+    if kept is not None and version > 1:
+        # A chunk's ordinal is null in the log of whole documents.
+        ordinal = F.col("ordinal") if mode == "upsert" else F.lit(None).cast("int")
+        kind = F.lit("chunk" if mode == "upsert" else "document")
+        changes = written.select(kind.alias("kind"), BUCKET, "doc_key", ordinal.alias("ordinal")).distinct()
+    _commit(spark, path, version, mode, changes)
+
+
+def compact(spark: SparkSession, path: str, dead_share: float = DEAD_SHARE) -> list[str]:
+    """Write the living rows of buckets with many dead ones anew; the buckets that were compacted.
+
+    Rows are counted by their narrow columns first; buckets below the share are not read any
+    further. The content of the table stays the same.
+    """
+    last = committed(spark, path)
+    stored, _ = stored_rows(spark, path, last)
+    living = open_versions(spark, path)
+    n = F.count(F.lit(1))
+    counts = stored.groupBy(BUCKET).agg(n.alias("stored")).join(living.groupBy(BUCKET).agg(n.alias("living")), BUCKET, "left")
+    dead = F.col("stored") - F.coalesce("living", F.lit(0))
+    chosen = sorted(r[0] for r in counts.where((dead > 0) & (dead >= F.col("stored") * dead_share)).select(BUCKET).collect())
+    if not chosen:
+        return []
+    rows = living.where(F.col(BUCKET).isin(chosen)).select(*_STORED.names)
+    rows.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/data/{VERSION}={last + 1}")
+    entries = spark.createDataFrame([("bucket", b, None, None) for b in chosen], T.StructType(_LOG.fields[:-1]))
+    _commit(spark, path, last + 1, "compact", entries.coalesce(1))
+    return chosen
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Remove the folders of compacted buckets that no reader of the last version needs; their number.
+
+    Older versions can no longer be opened afterwards.
+    """
+    log = _open(spark, f"{path}/log", _LOG).where(F.col(VERSION) <= committed(spark, path))
+    removed = 0
+    for bucket, first in _replaced_buckets(log).items():
+        for version in range(1, first):
+            removed += remove_folder(spark, f"{path}/data/{VERSION}={version}/{BUCKET}={bucket}")
+    return removed
 
 
 def get_chunks(table: DataFrame, ids: list[str], include: list[str], digits: int = BUCKET_DIGITS) -> DataFrame:
@@ -84,9 +183,17 @@ def get_chunks(table: DataFrame, ids: list[str], include: list[str], digits: int
     return wanted.select("chunk_id", *include)
 
 
-def get_chunks_of(table: DataFrame, ids: DataFrame, include: list[str]) -> DataFrame:
-    """Chunks whose ids are in a table of ids, with the asked columns."""
-    return table.join(ids.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", *include)
+def get_chunks_of(table: DataFrame, ids: DataFrame, include: list[str], digits: int | None = None) -> DataFrame:
+    """Chunks whose ids are in a table of ids, with the asked columns.
+
+    With the number of ``digits`` of the table's buckets, the join is on the bucket too, so that
+    the buckets of a short list are found at run time and no others are read.
+    """
+    wanted = ids.select("chunk_id").distinct()
+    if digits is None or BUCKET not in table.columns:
+        return table.join(wanted, "chunk_id", "left_semi").select("chunk_id", *include)
+    keyed = wanted.withColumn(BUCKET, bucket_of(F.col("chunk_id"), digits))
+    return table.join(keyed, [BUCKET, "chunk_id"], "left_semi").select("chunk_id", *include)
 
 
 def count_chunks(table: DataFrame) -> DataFrame:
