@@ -10,11 +10,13 @@ from lexiloom.catalog.fixtures import (
 )
 from lexiloom.catalog.registry import query
 from lexiloom.functions.text import html_to_text, sentences
+from lexiloom.functions.vectors import model_embedding
 from lexiloom.operators import chunking as C, quantised as Q
 from lexiloom.operators.knn import knn, within
 from lexiloom.operators.ordering import row_numbers
 from lexiloom.operators.substring import containments
 from lexiloom.plans import retrieval as R
+from lexiloom.plans.ingest import ingest_documents
 from lexiloom.session import scratch_path
 from lexiloom.sources.chunk_table import compact, count_chunks, get_chunks_of, open_chunks, open_versions, save_chunks, vacuum
 from lexiloom.sources.documents import directory_chunks, write_files
@@ -264,6 +266,53 @@ def knn_batch_query(spark, sf):
     return _shown(R.nearest_chunks(combined, chunks(spark, sf)))
 
 
+def _load_prefix_counts():
+    """A model of 96 components: how often the words' first three letters fall into each bucket."""
+    import hashlib
+    import re
+
+    def embed(texts):
+        made = []
+        for text in texts:
+            vector = [0.0] * 96
+            for word in re.findall(r"[^\W_]+", text.lower()):
+                vector[int(hashlib.md5(word[:3].encode()).hexdigest()[:7], 16) % 96] += 1.0
+            made.append(vector)
+        return made
+
+    return embed
+
+
+PREFIX_COUNTS = model_embedding("prefix_counts", 96, _load_prefix_counts)
+_PREFIX_TERMS = r"""
+    SELECT {key}, ('0x' || substr(md5(substr(t, 1, 3)), 1, 7))::BIGINT % 96 AS b, count(*) AS c
+    FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')) AS t FROM {source}) GROUP BY ALL"""
+
+
+@query("model_retrieval", sql("SELECT * FROM near", "user_questions", "chunk_texts", **{
+    "requests": _COMBINED["requests"],
+    "asked_terms": _PREFIX_TERMS.format(key="query_id", text="question", source="(SELECT request_id AS query_id, question FROM user_questions)"),
+    "held_terms": _PREFIX_TERMS.format(key="chunk_id", text="text", source="chunk_texts"),
+    "near": neighbours_sql("asked_terms", "requests", "chunk_texts", "chunk_id", "held_terms", D.TOP_K),
+}))
+def model_retrieval(spark, sf):
+    """Ingest with a model of another length, then search for the joined questions of every request."""
+    path = scratch_path(spark, "model-chunks")
+    ingest_documents(spark, documents(spark, sf), path, embedding=PREFIX_COUNTS, digits=1)
+    asked = R.combined_queries(user_questions(spark, sf), embedding=PREFIX_COUNTS, order=["turn"])
+    return _shown(R.nearest_chunks(asked.withColumnRenamed("request_id", "query_id"), open_chunks(spark, path)))
+
+
+@query("empty_index", sql(f"""
+    SELECT query_id, false AS is_answerable, '{D.MSG_EMPTY_INDEX}' AS errors FROM user_questions""", "user_questions"))
+def empty_index(spark, sf):
+    """Questions asked before anything is indexed."""
+    asked, corpus = _questions(spark, sf), open_chunks(spark, scratch_path(spark, "no-chunks"))
+    found = R.retrieve(asked, corpus)
+    guarded = R.guarded_answers(asked.select("query_id", F.lit(1).alias("n_questions")), found, corpus)
+    return guarded.select("query_id", "is_answerable", F.array_join("errors", "\n").alias("errors"))
+
+
 _NEAREST = neighbours_sql("question_terms", "user_questions", "chunk_texts", "chunk_id", "chunk_terms", 1)
 _LIMIT = 0.35
 
@@ -277,7 +326,7 @@ _LIMIT = 0.35
 def retrieval_guard(spark, sf):
     asked, corpus = _questions(spark, sf), chunk_table(spark, sf)
     found = R.contexts(within(R.nearest_chunks(asked, corpus, k=1), _LIMIT), corpus)
-    guarded = R.guarded_answers(asked.select("query_id", F.lit(1).alias("n_questions")), found, index_size=1)
+    guarded = R.guarded_answers(asked.select("query_id", F.lit(1).alias("n_questions")), found, corpus)
     return guarded.select(
         "query_id", "is_answerable", F.md5("context").alias("context_md5"), F.array_join("errors", "\n").alias("errors")
     )

@@ -20,7 +20,7 @@ from lexiloom.session import scratch_path
 from lexiloom.sources.chunk_table import load_mapping, open_chunks, save_mapping
 from lexiloom.sources.documents import directory_cache_map as cache_map_of, write_files
 from lexiloom.sources.files import file_metadata as metadata_of
-from lexiloom.sources.request_log import append_log, read_log
+from lexiloom.sources.request_log import append_log, json_records, read_log, split_json_days
 from lexiloom.streaming import jobs as J, machine as M, rollup as U
 
 # ---- request log -----------------------------------------------------------------------
@@ -484,3 +484,48 @@ def documents_in_range(spark, sf):
     return exact.join(U.estimated_documents(sums, ranges), "range_id").select(
         "range_id", "documents", U.within(F.col("estimate"), F.col("documents")).alias("estimate_holds")
     )
+
+
+@query("json_days", sql("""
+    SELECT request_id, log_date, documents, question_count, array_to_string(answers, '|') AS answers FROM request_log""", "request_log"))
+def json_days(spark, sf):
+    """The log written as a JSON array a day and read element by element."""
+    directory = scratch_path(spark, "json-days")
+    log = request_log(spark, sf)
+    record = F.struct(
+        "request_id", F.struct("documents", F.array_repeat(F.lit("q"), F.col("question_count")).alias("questions"), "question_count").alias("request"),
+        F.struct("answers", "processing_time").alias("response"),
+    )
+    body = F.regexp_replace(F.to_json(record, {"pretty": "true"}), "(?m)^", "  ")
+    days = log.groupBy("log_date").agg(F.array_join(F.array_sort(F.collect_list(body)), ",\n").alias("body")).select(
+        F.format_string("requests_%s.json", F.date_format("log_date", "yyyy-MM-dd")).alias("file_name"),
+        F.concat(F.lit("[\n"), "body", F.lit("\n]")).alias("text"),
+    )
+    write_files(days, directory)
+    read = json_records(split_json_days(spark, directory))
+    return read.select(
+        "request_id", "log_date", "request.documents", "request.question_count", F.array_join("response.answers", "|").alias("answers")
+    )
+
+
+@query("cache_cleared", sql(f"""
+    SELECT true AS cache_enabled, CAST(0 AS BIGINT) AS total_cached_documents, 'Cache is enabled and active' AS message
+    FROM (SELECT count(*) FROM ({_MAPPING_SQL}))""", "typed_urls"))
+def cache_cleared(spark, sf):
+    """Status after every entry was removed from the stored mapping."""
+    path = scratch_path(spark, "mapping")
+    save_mapping(_mapping(spark, sf), path)
+    save_mapping(K.evict_all(load_mapping(spark, path)), path)
+    return K.cache_status(load_mapping(spark, path), True)
+
+
+@query("cache_call_failures", sql(f"""
+    SELECT request_id, regexp_matches(lower(message), '{"|".join(D.CACHE_ERROR_WORDS)}') AS tries_again FROM (
+      SELECT request_id, array_to_string(answers, ' ') || CASE WHEN event_id % 3 = 0 THEN ' HTTP 503' WHEN event_id % 3 = 1 THEN ' Overloaded' ELSE '' END AS message
+      FROM request_log WHERE len(answers) > 0)""", "request_log"))
+def cache_call_failures(spark, sf):
+    """Which failed cache calls are worth another try."""
+    third = F.col("event_id") % 3
+    added = F.when(third == 0, " HTTP 503").when(third == 1, " Overloaded").otherwise("")
+    failed = request_log(spark, sf).where(F.size("answers") > 0).withColumn("message", F.concat(F.array_join("answers", " "), added))
+    return failed.select("request_id", K.worth_another_try(F.col("message")).alias("tries_again"))

@@ -13,6 +13,7 @@ side, so a text is tokenised once however many windows and chunks it ends up in.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -88,19 +89,42 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return cosine_from_dots(dot(a, b), dot(a, a), dot(b, b))
 
 
-def model_vector(embed_batch: Callable[[list[str]], Any]) -> Callable[[Column], Column]:
-    """Wrap a batch embedding function as a column function (the model-backed slot).
+@dataclass(frozen=True)
+class Embedding:
+    """A named way from texts to vectors of one length.
 
-    ``embed_batch`` receives a list of texts and returns one vector per text; Spark feeds
-    it Arrow batches on the executors.
+    A chunk table keeps the name and the length of the embedding it was made with, so that
+    vectors of different ones never meet.
+    """
+
+    name: str
+    dim: int
+    embed: Callable[[Column], Column]
+
+
+#: Models of this worker by the name of their embedding.
+_LOADED: dict[str, Callable[[list[str]], Any]] = {}
+
+
+def model_embedding(name: str, dim: int, load: Callable[[], Callable[[list[str]], Any]], batch: int = 256) -> Embedding:
+    """An embedding out of a model.
+
+    ``load`` returns a function from a list of texts to one vector per text. It is called once
+    in a Python worker, whatever the number of its tasks, and the model then gets ``batch``
+    texts at a time. A null text is empty.
     """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if name not in _LOADED:
+            _LOADED[name] = load()
+        model = _LOADED[name]
         for texts in batches:
-            yield pd.Series([list(map(float, v)) for v in embed_batch(texts.fillna("").tolist())])
+            held = texts.fillna("").tolist()
+            made = [[float(x) for x in v] for low in range(0, len(held), batch) for v in model(held[low : low + batch])]
+            yield pd.Series(made, dtype=object)
 
-    return run
+    return Embedding(name, dim, run)
 
 
 _SENTENCES_AT_ONCE = 50_000
@@ -151,9 +175,22 @@ def neighbour_distances(buffer: int, dim: int = EMBEDDING_DIM) -> Callable[[Colu
     return distances
 
 
-def complete_vectors(vector: Column, text: Column) -> Column:
-    """Recompute the vector from the text where it is missing or empty."""
-    return F.when(F.coalesce(F.size(vector), F.lit(0)) > 0, vector).otherwise(term_vector(text))
+TERM_COUNTS = Embedding("term_counts", EMBEDDING_DIM, term_vector)
+
+
+def has_vector(vector: Column) -> Column:
+    return F.coalesce(F.size(vector), F.lit(0)) > 0
+
+
+def complete_vectors(rows: DataFrame, embedding: Embedding = TERM_COUNTS, vector: str = "embedding", text: str = "text") -> DataFrame:
+    """Compute the vector from the text where it is missing or empty.
+
+    The model sees the texts of those rows only; the others' reach it as null.
+    """
+    if vector not in rows.columns:
+        return rows.withColumn(vector, embedding.embed(F.col(text)))
+    wanted = F.when(~has_vector(F.col(vector)), F.coalesce(F.col(text), F.lit("")))
+    return rows.withColumn(vector, F.when(has_vector(F.col(vector)), F.col(vector)).otherwise(embedding.embed(wanted)))
 
 
 def checked_dim(vector: Column, dim: int = EMBEDDING_DIM) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lexiloom.dimensions import CACHE_ERROR_WORDS
+from lexiloom.functions.answers import mentions_any
 from lexiloom.functions.filetypes import needs_retrieval, with_file_type
 from lexiloom.functions.scalars import stable_name, strip
 from lexiloom.functions.urls import doc_hash
@@ -61,6 +63,11 @@ def evict_all(mapping: DataFrame) -> DataFrame:
     return mapping.where(F.lit(False))
 
 
+def worth_another_try(error: Column) -> Column:
+    """A cache call's error message that tells of an overloaded model."""
+    return mentions_any(error, CACHE_ERROR_WORDS)
+
+
 def cache_status(mapping: DataFrame, enabled: bool) -> DataFrame:
     """``cache_enabled``, number of mapped documents and a message."""
     total = F.count(F.lit(1)) if enabled else F.lit(0).cast("long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexiloom.functions.vectors import TERM_COUNTS, Embedding
 from lexiloom.operators.chunking import semantic_chunks
 from lexiloom.operators.gates import flag_blocked
 from lexiloom.operators.ingest import gate, ingest_results, new_documents
@@ -38,9 +39,18 @@ def one_version(docs: DataFrame) -> DataFrame:
     return docs.join(repeated, "url", "left_anti").unionByName(chosen.select(*docs.columns))
 
 
-def ingest_documents(spark: SparkSession, docs: DataFrame, table: str, mode: str = "replace", **layout) -> None:
-    """Chunk, embed and store documents."""
-    save_chunks(spark, table, semantic_chunks(one_version(readable(docs))), mode, **layout)
+def ingest_documents(
+    spark: SparkSession, docs: DataFrame, table: str, mode: str = "replace", embedding: Embedding = TERM_COUNTS, **layout
+) -> None:
+    """Chunk, embed and store documents.
+
+    Where to cut is decided on term counts; the stored vectors are those of ``embedding``, for
+    any other than term counts computed when the chunks are written.
+    """
+    chunks = semantic_chunks(one_version(readable(docs)))
+    if embedding is not TERM_COUNTS:
+        chunks = chunks.drop("embedding")
+    save_chunks(spark, table, chunks, mode, embedding=embedding, **layout)
 
 
 def ingest_new(spark: SparkSession, docs: DataFrame, table: str, **layout) -> None:

@@ -7,6 +7,7 @@ rewritten, however many buckets the batch falls into. Three folders make the tab
     data/version=N/prefix_bucket=xx   the rows of a batch
     log/version=N                     what it replaces: documents, single chunks, or whole buckets
     commits/version=N                 one row in one file, written last: the version counts from then on
+    properties                        name and length of the embedding, written with the first version
 
 A reader leaves out rows that a later version replaces. Compaction writes the living rows of
 the buckets that hold too many dead ones as a version of its own and logs these buckets as
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lexiloom.functions.vectors import checked_dim
+from lexiloom.functions.vectors import TERM_COUNTS, Embedding, checked_dim, complete_vectors
 from lexiloom.schemas import CACHE_MAP, CHUNK
 from lexiloom.session import cut_lineage, remove_folder
 
@@ -35,6 +36,7 @@ _STORED = T.StructType(CHUNK.fields + [T.StructField(BUCKET, T.StringType())])
 _DATA = T.StructType(_STORED.fields + [T.StructField(VERSION, T.LongType())])
 _LOG = T.StructType().add("kind", T.StringType()).add(BUCKET, T.StringType()).add("doc_key", T.StringType()).add(
     "ordinal", T.IntegerType()).add(VERSION, T.LongType())
+_PROPERTIES = T.StructType().add("embedding", T.StringType()).add("dim", T.IntegerType())
 _COMMITS = T.StructType().add("mode", T.StringType()).add(VERSION, T.LongType())
 
 
@@ -109,11 +111,21 @@ def _commit(spark: SparkSession, path: str, version: int, mode: str, changes: Da
     done.write.mode("overwrite").parquet(f"{path}/commits/{VERSION}={version}")
 
 
+def table_embedding(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """Name and vector length of the embedding a table was made with, None where there is no table."""
+    row = _open(spark, f"{path}/properties", _PROPERTIES).first()
+    return None if row is None else (row["embedding"], row["dim"])
+
+
 def save_chunks(
-    spark: SparkSession, path: str, new: DataFrame, mode: str = "replace", digits: int = BUCKET_DIGITS
+    spark: SparkSession, path: str, new: DataFrame, mode: str = "replace", digits: int = BUCKET_DIGITS,
+    embedding: Embedding = TERM_COUNTS,
 ) -> None:
     """Write a batch of chunks as the table's next version; no stored file is read.
 
+    Vectors that are missing are computed by ``embedding``, which has to be the table's own;
+    the job fails on a vector of another length.
+
     ``replace`` drops every older chunk of the documents in the batch, so a document that
     got shorter leaves nothing behind; ``upsert`` replaces chunk by chunk; ``append`` is for
     documents known to be new. Documents are told apart by their full key; the short prefix of
@@ -121,9 +133,16 @@ def save_chunks(
     its commit is invisible, and the next one overwrites what it left.
     """
     kept = {"replace": ["doc_key"], "upsert": ["doc_key", "ordinal"], "append": None}[mode]
-    typed = new.select(
+    known = table_embedding(spark, path)
+    if known is None:
+        made = spark.createDataFrame([(embedding.name, embedding.dim)], _PROPERTIES)
+        made.coalesce(1).write.mode("overwrite").parquet(f"{path}/properties")
+    elif known != (embedding.name, embedding.dim):
+        raise ValueError(f"the table at {path} holds vectors of {known}, not of {(embedding.name, embedding.dim)}")
+    whole = complete_vectors(new, embedding)
+    typed = whole.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK.fields if f.name != "embedding"],
-        checked_dim(F.col("embedding")).alias("embedding"),
+        checked_dim(F.col("embedding"), embedding.dim).alias("embedding"),
     ).withColumn(BUCKET, bucket_of(F.col("chunk_prefix"), digits))
     version = committed(spark, path) + 1
     folder = f"{path}/data/{VERSION}={version}"

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lexiloom.functions.scalars import or_today
+from lexiloom.operators.ordering import running_sum
 from lexiloom.schemas import REQUEST_LOG
+from lexiloom.session import cut_lineage
 
 
 def read_json_days(spark: SparkSession, directory: str) -> DataFrame:
@@ -22,6 +24,40 @@ def read_json_days(spark: SparkSession, directory: str) -> DataFrame:
     return arrays.select("log_date", "r.*").where(F.col("request_id").isNotNull())
 
 
+def split_json_days(spark: SparkSession, directory: str, indent: int = 2) -> DataFrame:
+    """Elements of daily files, one a row: ``log_date, element, body, record``.
+
+    For arrays larger than a cell. The files are read line by line, by as many tasks as they have
+    splits. Their arrays are written one element below the other, ``indent`` deep: the line that
+    opens an element has that many blanks and a brace, and no line inside one has. ``record`` is
+    null where an element cannot be read: a damaged element costs no other.
+    """
+    lines = spark.read.option("pathGlobFilter", "requests_*.json").text(directory)
+    # Lines are numbered inside the splits they are read in; splits are known by their start.
+    placed = cut_lineage(lines.select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"), F.rtrim("value").alias("value"),
+    ))
+    opens = F.col("value").rlike(rf"^ {{{indent}}}\{{").cast("int")
+    counted = running_sum(placed.withColumn("opens", opens), ["file"], ["split", "line"], "opens", "element")
+    held = F.transform(F.array_sort(F.collect_list(F.struct("split", "line", "value"))), lambda x: x["value"])
+    inside = counted.where((F.col("element") > 0) & ~F.col("value").isin("]", "["))
+    bodies = inside.groupBy("file", "element").agg(F.regexp_replace(F.array_join(held, "\n"), r"[,\s]+\z", "").alias("body"))
+    day = F.try_to_date(F.regexp_extract("file", r"requests_(\d{4}-\d{2}-\d{2})\.json", 1), "yyyy-MM-dd")
+    read = F.from_json("body", REQUEST_LOG)
+    return bodies.select(day.alias("log_date"), "element", "body", F.when(read["request_id"].isNotNull(), read).alias("record"))
+
+
+def json_records(elements: DataFrame) -> DataFrame:
+    """Log records of the elements that could be read."""
+    return elements.where("record is not null").select("log_date", "record.*")
+
+
+def damaged_elements(elements: DataFrame) -> DataFrame:
+    """Elements that could not be read, with their text."""
+    return elements.where("record is null").select("log_date", "element", "body")
+
+
 def append_log(records: DataFrame, path: str) -> None:
     """Append records to the log, one folder per day; no existing file is read."""
     dated = records if "log_date" in records.columns else records.withColumn("log_date", F.to_date("timestamp"))

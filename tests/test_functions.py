@@ -161,7 +161,21 @@ def test_vectors(spark):
         spark.createDataFrame([([1.0],)], "v array<float>").select(V.checked_dim(F.col("v"))).collect()
 
 
-def test_model_slot(spark):
-    column = V.model_vector(lambda texts: [[len(t), 1.0] for t in texts])
-    rows = spark.createDataFrame([("abc",), (None,)], "t string").select(column(F.col("t")).alias("v")).collect()
-    assert [r.v for r in rows] == [[3.0, 1.0], [0.0, 1.0]]
+def test_model_is_loaded_once_and_completes_vectors(spark):
+    def load():
+        import os
+
+        loads = os.getpid()
+
+        def model(texts):
+            assert len(texts) <= 3
+            return [[float(len(t)), 1.0, float(loads)] for t in texts]
+
+        return model
+
+    embedding = V.model_embedding("lengths", 3, load, batch=3)
+    rows = [("abc", None), (None, None), ("abcd", []), ("given", [9.0, 9.0, 9.0])] * 3
+    given = spark.createDataFrame(rows, "text string, embedding array<float>").coalesce(1)
+    got = [r.embedding for r in V.complete_vectors(given, embedding).collect()]
+    assert [v[:2] for v in got] == [[3.0, 1.0], [0.0, 1.0], [4.0, 1.0], [9.0, 9.0]] * 3
+    assert len({v[2] for v in got if v[0] != 9.0}) == 1

@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions import vectors as V
 from lexiloom.operators import knn as N, quantised as Q, substring as S
 from lexiloom.operators.requests import request_stats
-from lexiloom.sources import chunk_table as T
+from lexiloom.sources import chunk_table as T, request_log as R
 from lexiloom.streaming import jobs as J, machine as M, rollup as U
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +89,45 @@ def test_compaction_keeps_the_content(spark, tmp_path):
     assert got.collect() == []
 
 
+def test_a_table_keeps_its_embedding(spark, tmp_path):
+    path = str(tmp_path / "t")
+    three = V.model_embedding("three", 3, lambda: lambda found: [[float(len(t)), 1.0, 0.0] for t in found])
+    rows = batch(spark, a=["long text", "x"]).drop("embedding")
+    T.save_chunks(spark, path, rows, digits=1, embedding=three)
+    assert T.table_embedding(spark, path) == ("three", 3)
+    assert sorted(r.embedding[0] for r in T.open_chunks(spark, path).collect()) == [1.0, 9.0]
+    with pytest.raises(ValueError, match="three"):
+        T.save_chunks(spark, path, rows, digits=1)
+    assert T.committed(spark, path) == 1
+
+
+def test_day_files_are_read_element_by_element(spark, tmp_path):
+    import json
+
+    records = [{"request_id": f"r{i}", "request": {"documents": "u", "questions": ["{", "}]"]}, "response": {"answers": [f"a\n{i}", "[ {"]}} for i in range(400)]
+    whole = json.dumps(records, indent=2)
+    (tmp_path / "requests_2024-01-01.json").write_text(whole)
+    (tmp_path / "requests_2024-01-02.json").write_text(json.dumps(records[:3], indent=2).replace('"r1"', '"r1'))
+    (tmp_path / "requests_2024-01-03.json").write_text(whole[: len(whole) // 2])
+    (tmp_path / "requests_2024-01-04.json").write_text("[]")
+    (tmp_path / "other.json").write_text(whole)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        elements = R.split_json_days(spark, str(tmp_path)).cache()
+        days = {}
+        for r in R.json_records(elements).collect():
+            days.setdefault(str(r.log_date), []).append(r)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.request_id for r in days["2024-01-01"]) == sorted(r["request_id"] for r in records)
+    assert all(r.response.answers == [f"a\n{r.request_id[1:]}", "[ {"] for r in days["2024-01-01"])
+    assert sorted(r.request_id for r in days["2024-01-02"]) == ["r0", "r2"]
+    assert 190 <= len(days["2024-01-03"]) <= 200 and set(days) == {"2024-01-01", "2024-01-02", "2024-01-03"}
+    damaged = R.damaged_elements(elements).collect()
+    assert sorted(str(r.log_date) for r in damaged) == ["2024-01-02", "2024-01-03"] and all(r.body for r in damaged)
+
+
 # ---- quantised neighbours
 
 
