@@ -30,8 +30,8 @@ from lexiloom.llm.tables import fresh, hash_draw, held_out, query, table
 DECAY = 0.6
 #: Longer words are scored in windows of this many letters, half of them shared.
 WORD = 16
-#: Letters told apart; rarer ones match nothing.
-LETTERS = 60
+#: Letter triples up to which weights stand in a plain array; beyond it they are looked up in order.
+DENSE_TRIPLES = 1 << 22
 LANDMARKS = 320
 #: Labelled texts of each class that the machine is trained on (the documented bound).
 TRAIN_TEXTS = 1200
@@ -89,6 +89,11 @@ class StringKernel:
 
     letters: dict[str, int]
 
+    @property
+    def none(self) -> int:
+        """The code of a triple with a letter that the sample does not have."""
+        return len(self.letters) ** 3
+
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Triple code (-1: none) and weight of every subsequence, one row per word."""
         grid = np.full((len(words), WORD), -1, dtype=np.int64)
@@ -97,7 +102,8 @@ class StringKernel:
             grid[i, : len(word)] = [get(c, -1) for c in word[:WORD]]
         a, b, c = (grid[:, _TRIPLES[:, k]] for k in range(3))
         whole = (a >= 0) & (b >= 0) & (c >= 0)
-        return np.where(whole, (a * LETTERS + b) * LETTERS + c, -1), whole * _SPAN
+        size = len(self.letters)
+        return np.where(whole, (a * size + b) * size + c, -1), whole * _SPAN
 
     def features(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per word its distinct triples and their weights, scaled to length one."""
@@ -127,12 +133,36 @@ class StringKernel:
         return out
 
 
+class TripleWeights:
+    """A weight per letter triple, zero for all but the landmarks'.
+
+    Their number is bounded by the landmarks, whatever the number of letters; a small alphabet's
+    weights are spread out, which is only faster.
+    """
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray, triples: int) -> None:
+        self.codes, place = np.unique(codes.astype(np.int64), return_inverse=True)
+        self.values = np.bincount(place, weights=values, minlength=len(self.codes)) if len(codes) else np.zeros(0)
+        self.dense = None
+        if triples <= DENSE_TRIPLES:
+            self.dense = np.zeros(triples + 1)
+            self.dense[self.codes] = self.values
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[codes]
+        if not len(self.codes):
+            return np.zeros(codes.shape)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.values[at], 0.0)
+
+
 @dataclass
 class ToxicityModel:
     """The folded machine: a weight per letter triple, an intercept, and the calibration."""
 
     kernel: StringKernel
-    weights: np.ndarray
+    weights: TripleWeights
     intercept: float
     curve: np.ndarray
 
@@ -162,16 +192,15 @@ class ToxicityModel:
         inside = np.flatnonzero(_TRIPLES[:, 2] < length)
         if not len(inside):
             return np.full(len(words), self.intercept)
-        get = self.kernel.letters.get
-        grid = np.array([[get(c, LETTERS) for c in w] for w in words], dtype=np.int64)
+        get, size = self.kernel.letters.get, len(self.kernel.letters)
+        grid = np.array([[get(c, size) for c in w] for w in words], dtype=np.int64)
         a, b, c = (grid[:, _TRIPLES[inside, k]] for k in range(3))
-        code = np.where(np.maximum(np.maximum(a, b), c) < LETTERS, (a * LETTERS + b) * LETTERS + c, LETTERS**3)
+        code = np.where(np.maximum(np.maximum(a, b), c) < size, (a * size + b) * size + c, self.kernel.none)
         span = _SPAN[inside]
-        dot = self.weights[code] @ span
+        dot = self.weights.of(code) @ span
         return dot / self._norm(code, span) + self.intercept
 
-    @staticmethod
-    def _norm(code: np.ndarray, span: np.ndarray) -> np.ndarray:
+    def _norm(self, code: np.ndarray, span: np.ndarray) -> np.ndarray:
         """Length of the subsequence counts; equal triples inside a word add up first."""
         order = np.argsort(code, axis=1)
         code = np.take_along_axis(code, order, axis=1)
@@ -179,7 +208,7 @@ class ToxicityModel:
         last = np.concatenate([code[:, 1:] != code[:, :-1], np.ones((len(code), 1), bool)], axis=1)
         before = np.maximum.accumulate(np.where(last, running, 0.0), axis=1)
         sums = np.where(last, running - np.concatenate([np.zeros((len(code), 1)), before[:, :-1]], axis=1), 0.0)
-        square = np.where(code < LETTERS**3, sums**2, 0.0).sum(axis=1)
+        square = np.where(code < self.kernel.none, sums**2, 0.0).sum(axis=1)
         return np.sqrt(np.where(square > 0, square, 1.0))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
@@ -263,7 +292,7 @@ def fit(positive: list[set[str]], negative: list[set[str]], shared: dict[str, in
         for word in bag:
             for c in f"^{word}$":
                 letters[c] = letters.get(c, 0) + 1
-    kernel = StringKernel({c: i for i, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS])})
+    kernel = StringKernel({c: i for i, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c)))})
     # A toxic text's suspects: words that no clean text holds, or (labels err) far fewer of them.
     count: dict[str, int] = {}
     for bag in positive:
@@ -274,7 +303,7 @@ def fit(positive: list[set[str]], negative: list[set[str]], shared: dict[str, in
     bags = [b for b in bags if b]
     if not bags or not negative:
         rate = (len(positive) + 1) / (len(positive) + len(negative) + 2)
-        return ToxicityModel(kernel, np.zeros(LETTERS**3 + 1), 0.0, np.array([*[0.0] * (WORST + 1), np.log(rate / (1 - rate))]))
+        return ToxicityModel(kernel, TripleWeights(np.zeros(0), np.zeros(0), kernel.none), 0.0, np.array([*[0.0] * (WORST + 1), np.log(rate / (1 - rate))]))
 
     ranked = sorted(innocent, key=lambda w: (-shared[w], w))
     rest = ranked[FREQUENT:]
@@ -314,9 +343,8 @@ def fit(positive: list[set[str]], negative: list[set[str]], shared: dict[str, in
         y = np.concatenate([np.ones(len(chosen)), -np.ones(len(clean))])
         weight = np.concatenate([[times[w] ** 0.5 for w in chosen], np.ones(len(clean))])
         w, intercept = train_machine(x, y, weight)
-        folded = np.zeros(LETTERS**3 + 1)
-        for (triple, value), scale in zip(features, whiten @ w):
-            np.add.at(folded, triple, scale * value)
+        scaled = [scale * value for (_, value), scale in zip(features, whiten @ w)]
+        folded = TripleWeights(np.concatenate([triple for triple, _ in features]), np.concatenate(scaled), kernel.none)
         model = ToxicityModel(kernel, folded, intercept, np.zeros(WORST + 2))
         margin = dict(zip(suspects, model.pieces_margins(suspects).tolist()))
         renewed = [max(b, key=lambda t: (margin[t], t)) for b in bags]

@@ -260,6 +260,28 @@ def test_toxicity_tolerates_gaps_and_insertions(spark, documents):
     assert toxicity.with_toxicity(documents([]), model).count() == 0
 
 
+def test_insults_of_a_second_script_and_a_wide_alphabet(monkeypatch):
+    draw = random.Random(11)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(chr(0x4E00 + i) for i in range(200))]
+    clean = [["".join(draw.choice(s) for _ in range(draw.randrange(4, 8))) for _ in range(150)] for s in scripts]
+    insults = [["".join(draw.choice(s) for _ in range(7)) for _ in range(4)] for s in scripts]
+
+    def text(toxic, script):
+        return {*draw.sample(clean[script], 12), *([draw.choice(insults[script])] if toxic else [])}
+
+    positive = [text(True, i % 3) for i in range(240)]
+    negative = [text(False, i % 3) for i in range(240)]
+    shared = Counter(w for bag in negative for w in bag)
+    got = []
+    for dense in (toxicity.DENSE_TRIPLES, 0):
+        monkeypatch.setattr(toxicity, "DENSE_TRIPLES", dense)
+        model = toxicity.fit(positive, negative, dict(shared))
+        margins = [model.margins(words) for words in (*insults, *clean)]
+        assert all(bad.min() > good.max() for bad, good in zip(margins[:3], margins[3:]))
+        got.append(np.concatenate(margins))
+    assert np.allclose(got[0], got[1])
+
+
 # ---- sharding
 
 
