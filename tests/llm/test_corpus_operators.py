@@ -437,6 +437,71 @@ def test_rules_and_redirects(spark):
     assert blocked[5] == blocked[6] == "block"
 
 
+def test_links_of_every_form_against_urljoin(spark):
+    from urllib.parse import urljoin
+
+    pages = ["http://h.io", "http://h.io/", "https://h.io/a", "http://h.io/a/b/c.html?q=1#f", "http://h.io/a/b/"]
+    links = ["http://x.io/p?q", "HTTPS://X.io", "//x.io/p/", "/p", "/a/../p/./q", "p.html", "./p", "../p", "../../../p", "p/..", "?id=1", "p?id=/../1", "#top", "", "mailto:a@b.c", "javascript:x()", "a/b:c"]
+    rows = [(u, t) for u in pages for t in links]
+    made = spark.createDataFrame(rows, "url string, target string").select("url", "target", url_rules.resolved(F.col("target"), F.col("url")).alias("got"))
+    for r in made.collect():
+        want = None if r.target.startswith(("mailto:", "javascript:")) else urljoin(r.url, r.target).split("#")[0]
+        got = None if r.got is None else r.got.split("#")[0]
+        if want is not None and want.count("/") == 2:
+            want += "/" if got.endswith("/") else ""
+        assert (got or "").lower() == (want or "").lower(), (r.url, r.target)
+
+
+def test_aliases_against_union_find(spark):
+    from urllib.parse import urljoin
+
+    draw = random.Random(12)
+    hosts = ["a.net", "www.a.net", "b.io", "m.org", "www.io", "m.io", "org", "io", "c.example.com"]
+    urls = [f"http://{h}/{p}" for h in hosts for p in ("", "de/x", "en/y", "fr/z", "d/index.html", "d/")]
+    forms = ["/en/y", "../de/x", "//b.io/en/y", "z.html", "?id=1", "http://a.net/fr/z"]
+    pages = []
+    for i in range(150):
+        links = "".join(f'<link rel="canonical" href="{draw.choice(forms)}">' for _ in range(draw.choice([0, 0, 0, 1])))
+        pages.append((i, draw.choice(urls), links))
+    def spelled(url):
+        host, _, path = url.split("://", 1)[1].partition("/")
+        path, _, asked = f"/{path}".partition("?")
+        host = host[4:] if host.startswith("www.") and "." in host[4:] else host
+        path = re.sub(r"/index\.html$", "/", path)
+        return host + re.sub(r"/+$", "", re.sub(r"\.html$", "", path)) + (f"?{asked}" if asked else "")
+
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for _, url, html in pages:
+        for target in re.findall('href="([^"]+)"', html):
+            parent[find(spelled(url))] = find(spelled(urljoin(url, target)))
+    def rule(url):
+        host, _, path = url.split("://", 1)[1].partition("/")
+        fits = [r for r in url_rules.RULES if (host == r[0] or host.endswith("." + r[0])) and f"/{path}".startswith(r[1])]
+        return max(fits, key=lambda r: len(r[0]) + len(r[1]))[2] if fits else None
+
+    classes = {}
+    for _, url, _ in pages:
+        classes.setdefault(find(spelled(url)), set()).add(rule(url))
+    want = {}
+    for i, url, _ in pages:
+        held = classes[find(spelled(url))] - {None}
+        want[i] = rule(url) or ("allow" if "allow" in held or not held else "block")
+    got = url_rules.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in got} == want and set(want.values()) == {"allow", "block"}
+    same = {}
+    for r in got:
+        same.setdefault(find(spelled(pages[r.page_id][1])), set()).add(r.alias_class)
+    assert all(len(c) == 1 for c in same.values()) and len({c for s in same.values() for c in s}) == len(same)
+    assert url_rules.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 # ---- quality
 
 
