@@ -23,7 +23,7 @@ REPEAT_LIMIT = 2.0
 #: Tokens of a block of the mixed stream.
 BLOCK_TOKENS = 1 << 18
 #: Documents of a range of a permutation: a source has as many ranges, and tasks, as its size needs.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 2_000
 #: Sources that a broadcast may hold; with more, the join shuffles.
 MAX_BROADCAST_SOURCES = 100_000
 #: The name of the source of rows without one.
