@@ -529,6 +529,28 @@ def test_thresholds_limit_false_rejections(spark, documents):
     assert all(r.kept for r in nothing)
 
 
+def test_threshold_steps(spark, documents):
+    """Every stratum ends at the last step proved in order, as summed in Python; ties pass, repeats count once."""
+    from math import comb
+
+    words = " ".join(f"w{j}" for j in range(100))
+    # Of stratum aa, 20 good texts have a symbol rate of 0.3: steps that reject above 0.2 see too many.
+    rows = [(i, words + (" " + "#" * 30 if i < 20 else ""), "aa") for i in range(400)]
+    rows += [(1000 + i, words, None) for i in range(200)] * 2 + [(2000 + i, words, "few") for i in range(50)]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    measured = quality.measured(documents(rows))
+    got = {r.stratum: r for r in quality.thresholds(measured, labels).collect()}
+    assert {k: r.n_good for k, r in got.items()} == {"aa": 400, "": 200, "few": 50}
+    for r in got.values():
+        tails = [sum(comb(r.n_good, i) * 0.04**i * 0.96 ** (r.n_good - i) for i in range(k + 1)) for k in r.step_rejected]
+        proved = [t <= 0.05 / 3 for t in tails] + [False]
+        assert r.step == proved.index(False)
+    assert (got["aa"].step, got[""].step, got["few"].step) == (4, 7, 0)
+    assert got["few"].limit_symbol_rate is None and got["aa"].limit_symbol_rate == 0.3
+    kept = {r.doc_id: r.kept for r in quality.judged(documents(rows + [(1, words + " " + "#" * 90, "aa")]), labels).collect() if r.doc_id > 1}
+    assert all(kept.values())
+
+
 # ---- secrets
 
 
