@@ -10,10 +10,11 @@ escaped, reversibly. All of it is column expressions.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from lexiloom.llm.tables import query, table
 
@@ -22,7 +23,7 @@ END = "</turn>\n"
 
 @dataclass(frozen=True)
 class ListOf:
-    """Turns are the elements of a list of records."""
+    """Turns are the elements of a list of records; paths as in fingerprints, ``text`` may name parts of a list."""
 
     path: str
     role: str
@@ -31,7 +32,7 @@ class ListOf:
 
 @dataclass(frozen=True)
 class Fields:
-    """Turns are single fields, in order: (role, fields joined by an empty line)."""
+    """Turns are single fields, in order: (role, paths joined by an empty line)."""
 
     turns: tuple[tuple[str, tuple[str, ...]], ...]
 
@@ -40,6 +41,9 @@ class Fields:
 MAPPINGS: dict[tuple[str, ...], ListOf | Fields] = {
     ("messages[].content", "messages[].role"): ListOf("messages", "role", "content"),
     ("conversations[].from", "conversations[].value"): ListOf("conversations", "from", "value"),
+    ("messages[].content[].text", "messages[].role"): ListOf("messages", "role", "content[].text"),
+    ("data.messages[].content", "data.messages[].role"): ListOf("data.messages", "role", "content"),
+    ("data.messages[].content[].text", "data.messages[].role"): ListOf("data.messages", "role", "content[].text"),
     ("completion", "prompt"): Fields((("user", ("prompt",)), ("assistant", ("completion",)))),
     ("prompt", "response"): Fields((("user", ("prompt",)), ("assistant", ("response",)))),
     ("prompt", "response", "system"): Fields((("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -54,27 +58,47 @@ def fingerprint_of(paths: tuple[str, ...]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def _nested(kind: DataType) -> list[tuple[str, Callable[[Column], Column]]]:
+    """Paths below a value of this type, each with the test that a value fills it, at any depth."""
+    if isinstance(kind, StructType):
+        return [(f".{f.name}{below}", _field_test(f.name, test)) for f in kind.fields for below, test in _nested(f.dataType)]
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType)):
+        return [(f"[]{below}", _element_test(test)) for below, test in _nested(kind.elementType)]
+    return [("", Column.isNotNull)]
+
+
+def _field_test(name: str, test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda record: test(record.getField(name))
+
+
+def _element_test(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda items: F.exists(items, lambda x: test(x))
+
+
 def filled_paths(schema: StructType) -> list[tuple[str, Column]]:
-    """Every text field path of a schema with the condition that a record fills it."""
-    found: list[tuple[str, Column]] = []
-    for field in schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, StructType):
-            found += [(f"{field.name}.{f.name}", column[f.name].isNotNull()) for f in field.dataType.fields]
-        elif isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, StructType):
-            for f in field.dataType.elementType.fields:
-                found.append((f"{field.name}[].{f.name}", _any_filled(column, f.name)))
-        else:
-            found.append((field.name, column.isNotNull()))
-    return found
+    """Every field path of a schema (``data.messages[].content[].text``) with the condition that a record fills it."""
+    return [
+        (field.name + below, test(F.col(f"`{field.name}`"))) for field in schema.fields for below, test in _nested(field.dataType)
+    ]
+
+
+def _at(value: Column, path: str) -> Column:
+    """The text at ``path`` below ``value``; the parts of a list are joined, null parts left out."""
+    name, _, rest = path.partition(".")
+    inner = value.getField(name.removesuffix("[]"))
+    if name.endswith("[]"):
+        return F.array_join(F.transform(inner, lambda x: _at(x, rest) if rest else x), "")
+    return _at(inner, rest) if rest else inner
 
 
-def _any_filled(column: Column, field: str) -> Column:
-    return F.exists(column, lambda x: x[field].isNotNull())
+def _top(path: str) -> Column:
+    """The value at ``path`` of a record."""
+    name, _, rest = path.partition(".")
+    return _at(F.col(f"`{name}`"), rest) if rest else F.col(f"`{name}`")
 
 
 def _list_turns(mapping: ListOf) -> Column:
-    return F.transform(F.col(mapping.path), lambda m: _turn(_canonical_role(m[mapping.role]), m[mapping.text]))
+    return F.transform(_top(mapping.path), lambda m: _turn(_canonical_role(_at(m, mapping.role)), _at(m, mapping.text)))
 
 
 def schema_fingerprint(schema: StructType, among: set[str]) -> Column:
@@ -114,7 +138,7 @@ def canonical_turns(records: DataFrame, mappings: dict = MAPPINGS) -> DataFrame:
             made = _list_turns(mapping)
         else:
             made = F.array(*(
-                _turn(F.lit(role), F.concat_ws("\n\n", *(F.col(f"`{n}`") for n in names))) for role, names in mapping.turns
+                _turn(F.lit(role), F.concat_ws("\n\n", *(_top(n) for n in names))) for role, names in mapping.turns
             ))
         turns = F.when(mark == fingerprint_of(paths), made).otherwise(turns)
     return records.withColumn("fingerprint", schema_fingerprint(records.schema, among)).withColumn("turns", turns)

@@ -502,6 +502,34 @@ def test_aliases_against_union_find(spark):
     assert url_rules.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+# ---- layouts of any depth
+
+
+def test_nested_layouts(spark):
+    """Paths below lists in structs select their mapping; parts are joined, parts without text left out."""
+    part = "struct<type:string,text:string>"
+    schema = (
+        f"id int, messages array<struct<role:string,content:array<{part}>>>, "
+        f"data struct<messages:array<struct<role:string,content:array<{part}>>>,extra:int>, prompt string, completion string"
+    )
+    turns = [("human", [("text", "Look: "), ("image", None), ("text", "a # b")]), ("gpt", [("text", "Yes.")])]
+    rows = [
+        (1, turns, None, None, None), (2, None, (turns, 7), None, None), (3, None, None, "q", "a"),
+        (4, turns, (turns, 7), None, None), (5, None, None, None, None), (6, [("human", None)], None, None, None),
+        (7, [], None, None, None),
+    ]
+    got = {r.id: r for r in chat.canonical_turns(spark.createDataFrame(rows, schema)).collect()}
+    expected = [("user", "Look: a # b"), ("assistant", "Yes.")]
+    assert [tuple(t) for t in got[1].turns] == expected == [tuple(t) for t in got[2].turns]
+    assert got[1].fingerprint == chat.fingerprint_of(("messages[].content[].text", "messages[].role"))
+    assert got[2].fingerprint == chat.fingerprint_of(("data.messages[].content[].text", "data.messages[].role"))
+    assert [tuple(t) for t in got[3].turns] == [("user", "q"), ("assistant", "a")]
+    assert all(got[i].turns is None for i in (4, 5, 6, 7))
+    paths = {p for p, _ in chat.filled_paths(spark.createDataFrame([], schema).schema)}
+    assert {"data.messages[].content[].type", "data.extra", "messages[].role", "prompt"} <= paths
+    assert chat.canonical_turns(spark.createDataFrame([], schema)).count() == 0
+
+
 # ---- quality
 
 
