@@ -44,7 +44,7 @@ def fuzzy_lookup(
 
         return rows.withColumn(name, find(_entries(known, lowered=1)) if known else F.lit(None).cast("string"))
     wanted = rows.select(F.col(key).alias("asked")).where("asked <> ''").distinct()
-    entries = dictionary.select(F.struct("ord", "key", F.coalesce("value", F.lit("")).alias("v")).alias("ord"), F.col("key").alias("entry"), "value")
+    entries = dictionary.select(F.struct("ord", "key", F.coalesce("value", F.lit("")).alias("v")).alias("ord"), F.col("key").alias("entry"), "value").distinct()
     exact = wanted.join(entries, F.lower("asked") == F.lower("entry")).groupBy("asked").agg(
         F.min_by("value", "ord").alias("exact")
     )
@@ -81,8 +81,12 @@ def first_term(
 
 
 def default_lookup(rows: DataFrame, dictionary: DataFrame, key: str, default: str, name: str = "value") -> DataFrame:
-    """Add the value of an equal key, or the default entry."""
-    entries = dictionary.select(F.col("key").alias(key), F.col("value").alias("__found"))
+    """Add the value of an equal key, or the default entry; of a repeated key the first in dictionary order.
+
+    A dictionary without ``ord`` gives the least value. ``rows`` gain and lose no rows.
+    """
+    first = F.min_by("value", F.struct("ord", "value")) if "ord" in dictionary.columns else F.min("value")
+    entries = dictionary.where("value IS NOT NULL").groupBy(F.col("key").alias(key)).agg(first.alias("__found"))
     return rows.join(entries, key, "left").withColumn(name, F.coalesce("__found", F.lit(default))).drop("__found")
 
 
@@ -92,7 +96,13 @@ def percent_decoded(text: Column) -> Column:
 
 
 def status_lookup(asked: DataFrame, statuses: DataFrame, asked_id: str = "document_id", valid: tuple[str, ...] = ()) -> DataFrame:
-    """Status of a document by its raw id, else by its URL-decoded id; unknown states are not found."""
+    """Status of a document by its raw id, else by its URL-decoded id; unknown states are not found.
+
+    Of several rows of a document the least status counts, an unprotected one first; ``asked``
+    gains and loses no rows.
+    """
+    least = F.min(F.struct("status", "protected"))
+    statuses = statuses.groupBy("document_id").agg(least.alias("__least")).select("document_id", "__least.*")
     raw = statuses.select(F.col("document_id").alias("__raw"), F.struct("status", "protected").alias("__by_raw"))
     decoded = statuses.select(F.col("document_id").alias("__dec"), F.struct("status", "protected").alias("__by_dec"))
     joined = asked.join(raw, asked[asked_id] == F.col("__raw"), "left").join(

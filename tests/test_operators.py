@@ -309,3 +309,32 @@ def test_documents_that_share_a_prefix_keep_their_own_context(spark, few):
     assert plain(found.select("query_id", "n_chunks", "context")) == [(1, 1, "Apples are red."), (2, 1, "Trains are late.")]
     both = R.retrieve(asked, chunks, k=2, max_broadcast_queries=few)
     assert {r.n_chunks for r in both.collect()} == {2}
+
+
+def test_lookups_keep_rows_on_repeated_keys(spark):
+    from lexiloom.operators import lookups
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "id int, k string")
+    entries = [(2, "a", "late"), (1, "a", "early"), (3, "b", None), (4, None, "none"), (1, "a", "early")]
+    dictionary = spark.createDataFrame(entries, "ord int, key string, value string")
+    got = {r.id: r.value for r in lookups.default_lookup(rows, dictionary, "k", "other").collect()}
+    assert got == {1: "early", 2: "other", 3: "other", 4: "early"}
+    plain = lookups.default_lookup(rows, dictionary.select("key", "value"), "k", "other").collect()
+    assert sorted((r.id, r.value) for r in plain) == [(1, "early"), (2, "other"), (3, "other"), (4, "early")]
+    assert lookups.default_lookup(rows, dictionary.limit(0), "k", "other").where("value = 'other'").count() == 4
+    # limit=0 takes the joined form, which has to agree with the one inside the row.
+    forms = [
+        sorted((r.id, r.value) for r in lookups.fuzzy_lookup(rows, dictionary, "k", limit=n).collect()) for n in (0, 512)
+    ]
+    assert forms[0] == forms[1] and len(forms[0]) == 4
+
+    asked = spark.createDataFrame([("a%20b",), ("a%20b",), ("c",), (None,)], "document_id string")
+    states = spark.createDataFrame(
+        [("a b", "ready", True), ("a b", "ready", False), ("c", "failed", None), (None, "ready", True)],
+        "document_id string, status string, protected boolean",
+    )
+    found = lookups.status_lookup(asked, states).collect()
+    assert sorted(((r.document_id or ""), r.found, r.rag_status, r.cache_protected) for r in found) == [
+        ("", False, None, None), ("a%20b", True, "ready", False), ("a%20b", True, "ready", False), ("c", True, "failed", None),
+    ]
+    assert lookups.status_lookup(asked.limit(0), states).count() == 0
