@@ -11,13 +11,13 @@ from lexiloom.catalog.fixtures import (
 from lexiloom.catalog.registry import query
 from lexiloom.functions.text import html_to_text, sentences
 from lexiloom.functions.vectors import model_embedding
-from lexiloom.operators import chunking as C, quantised as Q
+from lexiloom.operators import chunking as C, quantised as Q, sections as S
 from lexiloom.operators.knn import knn, within
 from lexiloom.operators.ordering import row_numbers
 from lexiloom.operators.substring import containments
 from lexiloom.plans import retrieval as R
 from lexiloom.plans.ingest import ingest_documents
-from lexiloom.session import scratch_path
+from lexiloom.session import cut_lineage, scratch_path
 from lexiloom.sources.chunk_table import compact, count_chunks, get_chunks_of, open_chunks, open_versions, save_chunks, vacuum
 from lexiloom.sources.documents import directory_chunks, write_files
 
@@ -56,6 +56,31 @@ def semantic_chunks(spark, sf):
     return chunks(spark, sf).select("chunk_id", "chunk_prefix", "ordinal", "text")
 
 
+def _parts(spark, sf, characters: int = 97):
+    """The documents cut into parts, in the middle of words and sentences."""
+    cuts = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.length("text") / characters)),
+        lambda i: F.struct(i.alias("part"), F.substr("text", i * characters + 1, F.lit(characters)).alias("text")),
+    )
+    return documents(spark, sf).select("url", "metadata", F.inline(cuts))
+
+
+@query("section_sentences", sql("SELECT url, pos, s AS sentence FROM sents", "sents"))
+def section_sentences(spark, sf):
+    return S.section_sentences(_parts(spark, sf))
+
+
+@query("section_threshold", sql("SELECT url, round(threshold, 9) AS threshold FROM thresholds", "thresholds"))
+def section_threshold(spark, sf):
+    blocks = cut_lineage(S.section_blocks(S.section_sentences(_parts(spark, sf)), block=8))
+    return S.section_thresholds(blocks).select("url", F.round("threshold", 9).alias("threshold"))
+
+
+@query("section_chunks", sql("SELECT chunk_id, chunk_prefix, ordinal, text FROM chunk_texts", "chunk_texts"))
+def section_chunks(spark, sf):
+    return S.section_chunks(_parts(spark, sf), block=8).select("chunk_id", "chunk_prefix", "ordinal", "text")
+
+
 @query("chunk_ids", sql(r"""
     SELECT chunk_prefix || '_' || (pos - 1) AS chunk_id, chunk_prefix, CAST(pos - 1 AS INTEGER) AS ordinal,
            CAST(len(regexp_extract_all(lower(s), '[\p{L}\p{N}]+')) AS DOUBLE) AS n_terms FROM sents""", "sents"))

@@ -14,8 +14,13 @@ def sentences(text: Column) -> Column:
 
     A sentence ends at ``.``, ``!`` or ``?`` followed by white space.
     """
+    return F.filter(fragments(text), lambda s: s != "")
+
+
+def fragments(text: Column) -> Column:
+    """What stands between sentence boundaries, empty strings at the ends included."""
     marked = F.regexp_replace(text, r"([.!?])\s+", "$1" + _BOUNDARY)
-    return F.filter(F.split(F.coalesce(marked, F.lit("")), _BOUNDARY), lambda s: s != "")
+    return F.split(F.coalesce(marked, F.lit("")), _BOUNDARY)
 
 
 # The named character references that are resolved, in this order.

@@ -109,3 +109,20 @@ def previous_values(
     return joined.select(
         *df.columns, F.when(F.col("__first"), F.col("__carry.v")).otherwise(F.col("__lag")).alias(name)
     )
+
+
+def latest_values(
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, max_group: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """The last non-null ``value`` of the earlier rows of a key; ``order`` must be unique per key."""
+
+    def latest(window: WindowSpec) -> Column:
+        return F.last(value, ignorenulls=True).over(_earlier(window))
+
+    if largest_group(df, keys) <= max_group:
+        return df.withColumn(name, latest(Window.partitionBy(*keys).orderBy(*order)))
+    rows = sliced(df, keys, order)
+    part = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
+    carries = _carries(rows, keys, part, lambda v, across: F.last(v, ignorenulls=True).over(_earlier(across)))
+    joined = _with_carry(rows.withColumn("__latest", latest(Window.partitionBy(*keys, _SLICE).orderBy(*order))), carries, keys)
+    return joined.select(*df.columns, F.coalesce("__latest", "__carry").alias(name))

@@ -26,6 +26,24 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_sections(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
+    """Lines of the files below a directory as ``url, part, text, metadata``, for files larger than a row.
+
+    Large files are read by several tasks. ``part`` orders the lines of a file: the start of
+    the split and the line's place in it. Every line ends with a line feed, the last one too.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    )
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.select(
+        F.col("_metadata.file_path").alias("url"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), place.alias("line")).alias("part"),
+        F.concat("value", F.lit("\n")).alias("text"),
+        F.create_map(F.lit("file_name"), F.col("_metadata.file_name")).alias("metadata"),
+    )
+
+
 def write_files(texts: DataFrame, directory: str, name: str = "file_name", text: str = "text") -> None:
     """Write one file per row into a shared directory; a repeated task writes the same files."""
 
