@@ -285,21 +285,81 @@ def test_insults_of_a_second_script_and_a_wide_alphabet(monkeypatch):
 # ---- sharding
 
 
-def test_best_fit_decreasing_against_plain_search():
-    draw = random.Random(2)
-    sizes = [draw.randrange(1, 60) for _ in range(300)]
-    bins, opened = sharding.best_fit_decreasing(sizes, 100)
-    room, mine = [], {}
-    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        fit = [(r, b) for b, r in enumerate(room) if r >= sizes[item]]
-        if fit:
-            _, b = min(fit)
+def plain_best_fit(sizes, capacity):
+    """Item by item, every bin looked at."""
+    rooms, bins = [], []
+    for size in sorted(sizes, reverse=True):
+        fitting = [(room, at) for at, room in enumerate(rooms) if room >= size]
+        if fitting:
+            at = min(fitting)[1]
         else:
-            b = len(room)
-            room.append(100)
-        room[b] -= sizes[item]
-        mine[item] = b
-    assert bins == [mine[i] for i in range(len(sizes))] and opened == len(room)
+            at = len(rooms)
+            rooms.append(max(capacity, size))
+        rooms[at] -= size
+        bins.append((size, at))
+    return bins, len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_best_fit_decreasing_against_plain_search(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, rng.choice([3, 20, 130])) for _ in range(rng.choice([1, 30, 400]))]
+    wanted, opened = plain_best_fit(sizes, 100)
+    runs, bins = sharding.best_fit_decreasing(sorted(Counter(sizes).items()), 100)
+    assert [(size, at) for size, at, _, count in runs for _ in range(count)] == wanted and bins == opened
+    assert sharding.best_fit_decreasing(sorted(Counter(sizes).items()), 100, opened - 1) is None
+    ranks = defaultdict(list)
+    for size, _, first, count in runs:
+        ranks[size] += range(first, first + count)
+    assert ranks == {size: list(range(n)) for size, n in Counter(sizes).items()}
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_open_bins_against_a_sorted_list(seed):
+    rng, tree, plain = random.Random(seed), sharding.OpenBins(), []
+    for at in range(3_000):
+        if rng.random() < 0.55:
+            plain.append((rng.randint(1, 300), at))
+            tree.add(plain[-1])
+        else:
+            size = rng.randint(1, 320)
+            best = min((b for b in plain if b[0] >= size), default=None)
+            assert tree.take_tightest(size) == best
+            if best:
+                plain.remove(best)
+
+    def depth(node):
+        return 1 + max(depth(node.left), depth(node.right)) if node else 0
+
+    assert depth(tree._root) <= 2 * len(plain).bit_length() + 1
+
+
+def test_packed_capacity_is_feasible_and_near_the_mean():
+    rng = random.Random(3)
+    sizes = Counter(rng.randint(1, 2_000) for _ in range(5_000)) + Counter([40_000] * 3)
+    total = sum(s * n for s, n in sizes.items())
+    runs, capacity = sharding.pack_into(sorted(sizes.items()), 16)
+    loads = Counter()
+    for size, at, _, count in runs:
+        loads[at] += size * count
+    assert set(loads) <= set(range(16)) and sum(loads.values()) == total
+    assert max(loads.values()) <= capacity <= total / 16 + 2
+    assert sharding.pack_into([], 16) == ([], 0)
+    assert sharding.pack_into([(7, 3)], 2)[1] == 14
+
+
+def test_shards_hold_hot_texts_whole_and_even_bytes(documents):
+    docs = documents([(i, "hot text" if i % 3 == 0 else f"text {i} " * (i % 11)) for i in range(3_000)] + [(None, "n")] * 50)
+    got = sharding.assign_shards(docs, 5).collect()
+    assert len(got) == 3_050
+    by_text, loads, slots = defaultdict(set), Counter(), defaultdict(list)
+    for r in got:
+        by_text[r.text_crc32].add(r.shard)
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(len(s) == 1 for s in by_text.values()) and len(loads) == 5
+    assert max(loads.values()) - min(loads.values()) <= 5
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 def test_shards_keep_groups_and_count_slots(documents):
