@@ -90,7 +90,8 @@ def _packed(tokens: list[np.ndarray], marks: list[int], bits: int) -> Iterator[p
 
     A posting is one integer: 24 token bits above the 40-bit mark of its set. A token with
     many holders in this block keeps two postings; the other holders are counted as sharing
-    it on the spot, so that a token of very many sets stays small in the shuffle.
+    it on the spot, so that a token of very many sets stays small in the shuffle. So are
+    tokens of one set with the same posting: the counts may be too high, never too low.
     """
     lengths = [len(t) for t in tokens]
     if not sum(lengths):
@@ -103,12 +104,13 @@ def _packed(tokens: list[np.ndarray], marks: list[int], bits: int) -> Iterator[p
     order = np.lexsort((posting, bucket))
     bucket, posting = bucket[order], posting[order]
     fresh = np.concatenate([[True], (posting[1:] != posting[:-1]) | (bucket[1:] != bucket[:-1])])
+    doubles = posting[~fresh]
     bucket, posting = bucket[fresh], posting[fresh]
     starts, sizes = _runs((bucket << 24) | (posting >> np.uint64(40)).astype(np.int64))
     nth = np.arange(len(posting)) - np.repeat(starts, sizes)
     settled = nth >= 2
-    if settled.any():
-        found, counts = np.unique(posting[settled] & _MARK, return_counts=True)
+    if settled.any() or len(doubles):
+        found, counts = np.unique(np.concatenate([posting[settled], doubles]) & _MARK, return_counts=True)
         yield _rows({"bucket": (found % np.uint64(1 << bits)).astype(np.int32), "mark": found.astype(_SIGNED), "shared": counts})
         bucket, posting = bucket[~settled], posting[~settled]
     starts, sizes = _runs(bucket)
@@ -128,14 +130,15 @@ def _describe(bits: int, width: int):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             doc_ids = batch.column("doc_id")
-            rows, tokens, marks, held = [], [], [], 0
+            rows, tokens, marks, held, packed = [], [], [], 0, set()
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
                 own = document_set(text, ids, width)
                 fp = fingerprint(own) if len(own) else None
                 doc_id = doc_ids[i].as_py()
                 rows.append((doc_id, len(own), fp, _minimum_hashes(own) if len(own) else None, len(_lower_half(own))))
-                if len(own):
+                if len(own) and fp not in packed:
+                    packed.add(fp)
                     tokens.append(_lower_half(own))
                     marks.append(fp & int(_MARK))
                 held += len(text or b"")
@@ -143,7 +146,7 @@ def _describe(bits: int, width: int):
                     yield from _packed(tokens, marks, bits)
                     doc, n, fps, keys, half = map(list, zip(*rows))
                     yield _rows({"bucket": [(d or 0) % (1 << bits) for d in doc], "doc_id": doc, "n": n, "fp": fps, "keys": keys, "shared": half})
-                    rows, tokens, marks, held = [], [], [], 0
+                    rows, tokens, marks, held, packed = [], [], [], 0, set()
 
     return run
 

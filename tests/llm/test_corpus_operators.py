@@ -282,6 +282,13 @@ def test_insults_of_a_second_script_and_a_wide_alphabet(monkeypatch):
     assert np.allclose(got[0], got[1])
 
 
+def test_equal_postings_of_one_set_count_as_shared():
+    tokens = [np.array([8, 9, 10, 1 << 50], np.uint64), np.array([1 << 51], np.uint64)]
+    found = [r for batch in ngram_join._packed(tokens, [5, 6], 2) for r in batch.to_pylist()]
+    assert [(r["mark"], r["shared"]) for r in found if r["postings"] is None] == [(5, 2)]
+    assert sum(len(r["postings"]) // 8 for r in found if r["postings"]) == 3
+
+
 # ---- sharding
 
 
