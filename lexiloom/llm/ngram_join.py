@@ -36,6 +36,8 @@ from lexiloom.session import cut_lineage
 
 #: Minimum hashes per set, each a chance to meet a leader.
 HASHES = 6
+#: A minimum hash of more than this share of the sets is hot.
+HOT_SHARE = 1 / 256
 #: Text bytes whose postings are sorted and packed together; bounds the memory of a task.
 PACK_BYTES = 4 << 20
 #: Documents per token bucket.
@@ -263,12 +265,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def leader_pairs(able: DataFrame, percent: int = 75) -> DataFrame:
-    """Every set with the least set that has the same minimum hash, for each of the hashes."""
+    """Every set with the least set that has the same minimum hash, for each of the hashes.
+
+    A hash held by more than ``HOT_SHARE`` of the sets meets its leader by a broadcast; there
+    are fewer than ``HASHES / HOT_SHARE`` such hashes. The others are shuffled.
+    """
     keyed = able.select("rep", "n", F.posexplode("keys").alias("nth", "key"))
     leaders = keyed.groupBy("nth", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    leaders = cut_lineage(leaders)
+    hot = F.col("size") > able.count() * HOT_SHARE
+    told = keyed.join(F.broadcast(leaders.where(hot).select("nth", "key", F.col("lead").alias("own"))), ["nth", "key"], "left")
+    met = told.where("own is not null").select("rep", "n", F.col("own").alias("lead")).union(
+        told.where("own is null").join(leaders.where(~hot), ["nth", "key"]).select("rep", "n", "lead")
+    )
     return (
-        keyed.join(leaders, ["nth", "key"])
-        .where(f"rep <> lead.rep and 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
+        met.where(f"rep <> lead.rep and 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
         .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
     )
 

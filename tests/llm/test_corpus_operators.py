@@ -282,6 +282,19 @@ def test_insults_of_a_second_script_and_a_wide_alphabet(monkeypatch):
     assert np.allclose(got[0], got[1])
 
 
+def test_leaders_of_hot_and_rare_hashes(spark):
+    rng = random.Random(4)
+    sets = [(rep, rng.randint(8, 12), [0 if rng.random() < 0.4 else rng.randrange(400) for _ in range(6)]) for rep in range(3_000)]
+    able = spark.createDataFrame(sets, "rep long, n long, keys array<long>")
+    least, wanted = {}, set()
+    for rep, n, keys in sets:
+        for at in enumerate(keys):
+            lead, size = least.setdefault(at, (rep, n))
+            if lead != rep and 100 * min(n, size) >= 75 * max(n, size):
+                wanted.add((lead, rep))
+    assert rows(ngram_join.leader_pairs(able), "a", "b") == sorted(wanted, key=repr)
+
+
 def test_equal_postings_of_one_set_count_as_shared():
     tokens = [np.array([8, 9, 10, 1 << 50], np.uint64), np.array([1 << 51], np.uint64)]
     found = [r for batch in ngram_join._packed(tokens, [5, 6], 2) for r in batch.to_pylist()]
