@@ -17,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lexiloom.dimensions import TOP_K
 from lexiloom.operators.knn import (
-    MAX_BROADCAST_QUERIES, QUERY_BLOCK, _arrow_schema, _distances, _ids, _matrix, _ranked, _result_type, _Running, _unit,
+    MAX_BROADCAST_QUERIES, QUERY_BLOCK, TILE_VALUES, _arrow_schema, _cut, _ids, _matrix, _pair_distances, _ranked,
+    _result_type, _Running, _unit, every_pair,
 )
 from lexiloom.session import cut_lineage
 
@@ -34,6 +36,7 @@ DEPTH = 100
 #: Codes of a tile, some 16 MB, where there are too many queries to broadcast.
 TILE_CODES = 500_000
 _STEP = 4096
+_CANDIDATE_BYTES = 48  # of a candidate on its way to the ranking, about
 
 
 def _parted(vectors: np.ndarray, parts: int) -> np.ndarray:
@@ -85,15 +88,19 @@ def _decoded(codes: pa.Array | pa.ChunkedArray, book: np.ndarray) -> np.ndarray:
 
 
 def _code_distances(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    """Distances of unit queries to decoded vectors, to as many places as exact ones."""
-    return np.floor((1.0 - queries @ corpus.T) * 1e12 + 0.5) / 1e12
+    """Distance of every unit query to the decoded vector of its row, to as many places as exact ones."""
+    return np.floor((1.0 - np.einsum("ij,ij->i", queries, corpus)) * 1e12 + 0.5) / 1e12
 
 
-def _looked_up(best: _Running, points: np.ndarray, ids: np.ndarray, codes: pa.Array | pa.ChunkedArray, book: np.ndarray) -> None:
+def _best_codes(points: np.ndarray, book: np.ndarray, depth: int) -> _Running:
+    """Best codes of unit queries; a decoded vector is no longer than the longest words of all parts together."""
+    longest = float(np.sqrt((book**2).sum(axis=2).max(axis=1, initial=0.0).sum()))
+    return _Running(depth, points, lambda v: v.astype(np.float32), _code_distances, longest)
+
+
+def _looked_up(best: _Running, ids: np.ndarray, codes: pa.Array | pa.ChunkedArray, book: np.ndarray) -> None:
     for low in range(0, len(ids), _STEP):
-        corpus = _decoded(codes.slice(low, _STEP), book)
-        for first in range(0, len(points), 512):
-            best.add(first, points[first : first + 512], ids[low : low + _STEP], corpus)
+        best.add(ids[low : low + _STEP], _decoded(codes.slice(low, _STEP), book))
 
 
 def _points(vectors: np.ndarray, parts: int) -> np.ndarray:
@@ -106,9 +113,9 @@ def _scanned(rows: list, codes: DataFrame, out: T.StructType, book: Broadcast, d
     shared = codes.sparkSession.sparkContext.broadcast(_points(np.array([r[1] for r in rows], dtype=np.float64), len(book.value)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Running(depth, _code_distances)
+        best = _best_codes(shared.value, book.value, depth)
         for batch in batches:
-            _looked_up(best, shared.value, _ids(batch.column(0)), batch.column(1), book.value)
+            _looked_up(best, _ids(batch.column(0)), batch.column(1), book.value)
         found = best.result()
         if found is not None:
             yield pa.RecordBatch.from_arrays([
@@ -122,30 +129,25 @@ def _scanned(rows: list, codes: DataFrame, out: T.StructType, book: Broadcast, d
 def _tiled(queries: DataFrame, codes: DataFrame, out: T.StructType, book: Broadcast, depth: int, tile: int, block: int) -> DataFrame:
     """Tiles of codes against blocks of queries; each pair yields at most ``depth`` rows a query."""
     schema = _arrow_schema(out)
-    shards, blocks = (F.lit(max(1, -(-n // size))) for n, size in ((codes.count(), tile), (queries.count(), block)))
-
-    def every(number: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), number - 1))
-
-    def place(of: str, number: Column) -> Column:
-        return F.pmod(F.xxhash64(of), number).cast("int")
-
-    asked = queries.withColumn("block", place("query_id", blocks)).withColumn("shard", every(shards))
-    held = codes.withColumn("shard", place("item_id", shards)).withColumn("block", every(blocks))
+    n_queries, n_codes = queries.count(), codes.count()
+    wide = book.value.shape[0] * book.value.shape[2]
+    blocks, tiles = _cut(
+        n_queries, n_codes, wide * 4 + depth * _CANDIDATE_BYTES, book.value.shape[0] + 16,
+        codes.sparkSession.sparkContext.defaultParallelism, min(block, max(TILE_VALUES // max(wide, 1, 4 * depth), 1)), tile,
+    )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        best = _Running(depth, _code_distances)
-        points = _points(_matrix(left.column("vector")), len(book.value))
-        _looked_up(best, points, _ids(right.column("item_id")), right.column("code").combine_chunks(), book.value)
-        rows, ids, distances = best.result()
-        return pa.Table.from_arrays([
-            left.column("query_id").take(pa.array(rows)).cast(schema.field(0).type),
-            pa.array(ids, type=schema.field(1).type), pa.array(distances, type=pa.float64()),
-        ], schema=schema)
+        # Positions stand for ids; they are in the same order.
+        right = right.take(pc.sort_indices(right.column(0), null_placement="at_start"))
+        best = _best_codes(_points(_matrix(left.column(1)), len(book.value)), book.value, depth)
+        _looked_up(best, np.arange(right.num_rows), right.column(1).combine_chunks(), book.value)
+        rows, found, distances = best.result() or (np.zeros(0, int),) * 3
+        return pa.Table.from_arrays(
+            [left.column(0).take(pa.array(rows)), right.column(0).take(pa.array(found)), pa.array(distances, pa.float64())],
+            names=schema.names,
+        )
 
-    return asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(compare, out)
+    return every_pair(queries, codes, blocks, tiles, out, compare)
 
 
 def _exact(pairs: DataFrame, out: T.StructType) -> DataFrame:
@@ -157,8 +159,8 @@ def _exact(pairs: DataFrame, out: T.StructType) -> DataFrame:
             for low in range(0, batch.num_rows, _STEP):
                 part = batch.slice(low, _STEP)
                 a, b = (_matrix(part.column(i)) for i in (2, 3))
-                far = np.array([_distances(x[None], y[None])[0, 0] for x, y in zip(a, b)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(far, pa.float64())], schema=schema)
+                far = pa.array(_pair_distances(a, b), pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), far], schema=schema)
 
     return pairs.mapInArrow(measure, out)
 
