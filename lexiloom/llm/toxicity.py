@@ -43,6 +43,8 @@ HARD = 1500
 LIFT, FAIR = 10, 0.02
 #: Probability at which a text is called toxic.
 THRESHOLD = 0.7
+#: Words whose triples are held at a time; the fit runs on the driver.
+WORDS_AT_ONCE = 512
 #: Word scores remembered per task; dropped and begun anew beyond that.
 REMEMBERED = 400_000
 
@@ -125,11 +127,12 @@ class StringKernel:
         for j, (triple, value) in enumerate(made):
             dense[np.searchsorted(known, triple), j] = value
         out = np.zeros((len(words), len(landmarks)))
-        for i, (triple, value) in enumerate(self.features(words)):
-            if len(triple) and len(known):
-                at = np.minimum(np.searchsorted(known, triple), len(known) - 1)
-                here = known[at] == triple
-                out[i] = value[here] @ dense[at[here]]
+        for low in range(0, len(words), WORDS_AT_ONCE):
+            for i, (triple, value) in enumerate(self.features(words[low : low + WORDS_AT_ONCE]), low):
+                if len(triple) and len(known):
+                    at = np.minimum(np.searchsorted(known, triple), len(known) - 1)
+                    here = known[at] == triple
+                    out[i] = value[here] @ dense[at[here]]
         return out
 
 
@@ -184,8 +187,10 @@ class ToxicityModel:
         lengths = np.array([len(w) for w in words])
         # Words of equal length share their triples, so short words cost little.
         for length in np.unique(lengths):
-            at = np.flatnonzero(lengths == length)
-            value[at] = self._same_length([words[i] for i in at], int(length))
+            same = np.flatnonzero(lengths == length)
+            for low in range(0, len(same), WORDS_AT_ONCE):
+                at = same[low : low + WORDS_AT_ONCE]
+                value[at] = self._same_length([words[i] for i in at], int(length))
         return value
 
     def _same_length(self, words: list[str], length: int) -> np.ndarray:
@@ -238,8 +243,9 @@ def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
     for _ in range(60):
         slack = 1 - y * (z @ w)
         on = slack > 0
-        gradient = ridge * w - (z[on] * (weight[on] * y[on] * slack[on])[:, None]).sum(axis=0)
-        hessian = np.diag(ridge) + (z[on] * weight[on][:, None]).T @ z[on]
+        near = z[on]
+        gradient = ridge * w - (near * (weight[on] * y[on] * slack[on])[:, None]).sum(axis=0)
+        hessian = np.diag(ridge) + (near * weight[on][:, None]).T @ near
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -259,13 +265,23 @@ def first_witnesses(bags: list[list[str]], negative: list[set[str]], n_positive:
     A piece tells by the difference of the shares of toxic and of clean texts that hold it, in
     standard errors.
     """
+    names: dict[str, str] = {}  # every piece once, whatever the number of its words
+    known: dict[str, tuple[str, ...]] = {}
+
+    def pieces_of(word: str) -> tuple[str, ...]:
+        own = known.get(word)
+        if own is None:
+            own = tuple(names.setdefault(piece, piece) for piece in _pieces(word))
+            if len(known) < 200_000:
+                known[word] = own
+        return own
+
     def held(texts) -> dict[str, int]:
         counts: dict[str, int] = {}
-        known: dict[str, set[str]] = {}
         for text in texts:
             own: set[str] = set()
             for word in text:
-                own |= known.setdefault(word, _pieces(word)) if len(known) < 200_000 else _pieces(word)
+                own.update(pieces_of(word))
             for piece in own:
                 counts[piece] = counts.get(piece, 0) + 1
         return counts
@@ -405,9 +421,10 @@ def train(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) ->
         .mapInArrow(_bags, "toxic int, words array<string>").toArrow()
     )
     toxic = bags.column("toxic").to_numpy()
-    words = bags.column("words").to_pylist()
-    positive = [set(w) for w, t in zip(words, toxic) if t == 1]
-    negative = [set(w) for w, t in zip(words, toxic) if t == 0]
+    names: dict[str, str] = {}  # every word once, whatever the number of its texts
+    words = [{names.setdefault(w, w) for w in bag.as_py()} for bag in bags.column("words")]
+    positive = [w for w, t in zip(words, toxic) if t == 1]
+    negative = [w for w, t in zip(words, toxic) if t == 0]
     shared: dict[str, int] = {}
     for bag in negative:
         for word in bag:
