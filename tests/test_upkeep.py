@@ -322,3 +322,22 @@ def test_sketches_hold_their_bound_over_ranges(spark, tmp_path):
     for name, first, last in ranges:
         exact = len({i % 17_011 for i in range(60_000) if first <= i % 20 <= last})
         assert abs(got[name] - exact) <= 3 * 0.01625 * exact + 1
+
+
+def test_elements_are_put_together_inside_their_split(spark, tmp_path):
+    import json
+
+    whole = json.dumps([{"request_id": f"r{i}", "response": {"answers": [str(i)] * (i % 5)}} for i in range(300)], indent=2)
+    (tmp_path / "requests_2024-01-01.json").write_text(whole)
+    lines = spark.read.text(str(tmp_path)).select(F.lit("f").alias("file"), F.lit(0).cast("long").alias("split"), "value")
+    pieces = lines.coalesce(1).mapInArrow(R._gather(2), R._PIECES).collect()
+    # One row an element, of which only the last may go on in another split.
+    assert [p.nth for p in pieces] == list(range(1, 301)) and [p.edge for p in pieces] == [False] * 299 + [True]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("150", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = R.split_json_days(spark, str(tmp_path)).select("element", "record.request_id", "record.response.answers").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert sorted((r.element, r.request_id, r.answers) for r in found) == [(i + 1, f"r{i}", [str(i)] * (i % 5)) for i in range(300)]
