@@ -341,3 +341,19 @@ def test_elements_are_put_together_inside_their_split(spark, tmp_path):
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         assert sorted((r.element, r.request_id, r.answers) for r in found) == [(i + 1, f"r{i}", [str(i)] * (i % 5)) for i in range(300)]
+
+
+def test_hashed_terms_equal_plain_search(monkeypatch):
+    """Terms of any length, over the ends of hashed windows and next to the ends of rows."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "_WINDOW", 64)
+    draw = random.Random(1)
+    letters = "abé€😀 \x00"
+    for _ in range(40):
+        texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(12)]
+        own = {t[i : i + draw.randint(1, 40)] for t in texts for i in [draw.randint(0, 20)] if t[i:]}
+        terms = sorted(own | {"".join(draw.choice(letters) for _ in range(draw.randint(1, 12))) for _ in range(20)} | {"x" * 200})
+        rows, numbers = S._Terms(pa.array(terms)).hits(*S.byte_view(pa.array(texts, pa.string())))
+        want = sorted((i, j) for i, t in enumerate(texts) for j, w in enumerate(terms) if w in t)
+        assert list(zip(rows.tolist(), numbers.tolist())) == want
