@@ -58,10 +58,9 @@ def semantic_chunks(spark, sf):
 
 def _parts(spark, sf, characters: int = 97):
     """The documents cut into parts, in the middle of words and sentences."""
-    cuts = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.length("text") / characters)),
-        lambda i: F.struct(i.alias("part"), F.substr("text", i * characters + 1, F.lit(characters)).alias("text")),
-    )
+    # One pass over the text, whatever its length; the part after the last one is empty.
+    pieces = F.concat(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{characters}}}"), 0), F.array(F.lit("")))
+    cuts = F.transform(pieces, lambda s, i: F.struct(i.cast("long").alias("part"), s.alias("text")))
     return documents(spark, sf).select("url", "metadata", F.inline(cuts))
 
 
@@ -72,7 +71,7 @@ def section_sentences(spark, sf):
 
 @query("section_threshold", sql("SELECT url, round(threshold, 9) AS threshold FROM thresholds", "thresholds"))
 def section_threshold(spark, sf):
-    blocks = cut_lineage(S.section_blocks(S.section_sentences(_parts(spark, sf)), block=8))
+    blocks = cut_lineage(S.section_blocks(S.section_sentences(_parts(spark, sf)), block=8).select("url", "dists"))
     return S.section_thresholds(blocks).select("url", F.round("threshold", 9).alias("threshold"))
 
 

@@ -33,7 +33,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits (any script)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]++"), 0)
 
 
 def bucket(token: Column, dim: int = EMBEDDING_DIM) -> Column:

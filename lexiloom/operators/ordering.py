@@ -25,6 +25,11 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def _spreads(df: DataFrame, keys: list[str], max_group: int, largest: int | None) -> bool:
+    """Whether rows have to be sliced; ``largest`` is a known upper bound of the groups, which saves measuring them."""
+    return (largest_group(df, keys) if largest is None else largest) > max_group
+
+
 def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows with a slice number that grows with ``(keys, order)``.
 
@@ -77,7 +82,7 @@ def row_numbers(
 
 def running_sum(
     df: DataFrame, keys: list[str], order: list[str], value: str, name: str, inclusive: bool = True,
-    max_group: int = MAX_GROUP_ROWS,
+    max_group: int = MAX_GROUP_ROWS, largest: int | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` per key; exclusive of the current row if asked."""
     end = 0 if inclusive else -1
@@ -86,7 +91,7 @@ def running_sum(
         window = Window.partitionBy(*keys_).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return F.coalesce(F.sum(value).over(window), F.lit(0))
 
-    if largest_group(df, keys) <= max_group:
+    if not _spreads(df, keys, max_group, largest):
         return df.withColumn(name, up_to_here(keys))
     rows = sliced(df, keys, order)
     carries = _carries(rows, keys, F.sum(value), lambda s, across: F.sum(s).over(_earlier(across)))
@@ -95,10 +100,11 @@ def running_sum(
 
 
 def previous_values(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "previous", max_group: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "previous", max_group: int = MAX_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """``lag(value) over (partition by keys order by order)``; ``order`` must be unique per key."""
-    if largest_group(df, keys) <= max_group:
+    if not _spreads(df, keys, max_group, largest):
         return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     rows = sliced(df, keys, order)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*order)
@@ -112,14 +118,15 @@ def previous_values(
 
 
 def latest_values(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, max_group: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, max_group: int = MAX_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """The last non-null ``value`` of the earlier rows of a key; ``order`` must be unique per key."""
 
     def latest(window: WindowSpec) -> Column:
         return F.last(value, ignorenulls=True).over(_earlier(window))
 
-    if largest_group(df, keys) <= max_group:
+    if not _spreads(df, keys, max_group, largest):
         return df.withColumn(name, latest(Window.partitionBy(*keys).orderBy(*order)))
     rows = sliced(df, keys, order)
     part = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))

@@ -26,7 +26,7 @@ from lexiloom.dimensions import BREAKPOINT_PERCENTILE, NEIGHBOUR_BUFFER
 from lexiloom.functions.text import fragments
 from lexiloom.functions.vectors import encode, neighbour_distances
 from lexiloom.operators.chunking import chunk_rows, with_segments
-from lexiloom.operators.ordering import MAX_GROUP_ROWS, latest_values, previous_values, running_sum
+from lexiloom.operators.ordering import MAX_GROUP_ROWS, largest_group, latest_values, previous_values, running_sum
 from lexiloom.session import cut_lineage
 
 #: Sentences of a block: bounds the arrays of one row.
@@ -37,23 +37,25 @@ BINS = 4_096
 _ORDER = ["at", "tie"]
 
 
-def _pieces(parts: DataFrame, doc: str, part: str, text: str, max_group: int) -> DataFrame:
+def _pieces(parts: DataFrame, doc: str, part: str, text: str, max_group: int) -> tuple[DataFrame, int]:
     """``url, at, tie, pieces, joins``: fragments of every part; ``joins``: the first one continues a sentence.
 
-    ``end`` says how a part with other than white space ends: at a terminator (T), in white
+    With them the most parts of a document, counted once for all the ordered steps. ``end`` says how a part with other than white space ends: at a terminator (T), in white
     space after one (B), at the boundary character itself (X), or else (N).
     """
     rows = parts.select(F.col(doc).alias("url"), F.col(part).alias("at"), F.col(text).alias("body")).where(
         F.col("url").isNotNull() & (F.col("body") != "")
-    ).withColumn("tie", F.xxhash64("body")).withColumn("white", F.col("body").rlike(r"\A\s+\z"))
+    )
+    most = largest_group(rows, ["url"])
+    rows = rows.withColumn("tie", F.xxhash64("body")).withColumn("white", F.col("body").rlike(r"\A\s+\z"))
     body = F.col("body")
     rows = rows.withColumn(
         "end",
         F.when(F.col("white"), None).when(body.endswith("\x01"), "X").when(body.rlike(r"[.!?]\z"), "T")
         .when(body.rlike(r"[.!?]\s+\z"), "B").otherwise("N"),
     )
-    rows = previous_values(rows, ["url"], _ORDER, "white", "after_white", max_group)
-    rows = latest_values(rows, ["url"], _ORDER, "end", "before", max_group)
+    rows = previous_values(rows, ["url"], _ORDER, "white", "after_white", max_group, most)
+    rows = latest_values(rows, ["url"], _ORDER, "end", "before", max_group, most)
     before, after_white = F.coalesce("before", F.lit("N")), F.coalesce("after_white", F.lit(False))
     spaced = F.col("white") | after_white | body.rlike(r"\A\s")
     stop = (before == "B") | ((before == "T") & spaced)
@@ -63,30 +65,27 @@ def _pieces(parts: DataFrame, doc: str, part: str, text: str, max_group: int) ->
     kept = rows.select("url", "at", "tie", F.filter(marked, lambda p: p.s != "").alias("kept")).where(F.size("kept") > 0)
     return kept.select(
         "url", "at", "tie", F.transform("kept", lambda p: p.s).alias("pieces"), (~F.col("kept")[0].fresh).alias("joins")
-    )
+    ), most
 
 
 def section_sentences(
     parts: DataFrame, doc: str = "url", part: str = "part", text: str = "text", max_group: int = MAX_GROUP_ROWS
 ) -> DataFrame:
-    """``url, pos, sentence`` of documents given in parts; ``pos`` counts from 1."""
-    rows = _pieces(parts, doc, part, text, max_group)
+    """``url, pos, sentence`` of documents given in parts; ``pos`` counts from 1.
+
+    Where no document is hot, the texts move once: all that follows keeps to the documents' partitions.
+    """
+    rows, most = _pieces(parts, doc, part, text, max_group)
     rows = rows.withColumn("begun", F.size("pieces") - F.col("joins").cast("int"))
-    rows = running_sum(rows, ["url"], _ORDER, "begun", "earlier", inclusive=False, max_group=max_group)
+    rows = running_sum(rows, ["url"], _ORDER, "begun", "earlier", inclusive=False, max_group=max_group, largest=most)
     # Every piece but a joined first one begins a sentence.
     first = F.col("earlier") + 1 - F.col("joins").cast("int")
-    rows = cut_lineage(rows.select("url", *_ORDER, "joins", "pieces", first.cast("long").alias("first")))
-    each = rows.select(
-        "url", *_ORDER, "joins", F.size("pieces").alias("n"), "first", F.posexplode("pieces").alias("i", "sentence")
-    ).withColumn("pos", F.col("first") + F.col("i"))
-    # A sentence may reach over a part's end only if it is the part's first or last.
-    edge = (F.col("joins") & (F.col("i") == 0)) | (F.col("i") == F.col("n") - 1)
-    whole = each.where(~edge).select("url", "pos", "sentence")
+    each = rows.select("url", *_ORDER, first.cast("long").alias("first"), F.posexplode("pieces").alias("i", "sentence"))
+    # A sentence that reaches over a part's end has a piece in every part it touches.
     pieces = F.sort_array(F.collect_list(F.struct(*_ORDER, "first", "sentence")))
-    joined = each.where(edge).groupBy("url", "pos").agg(pieces.alias("p")).select(
+    return each.groupBy("url", (F.col("first") + F.col("i")).alias("pos")).agg(pieces.alias("p")).select(
         "url", "pos", F.array_join(F.transform("p", lambda p: p.sentence), "").alias("sentence")
     )
-    return whole.union(joined)
 
 
 def section_blocks(sentences: DataFrame, buffer: int = NEIGHBOUR_BUFFER, block: int = BLOCK) -> DataFrame:
