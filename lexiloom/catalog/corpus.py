@@ -114,8 +114,8 @@ def _upserted(spark, sf, mode="replace", tidy=False):
     docs = documents(spark, sf)
     changed = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     path = scratch_path(spark, "chunks")
-    save_chunks(spark, path, sentence_chunks(docs), digits=1)
-    save_chunks(spark, path, sentence_chunks(changed, drop_last=True), mode, digits=1)
+    save_chunks(spark, path, sentence_chunks(docs, vectors=False), digits=1)
+    save_chunks(spark, path, sentence_chunks(changed, drop_last=True, vectors=False), mode, digits=1)
     if tidy:
         compact(spark, path, dead_share=0.0)
         vacuum(spark, path)
@@ -143,7 +143,7 @@ def chunk_history(spark, sf):
     docs = documents(spark, sf)
     changed = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     path = scratch_path(spark, "chunks")
-    for batch in (sentence_chunks(docs), *[sentence_chunks(changed, drop_last=True)] * 2):
+    for batch in (sentence_chunks(docs, vectors=False), *[sentence_chunks(changed, drop_last=True, vectors=False)] * 2):
         save_chunks(spark, path, batch, digits=1)
     counts = [open_versions(spark, path, v).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("chunks")) for v in (1, 2, 3)]
     return counts[0].union(counts[1]).union(counts[2])

@@ -48,17 +48,26 @@ def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(chunks(spark, sf).drop("metadata"))
 
 
-def sentence_chunks(docs: DataFrame, drop_last: bool = False) -> DataFrame:
-    """Every sentence as a chunk of its own; optionally without the document's last one."""
-    found = sentences(F.col("text"))
-    kept = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))) if drop_last else found
-    prefix = chunk_prefix(F.col("url"))
-    rows = docs.select("url", F.posexplode(kept).alias("ordinal", "text"))
-    return with_term_vector(rows, "text").select(
-        chunk_id(prefix, F.col("ordinal")).alias("chunk_id"), prefix.alias("chunk_prefix"),
-        document_key(F.col("url")).alias("doc_key"), "ordinal", "text",
-        "embedding", F.create_map(F.lit("url"), F.col("url")).alias("metadata"),
+def sentence_chunks(docs: DataFrame, drop_last: bool = False, vectors: bool = True) -> DataFrame:
+    """Every sentence as a chunk of its own; optionally without the document's last one.
+
+    The vectors can be left to ``save_chunks``, which computes the same ones where the rows are written.
+    """
+    url = F.col("url")
+    split = docs.select(
+        "url", chunk_prefix(url).alias("chunk_prefix"), document_key(url).alias("doc_key"),
+        F.create_map(F.lit("url"), url).alias("metadata"), sentences(F.col("text")).alias("found"),
     )
+    kept = F.slice("found", F.lit(1), F.greatest(F.size("found") - 1, F.lit(0))) if drop_last else F.col("found")
+    # The outer form keeps the optimizer from testing the array's size with a second split of every text.
+    rows = split.select("chunk_prefix", "doc_key", "metadata", F.posexplode_outer(kept).alias("ordinal", "text"))
+    rows = rows.where(F.col("ordinal").isNotNull())
+    columns = [
+        chunk_id(F.col("chunk_prefix"), F.col("ordinal")).alias("chunk_id"), "chunk_prefix", "doc_key", "ordinal", "text",
+    ]
+    if not vectors:
+        return rows.select(*columns, "metadata")
+    return with_term_vector(rows, "text").select(*columns, "embedding", "metadata")
 
 
 def request_log(spark: SparkSession, sf: str) -> DataFrame:

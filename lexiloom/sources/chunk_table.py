@@ -32,6 +32,8 @@ VERSION = "version"
 MAX_BROADCAST_CHANGES = 1_000_000
 #: Share of dead rows from which a bucket is worth compacting.
 DEAD_SHARE = 0.25
+#: Buckets whose files are smaller on average are merged by a shuffle when they are compacted; Spark's cost of opening a file.
+SMALL_FILE = 4 << 20
 _STORED = T.StructType(CHUNK.fields + [T.StructField(BUCKET, T.StringType())])
 _DATA = T.StructType(_STORED.fields + [T.StructField(VERSION, T.LongType())])
 _LOG = T.StructType().add("kind", T.StringType()).add(BUCKET, T.StringType()).add("doc_key", T.StringType()).add(
@@ -91,6 +93,8 @@ def open_versions(spark: SparkSession, path: str, version: int | None = None) ->
     last = committed(spark, path)
     version = last if version is None else min(version, last)
     rows, log = stored_rows(spark, path, version)
+    # A change concerns rows of lower versions; where all of them have been compacted away, there is nothing to merge.
+    log = log.where(F.col(VERSION) > (rows.agg(F.min(VERSION)).first()[0] or 0))
     kinds = {r[0] for r in log.select("kind").distinct().collect()}
     if "document" in kinds:
         rows = _without_replaced(rows, log.where("kind = 'document'"), ["doc_key"])
@@ -139,14 +143,17 @@ def save_chunks(
         made.coalesce(1).write.mode("overwrite").parquet(f"{path}/properties")
     elif known != (embedding.name, embedding.dim):
         raise ValueError(f"the table at {path} holds vectors of {known}, not of {(embedding.name, embedding.dim)}")
-    whole = complete_vectors(new, embedding)
-    typed = whole.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK.fields if f.name != "embedding"],
-        checked_dim(F.col("embedding"), embedding.dim).alias("embedding"),
-    ).withColumn(BUCKET, bucket_of(F.col("chunk_prefix"), digits))
+    # Rows are dealt to their buckets first: vectors that are computed here do not move.
+    given = [f for f in CHUNK.fields if f.name in new.columns or f.name != "embedding"]
+    dealt = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in given]).withColumn(
+        BUCKET, bucket_of(F.col("chunk_prefix"), digits)
+    )
+    typed = complete_vectors(dealt.hint("rebalance", BUCKET), embedding).withColumn(
+        "embedding", checked_dim(F.col("embedding"), embedding.dim)
+    ).select(*_STORED.names)
     version = committed(spark, path) + 1
     folder = f"{path}/data/{VERSION}={version}"
-    typed.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+    typed.write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
     written = spark.read.schema(_STORED).parquet(folder)
     if written.isEmpty():
         return
@@ -163,19 +170,29 @@ def compact(spark: SparkSession, path: str, dead_share: float = DEAD_SHARE) -> l
     """Write the living rows of buckets with many dead ones anew; the buckets that were compacted.
 
     Rows are counted by their narrow columns first; buckets below the share are not read any
-    further. The content of the table stays the same.
+    further. Files lie in buckets already, so rows are filtered where they are read; only buckets
+    of small files are shuffled, to merge those. The content of the table stays the same.
     """
     last = committed(spark, path)
+    if not last:
+        return []
     stored, _ = stored_rows(spark, path, last)
     living = open_versions(spark, path)
     n = F.count(F.lit(1))
-    counts = stored.groupBy(BUCKET).agg(n.alias("stored")).join(living.groupBy(BUCKET).agg(n.alias("living")), BUCKET, "left")
+    file = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")]
+    files = stored.select(BUCKET, *file).groupBy(BUCKET, "file", "size").agg(n.alias("rows"))
+    sizes = files.groupBy(BUCKET).agg(F.sum("rows").alias("stored"), F.avg("size").alias("size"))
+    counts = sizes.join(living.groupBy(BUCKET).agg(n.alias("living")), BUCKET, "left")
     dead = F.col("stored") - F.coalesce("living", F.lit(0))
-    chosen = sorted(r[0] for r in counts.where((dead > 0) & (dead >= F.col("stored") * dead_share)).select(BUCKET).collect())
+    found = counts.where((dead > 0) & (dead >= F.col("stored") * dead_share)).select(BUCKET, "size").collect()
+    chosen = sorted(r[0] for r in found)
     if not chosen:
         return []
-    rows = living.where(F.col(BUCKET).isin(chosen)).select(*_STORED.names)
-    rows.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/data/{VERSION}={last + 1}")
+    rows, small = living.select(*_STORED.names), sorted(r[0] for r in found if r[1] < SMALL_FILE)
+    kept = rows.where(F.col(BUCKET).isin([b for b in chosen if b not in small]))
+    merged = rows.where(F.col(BUCKET).isin(small)).hint("rebalance", BUCKET)
+    written = merged if len(small) == len(chosen) else kept.union(merged) if small else kept
+    written.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/data/{VERSION}={last + 1}")
     entries = spark.createDataFrame([("bucket", b, None, None) for b in chosen], T.StructType(_LOG.fields[:-1]))
     _commit(spark, path, last + 1, "compact", entries.coalesce(1))
     return chosen
