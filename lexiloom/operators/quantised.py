@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from lexiloom.dimensions import TOP_K
 from lexiloom.operators.knn import (
     MAX_BROADCAST_QUERIES, QUERY_BLOCK, TILE_VALUES, _arrow_schema, _cut, _ids, _matrix, _pair_distances, _ranked,
-    _result_type, _Running, _unit, every_pair,
+    _result_type, _Running, _unit, every_pair, nearest_places,
 )
 from lexiloom.session import cut_lineage
 
@@ -81,10 +81,23 @@ def encode(corpus: DataFrame, item_id: str, vector: str, book: np.ndarray) -> Da
     return corpus.where(F.col(vector).isNotNull()).select(item_id, vector).mapInArrow(assign, out)
 
 
+def _numbers(codes: pa.Array | pa.ChunkedArray, parts: int) -> np.ndarray:
+    """Codes as (row, part)."""
+    return np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint8).reshape(len(codes), parts)
+
+
+def _spelled(numbers: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The vectors that numbers of codewords stand for."""
+    return book[np.arange(len(book))[None, :], numbers].reshape(len(numbers), -1)
+
+
 def _decoded(codes: pa.Array | pa.ChunkedArray, book: np.ndarray) -> np.ndarray:
     """The vectors that the codes stand for."""
-    numbers = np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint8).reshape(len(codes), len(book))
-    return book[np.arange(len(book))[None, :], numbers].reshape(len(codes), -1)
+    return _spelled(_numbers(codes, len(book)), book)
+
+
+def _as_single(vectors: np.ndarray) -> np.ndarray:
+    return vectors.astype(np.float32)
 
 
 def _code_distances(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
@@ -92,10 +105,14 @@ def _code_distances(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
     return np.floor((1.0 - np.einsum("ij,ij->i", queries, corpus)) * 1e12 + 0.5) / 1e12
 
 
+def _longest(book: np.ndarray) -> float:
+    """A decoded vector is no longer than the longest words of all parts together."""
+    return float(np.sqrt((book**2).sum(axis=2).max(axis=1, initial=0.0).sum()))
+
+
 def _best_codes(points: np.ndarray, book: np.ndarray, depth: int) -> _Running:
-    """Best codes of unit queries; a decoded vector is no longer than the longest words of all parts together."""
-    longest = float(np.sqrt((book**2).sum(axis=2).max(axis=1, initial=0.0).sum()))
-    return _Running(depth, points, lambda v: v.astype(np.float32), _code_distances, longest)
+    """Best codes of unit queries."""
+    return _Running(depth, points, _as_single, _code_distances, _longest(book))
 
 
 def _looked_up(best: _Running, ids: np.ndarray, codes: pa.Array | pa.ChunkedArray, book: np.ndarray) -> None:
@@ -139,9 +156,11 @@ def _tiled(queries: DataFrame, codes: DataFrame, out: T.StructType, book: Broadc
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         # Positions stand for ids; they are in the same order.
         right = right.take(pc.sort_indices(right.column(0), null_placement="at_start"))
-        best = _best_codes(_points(_matrix(left.column(1)), len(book.value)), book.value, depth)
-        _looked_up(best, np.arange(right.num_rows), right.column(1).combine_chunks(), book.value)
-        rows, found, distances = best.result() or (np.zeros(0, int),) * 3
+        numbers = _numbers(right.column(1), len(book.value))
+        rows, found, distances = nearest_places(
+            depth, _points(_matrix(left.column(1)), len(book.value)), len(numbers), lambda at: _spelled(numbers[at], book.value),
+            _as_single, _code_distances, _longest(book.value),
+        )
         return pa.Table.from_arrays(
             [left.column(0).take(pa.array(rows)), right.column(0).take(pa.array(found)), pa.array(distances, pa.float64())],
             names=schema.names,
