@@ -70,7 +70,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{unique}"
 
 
-def _files(spark: SparkSession, path: str):
+def store_of(spark: SparkSession, path: str):
     """The store a path lies in, and the path in its terms."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
@@ -78,15 +78,15 @@ def _files(spark: SparkSession, path: str):
 
 def folders_in(spark: SparkSession, path: str, finished: bool = False) -> list[str]:
     """Names of the folders in a folder of any store; only those a writer has finished, if asked."""
-    files, place = _files(spark, path)
+    files, place = store_of(spark, path)
     if not files.exists(place):
         return []
     found = [s.getPath() for s in files.listStatus(place) if s.isDirectory()]
-    done = [f for f in found if not finished or files.exists(_files(spark, f"{f}/_SUCCESS")[1])]
+    done = [f for f in found if not finished or files.exists(store_of(spark, f"{f}/_SUCCESS")[1])]
     return sorted(f.getName() for f in done)
 
 
 def remove_folder(spark: SparkSession, path: str) -> bool:
     """Remove a folder of any store with all it holds; whether there was one."""
-    files, place = _files(spark, path)
+    files, place = store_of(spark, path)
     return bool(files.delete(place, True))
