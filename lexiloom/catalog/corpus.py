@@ -294,13 +294,20 @@ def _load_prefix_counts():
     """A model of 96 components: how often the words' first three letters fall into each bucket."""
     import hashlib
     import re
+    from functools import lru_cache
+
+    find = re.compile(r"[^\W_]+").findall
+
+    @lru_cache(1 << 16)
+    def bucket(start):
+        return int(hashlib.md5(start.encode()).hexdigest()[:7], 16) % 96
 
     def embed(texts):
         made = []
         for text in texts:
             vector = [0.0] * 96
-            for word in re.findall(r"[^\W_]+", text.lower()):
-                vector[int(hashlib.md5(word[:3].encode()).hexdigest()[:7], 16) % 96] += 1.0
+            for word in find(text.lower()):
+                vector[bucket(word[:3])] += 1.0
             made.append(vector)
         return made
 
